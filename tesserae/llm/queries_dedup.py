@@ -32,8 +32,8 @@ WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text,
 s AS (SELECT doc_id, list_distinct([array_to_string(ws[i : i + 3], ' ') FOR i IN range(1, greatest(len(ws) - 2, 2))]) AS set FROM w WHERE len(ws) > 0),
 n AS (SELECT doc_id, len(set)::BIGINT AS n FROM s),
 x AS (SELECT doc_id, unnest(set) AS sh FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM x AS a JOIN x AS b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * both >= 80 * (na.n + nb.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x AS a JOIN x AS b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(c) AS component_id, min(c) = doc_id AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
