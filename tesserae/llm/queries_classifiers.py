@@ -1,4 +1,4 @@
-"""Queries of the label classifiers (10)."""
+"""Queries of the label classifiers (3 and 10)."""
 
 from __future__ import annotations
 
@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm.common import table
 from tesserae.llm.quality import fit_quality, score_quality
 from tesserae.llm.registry import query
+from tesserae.llm.toxicity import fit_toxicity, score_toxicity
 
 
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), threshold=0.3)
