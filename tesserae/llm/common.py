@@ -71,3 +71,29 @@ def partitions(spark: SparkSession) -> int:
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of all texts, by a scan that moves nothing but one sum for each task."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("n")).first()["n"]
+
+
+def squeezed(rows: DataFrame, column: str = "text") -> DataFrame:
+    """``rows`` with a binary column compressed row by row: for texts that are shuffled more than once."""
+    names = rows.columns
+    at = names.index(column)
+
+    def squeeze(batches):
+        import pyarrow as pa
+        import zstandard
+
+        to = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            small = [None if t is None else to.compress(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(small, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    return rows.mapInArrow(squeeze, rows.schema)
+
+
+def unsqueezed(column):
+    """The Arrow column as it was before squeezed()."""
+    import pyarrow as pa
+    import zstandard
+
+    of = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else of.decompress(t) for t in column.to_pylist()], pa.binary())
