@@ -102,7 +102,7 @@ def lattice(token: str) -> list[list[tuple[str, float, int]]]:
             out = [(x, COST_LOOK + 0.3 * (run - 1), run) for x in LOOKS_LIKE.get(c, "")]
             if c in LOOKS_LIKE and run == 2:
                 out += [(x + x, 2 * COST_LOOK, run) for x in LOOKS_LIKE[c]]
-            out += [("", COST_JOINT if c in "._- *" else COST_MARK, run)]
+            out += [("", COST_JOINT if c in "._- *" else COST_MARK * run, run)]
         arcs += [[(x, cost, i + step) for x, cost, step in out], *([] for _ in range(run - 1))]
         i += run
     return arcs
@@ -159,11 +159,8 @@ def restored(text: str | None, table: np.ndarray) -> str | None:
     return regex.sub(r"\S+", lambda m: decode(m[0].lower().strip(".,;:?\"'"), table) if len(m[0]) <= LONGEST and DISGUISE.search(m[0].lower().rstrip(STRIP)) and any(c.isalpha() for c in m[0]) else m[0], text)
 
 
-def text_features(text: str, table: np.ndarray) -> set[str]:
-    tokens = {t for t in text.split() if len(t) <= 200}
-    words = {w for t in tokens for w in readings(t, table)}
-    words.update(w for t in set(spaced_words(text)) for w in readings(t, table))
-    return {f for w in words for f in features(w)}
+def text_words(text: str, table: np.ndarray) -> set[str]:
+    return {w for t in {*text.split(), *spaced_words(text)} for w in readings(t, table)}
 
 
 @dataclass
@@ -184,8 +181,12 @@ class ToxicityModel:
             return 0.0
         return math.log((p + 0.2) / (self.totals[1] + 1)) - math.log((q + 0.2) / (self.totals[0] + 1))
 
+    def word_odds(self, word: str, own: int | None = None) -> float:
+        """A word's odds are those of its strongest feature: the word or one of its beginnings."""
+        return max(self.odds(f, own) for f in features(word))
+
     def evidence(self, odds: Iterator[float]) -> np.ndarray:
-        """(1, strongest, second strongest, how many are strong) of a text's features."""
+        """(1, strongest, second strongest, how many are strong) of a text's words."""
         strong = sorted((x for x in odds if x > 1.5), reverse=True)
         strong += [0.0, 0.0]
         return np.array([1.0, strong[0], strong[1], math.log1p(sum(x > 4 for x in strong))])
@@ -195,7 +196,7 @@ class ToxicityModel:
         if found is None:
             if len(self.memory) > 250_000:
                 self.memory.clear()
-            found = tuple((f, x) for w in readings(token, self.table) for f in features(w) if (x := self.odds(f)) > 1.5)
+            found = tuple((w, x) for w in readings(token, self.table) if (x := self.word_odds(w)) > 1.5)
             if len(token) <= 64:
                 self.memory[token] = found
         return found
@@ -227,7 +228,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
             n: Counter = Counter()
             for batch in batches:
                 for text in batch.column(0):
-                    found = text_features(text.as_py(), sent.value)
+                    found = {f for w in text_words(text.as_py(), sent.value) for f in features(w)}
                     n.update(found if known is None else found & known.value)
                 if len(n) > 500_000:
                     yield pa.RecordBatch.from_pydict({"f": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
@@ -248,7 +249,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            x = [m.evidence(m.odds(f, y) for f in text_features(t, m.table)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            x = [m.evidence(m.word_odds(w, y) for w in text_words(t, m.table)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(r) for r in x], pa.list_(pa.float64()))], names=["y", "x"])
 
     found = sorted((tuple(r["x"]), r["y"]) for r in rows.select("text", "y").mapInArrow(evidence, "y int, x array<double>").collect())
