@@ -31,7 +31,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     the lineage. The joins are on one node's edges and the node's minimum, one
     row for each node, so a hub's edges can be split over tasks.
     """
-    edges = cut(_small_star(edges.select("u", "v").where("u <> v")))
+    edges = cut(edges.select("u", "v").where("u <> v"))  # once: two branches read it
+    edges = cut(_small_star(edges))
     sign = None
     for _ in range(max_rounds):
         edges = cut(_small_star(_large_star(edges)))

@@ -8,10 +8,12 @@ drops pairs that are far off; the rest is confirmed on the full sets.
 Lists of up to ``hot`` classes give their pairs. Values in more classes ("hot")
 come last in a class's order of values, so a passage that many unlike texts
 share brings no candidates together; only classes made of hot values for the
-most part index them. There, the list's members are paired with one centre, then
-with further centres, until what is left outside a list's largest component is
-small enough to be paired with the whole list. No pair of different components
-in a list is left out, and no list emits all its pairs.
+most part index them. There, the list's members are paired with one centre.
+Lists then still in several components are compared further: classes with too
+many shingles of their own to be similar to any other are set aside, which is
+exact, and the rest of such lists is compared whole, tile by tile, by matrix
+products. So no pair that may be similar is left out, and none is emitted but
+links that connect.
 """
 
 from __future__ import annotations
@@ -28,10 +30,15 @@ from tesserae.llm.common import cut, written
 from tesserae.llm.components import components
 from tesserae.llm.wordhash import LOWER, Words, hash_words, mix, text_chunks
 
-#: Pairs whose sketches estimate less than this share are not confirmed; a pair of similarity 0.8
-#: falls below with a probability of about 1e-6 for 24 retained values.
-ESTIMATE = 0.4
-INDEXED = 10
+#: Values retained of a set. Of a pair of similarity 0.8, the values of one that the other lacks are a fifth
+#: at most (mean 9.6 of 48, deviation 2.8), so REACH of them in any order hold common ones but once in 10^8.
+SKETCH, REACH = 48, 26
+#: Pairs whose sketches estimate less than this share are not confirmed: five deviations below 0.8.
+ESTIMATE = 0.5
+#: Values indexed of those in short lists and in long ones; four of five are common to a similar pair.
+COLD, HOT = 10, 8
+BROADCAST_IDS = 1_000_000
+TILE = 400
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -50,7 +57,7 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
         yield np.unique(grams[cuts[t] : cuts[t + 1]]) if n >= size else short.get(t, none)
 
 
-def sketches(docs: DataFrame, *, shingle: int = 4, sketch: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, *, shingle: int = 4, sketch: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, f1, f2, least): set size, 128-bit fingerprint of the set, its ``sketch`` least values."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("n long, f1 long, f2 long, least array<long>").fields])
@@ -87,10 +94,14 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, sketch: int, num: int, den: i
     return pairs.join(side("a"), "a").where(F.size("sa") > 0).join(side("b"), "b").where(size_ok & (whole | rough)).select("a", "b").distinct()
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these ids. Up to BROADCAST_IDS of them are broadcast, so the other texts are not shuffled; more are joined by shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den: int) -> DataFrame:
     """(u, v) of the pairs whose full sets have ``den * intersection >= num * union``; docs: (id, text)."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    texts = docs.join(wanted, "id", "left_semi")
+    texts = _only(docs, cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()))
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
@@ -114,7 +125,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den:
 
 
 def near_duplicates(
-    docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, sketch: int = 24, hot: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, sketch: int = SKETCH, hot: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row.
 
@@ -142,43 +153,125 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
 
 
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows, all columns, of one document of each component (the least id); of a repeated id one row. Rows without an id stay."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, sketch: int, hot: int) -> DataFrame:
     """The components of the classes, as in components()."""
     values = nodes.select("id", F.explode("least").alias("value"))
-    shared = cut(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"))
-    many = values.join(shared.where(F.col("held") > hot).select("value"), "value").groupBy("id").agg(F.array_sort(F.collect_set("value")).alias("many"))
+    held = cut(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"))
+    entries = values.join(held, "value").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("held") <= hot, F.col("value")))).alias("cold"), F.array_sort(F.collect_list(F.when(F.col("held") > hot, F.col("value")))).alias("many")
+    )
     # In any one order of values, similar sets share one of their first n - ceil(num n / den) + 1.
-    first = F.least(F.col("n") - F.ceil(F.col("n") * num / den) + 1, F.lit(INDEXED)).cast("int")
-    ordered = F.concat(F.array_except("least", F.col("many")), F.col("many"))
-    indexed = nodes.join(many, "id", "left").withColumn("many", F.coalesce("many", F.array().cast("array<long>")))
-    lists = cut(indexed.select("id", F.explode(F.slice(ordered, F.lit(1), first)).alias("value")).join(shared, "value").select("id", "value", (F.col("held") > hot).alias("is_hot")))
+    first = F.least(F.col("n") - F.ceil(F.col("n") * num / den) + 1, F.lit(REACH)).cast("int")
+    reach = first - (F.least(F.col("n"), F.lit(sketch)) - F.size("cold") - F.size("many")).cast("int")
+
+    def indexed(values: str, most: int, before, is_hot: bool):
+        taken = F.slice(values, F.lit(1), F.greatest(F.lit(0), F.least(reach - before, F.lit(most))).cast("int"))
+        return F.transform(taken, lambda v: F.struct(v.alias("value"), F.lit(is_hot).alias("is_hot")))
 
+    both = F.concat(indexed("cold", COLD, F.lit(0), False), indexed("many", HOT, F.size("cold"), True))
+    # Of a retained set, the share that few others have: a list's centre is the member with the least.
+    apart = 1 - F.size("many") / F.least(F.col("n"), F.lit(sketch))
+    lists = cut(nodes.join(entries, "id").select("id", "n", apart.alias("apart"), F.explode(both).alias("e")).select("id", "n", "apart", "e.value", "e.is_hot"))
     cold = lists.where("NOT is_hot").groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
     cold = cold.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
-    hot_lists = lists.where("is_hot").select("id", "value").distinct()
+    hot_lists = lists.where("is_hot").select("id", "n", "apart", "value").distinct()
 
     def test(pairs: DataFrame) -> DataFrame:
         close = cut(_estimated(pairs.distinct(), nodes, sketch, num, den))
         return confirmed(close, texts, shingle=shingle, num=num, den=den)
 
-    def centred(members: DataFrame, candidates: DataFrame, turn: int) -> DataFrame:
-        """Every member of a list with the list's candidate of the least hash."""
-        centre = candidates.groupBy("value").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("centre"))
+    def centred(members: DataFrame) -> DataFrame:
+        """Every member of a list with the list's member that is least apart; of equal ones that of the least hash."""
+        centre = members.groupBy("value").agg(F.min_by("id", F.struct("apart", F.xxhash64("id"))).alias("centre"))
         return members.join(centre, "value").where("id <> centre").select(*_pairs(F.col("id"), F.col("centre")))
 
-    edges = components(test(cold.unionByName(centred(hot_lists, hot_lists, 0))))
-    for turn in range(1, 9):
-        named = hot_lists.join(edges.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        sizes = named.groupBy("value", "c").agg(F.count("*").alias("k"))
-        largest = sizes.groupBy("value").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most")).where("most < all")
-        open_ = cut(named.join(largest, "value"))
-        left, pairs = open_.where("c <> main").agg(F.count("*"), F.sum("all")).first()
-        if not left:
-            break
-        rest = open_.where("c <> main")
-        if pairs <= 20 * open_.count() or turn == 8:
-            whole = rest.select("value", F.col("id").alias("x"), F.col("c").alias("cx")).join(open_.select("value", F.col("id").alias("y"), F.col("c").alias("cy")), "value").where("cx <> cy").select(*_pairs(F.col("x"), F.col("y")))
-            edges = components(edges.unionByName(test(whole)))
-            break
-        edges = components(edges.unionByName(test(centred(open_, rest, turn))))
-    return edges
+    def several(members: DataFrame, edges: DataFrame) -> DataFrame:
+        """The members of lists that hold several components, with theirs (c)."""
+        named = members.join(edges.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        return cut(named.join(named.groupBy("value").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("value"), "value"))
+
+    edges = components(test(cold.unionByName(centred(hot_lists))))
+    open_ = several(hot_lists, edges)
+    if not open_.limit(1).count():
+        return edges
+    own = _own(cut(open_.select("id").distinct()), texts, shingle)
+    members = open_.select("id", "n", "value").join(own, "id", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * den >= F.col("n") * num)
+    open_ = several(members.select("id", "value"), edges)
+    if not open_.limit(1).count():
+        return edges
+    return components(edges.unionByName(_within_families(open_, texts, shingle, num, den)))
+
+
+def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(u, v): links within the families that open lists form, enough of them to connect what is linked.
+
+    A family's members are dealt into tiles of about TILE, and each pair of tiles is
+    compared in a task by the products of their incidence matrices, which counts
+    the common shingles of all pairs without a row for any. A task returns a
+    spanning tree of each component that it finds.
+    """
+    least = open_.groupBy("value").agg(F.min("id").alias("v"))
+    family = components(open_.select("id", "value").join(least, "value").select(F.col("id").alias("u"), "v"))
+    member = open_.select("id", "c").distinct().join(family.withColumnRenamed("u", "id"), "id", "left").select("id", "c", F.coalesce("v", "id").alias("family"))
+    tiles = member.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    member = cut(member.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")))
+    kind = member.schema["id"].dataType
+    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    placed = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "c")
+    placed = placed.join(_only(texts, member.select("id").distinct()).distinct(), "id")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        ids, c, tile = (np.array(table[x].to_pylist()) for x in ("id", "c", "tile"))
+        sets = [s for _, _, data, offsets in text_chunks(table["text"].combine_chunks()) for s in shingle_sets(hash_words(data, offsets, LOWER), shingle)]
+        size = np.array([len(s) for s in sets])
+        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = held[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[lo:hi], column[lo:hi] - at] = 1
+            both += part @ part.T
+        linked = (both > 0) & (den * both >= num * (size[:, None] + size[None, :] - both)) & (ids[:, None] != ids[None, :])
+        if key[1] != key[2]:
+            linked &= tile[:, None] != tile[None, :]
+        # Least labels spread over the links; members of one known component start with one label.
+        label = np.unique(c, return_inverse=True)[1]
+        x, y = np.nonzero(linked)
+        u, v = [], []
+        while len(differs := np.flatnonzero(label[x] != label[y])):
+            i = differs[0]
+            u.append(ids[x[i]])
+            v.append(ids[y[i]])
+            old, new = max(label[x[i]], label[y[i]]), min(label[x[i]], label[y[i]])
+            label[label == old] = new
+        return pa.Table.from_arrays([pa.array(u, table.schema.field("id").type), pa.array(v, table.schema.field("id").type)], names=["u", "v"])
+
+    return placed.groupBy("family", "a", "b").applyInArrow(compare, schema)
+
+
+def _own(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, own): how many of a class's shingles no other of these classes has."""
+    rows = _only(texts, ids).distinct()
+    schema = T.StructType([rows.schema["id"], T.StructField("s", T.LongType())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, data, offsets in text_chunks(batch.column(1)):
+                sets = list(shingle_sets(hash_words(data, offsets, LOWER), shingle))
+                of = np.repeat(np.arange(a, a + len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate(sets))], names=["id", "s"])
+
+    once = rows.select("id", "text").mapInArrow(spread, schema).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    return once.groupBy("id").agg(F.count("*").alias("own"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tesserae.llm import near_duplicates as near_duplicates_module
 from tesserae.llm.components import components
 from tesserae.llm.near_duplicates import near_duplicates
 
@@ -11,8 +12,8 @@ def shingles(text, k=4):
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def brute(rows, num=80, den=100):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, num=80, den=100, shingle=4):
+    sets = [shingles(t, shingle) for _, t in rows]
     ids = sorted({i for i, _ in rows if i is not None})
     up = {i: i for i in ids}
 
@@ -41,8 +42,9 @@ def family(r, size, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast"), [(1, 10**6), (2, 0)])
+def test_against_brute_force(spark, seed, broadcast, monkeypatch):
+    monkeypatch.setattr(near_duplicates_module, "BROADCAST_IDS", broadcast)
     r = random.Random(seed)
     texts = [" ".join(str(r.randrange(10**6)) for _ in range(r.randrange(1, 80))) for _ in range(40)]
     texts += family(r, 120, 60, 2) + family(r, 200, 40, 4) + family(r, 12, 30, 1) + family(r, 300, 6, 7)
