@@ -94,9 +94,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, sketch: int, num: int, den: i
     return pairs.join(side("a"), "a").where(F.size("sa") > 0).join(side("b"), "b").where(size_ok & (whole | rough)).select("a", "b").distinct()
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _only(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """The rows of these ids. Up to BROADCAST_IDS of them are broadcast, so the other texts are not shuffled; more are joined by shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den: int) -> DataFrame:
@@ -155,8 +155,12 @@ def near_duplicates(
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows, all columns, of one document of each component (the least id); of a repeated id one row. Rows without an id stay."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    key = F.col(id_col)
+    kept = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("kept") & key.isNotNull()).select(id_col).distinct())
+    chosen = _only(docs, kept, id_col)
+    if docs.where(key.isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        chosen = chosen.dropDuplicates([id_col])
+    return chosen.unionByName(docs.where(key.isNull()))
 
 
 def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, sketch: int, hot: int) -> DataFrame:
@@ -191,23 +195,31 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int,
         centre = members.groupBy("value").agg(F.min_by("id", F.struct("apart", F.xxhash64("id"))).alias("centre"))
         return members.join(centre, "value").where("id <> centre").select(*_pairs(F.col("id"), F.col("centre")))
 
-    def several(members: DataFrame, edges: DataFrame) -> DataFrame:
-        """The members of lists that hold several components, with theirs (c)."""
-        named = members.join(edges.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    def several(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members of lists that hold several labels, with theirs (c)."""
+        named = members.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
         return cut(named.join(named.groupBy("value").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("value"), "value"))
 
-    edges = components(test(cold.unionByName(centred(hot_lists))))
-    open_ = several(hot_lists, edges)
+    edges = cut(test(cold.unionByName(centred(hot_lists))))
+    labels = _two_steps(edges)
+    open_ = several(hot_lists, labels)
     if not open_.limit(1).count():
-        return edges
+        return components(edges)
     own = _own(cut(open_.select("id").distinct()), texts, shingle)
     members = open_.select("id", "n", "value").join(own, "id", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * den >= F.col("n") * num)
-    open_ = several(members.select("id", "value"), edges)
+    open_ = several(members.select("id", "value"), labels)
     if not open_.limit(1).count():
-        return edges
+        return components(edges)
     return components(edges.unionByName(_within_families(open_, texts, shingle, num, den)))
 
 
+def _two_steps(edges: DataFrame) -> DataFrame:
+    """(id, c): the least id within two links of each. Equal labels are of one component; a star has one label."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    one = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    return cut(both.join(one.select(F.col("u").alias("v"), "m"), "v").groupBy(F.col("u").alias("id")).agg(F.min("m").alias("c")))
+
+
 def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(u, v): links within the families that open lists form, enough of them to connect what is linked.
 
@@ -246,7 +258,7 @@ def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int,
         linked = (both > 0) & (den * both >= num * (size[:, None] + size[None, :] - both)) & (ids[:, None] != ids[None, :])
         if key[1] != key[2]:
             linked &= tile[:, None] != tile[None, :]
-        # Least labels spread over the links; members of one known component start with one label.
+        # Least labels spread over the links; members known to be linked start with one label.
         label = np.unique(c, return_inverse=True)[1]
         x, y = np.nonzero(linked)
         u, v = [], []
