@@ -88,7 +88,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
                 kept.append(np.unique(stream(data, offsets)[0], return_counts=True))
                 held += len(kept[-1][0])
-                if held > 2_000_000:
+                if held > 1_500_000:
                     kept = [merged()]
                     held = len(kept[0][0])
                     if held > 1_000_000:
@@ -123,13 +123,13 @@ def _level(grams: np.ndarray, n: np.ndarray, shorter: Level | None, length: int)
     context = grams >> np.uint64(8)
     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(grams) else np.zeros(0, np.int64)
     sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
-    out = Level(grams, n, context[first], sums(n), np.diff(first, append=len(grams)))
+    out = Level(grams, n, context[first], sums(n), np.diff(first, append=len(grams)).astype(np.int16))
     if shorter is not None:
         low = np.uint64((1 << 8 * length) - 1)
         there = np.searchsorted(shorter.grams, grams & low)
         parent = np.searchsorted(shorter.contexts, out.contexts & (low >> np.uint64(8)))
         out.below = shorter.total[parent] - sums(shorter.n[there])
-        out.fresh = shorter.distinct[parent] - out.distinct
+        out.fresh = (shorter.distinct[parent] - out.distinct).astype(np.int16)
     return out
 
 
@@ -164,6 +164,8 @@ class Trie:
             rest = np.ones(len(left), bool)
             rest[who] = False
             left, slot = left[rest], (slot[rest] + 1) & self.mask
+        # Grams of the deepest level are found in the table, so what escapes has none there.
+        top.grams, top.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -200,15 +202,17 @@ class Trie:
         for j in range(ORDER, -1, -1):
             level = self.levels[j]
             g = grams & np.uint64((1 << 8 * (j + 1)) - 1)
-            if not len(level.grams):
+            if not len(level.contexts):
                 continue
             c = np.minimum(np.searchsorted(level.contexts, g >> np.uint64(8)), len(level.contexts) - 1)
             known = ~done & (level.contexts[c] == g >> np.uint64(8))
             total = np.where(below < 0, level.total[c], below)
             distinct = np.where(fresh < 0, level.distinct[c], fresh)
-            i = np.minimum(np.searchsorted(level.grams, g), len(level.grams) - 1)
-            here = known & (level.grams[i] == g) & (total > 0)
-            score[here] += np.log10(2 * level.n[i[here]] - 1) - np.log10(2 * total[here])
+            here = np.zeros(len(grams), bool)
+            if len(level.grams):
+                i = np.minimum(np.searchsorted(level.grams, g), len(level.grams) - 1)
+                here = known & (level.grams[i] == g) & (total > 0)
+                score[here] += np.log10(2 * level.n[i[here]] - 1) - np.log10(2 * total[here])
             escape = known & ~here & (total > 0)
             score[escape] += np.log10(distinct[escape]) - np.log10(2 * total[escape])
             done |= here
@@ -219,38 +223,18 @@ class Trie:
         return score
 
 
-def ppm_scores(rows: DataFrame, train: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``rows`` with its last column, text (binary), replaced by score: the text's log10 probability."""
-    counted = written(count_grams(train), "ppm")
-    blocks = max(1, -(-counted.count() // block_grams))
-    low = counted.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    low = tuple(low[c].to_numpy() for c in ("gram", "n"))
-    low = (low[0].astype(np.uint64), low[1])
-    kept, sc = rows.columns[:-1], rows.sparkSession.sparkContext
-    rows = rows.select(*kept, F.lit(0.0).alias("score"), "text")
-    for b in range(blocks):
-        own = counted.where((F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)) % blocks) == b).toArrow()
-        trie = sc.broadcast(Trie(own["gram"].to_numpy().astype(np.uint64), own["n"].to_numpy(), low, b, blocks))
-
-        def score(batches: Iterator[pa.RecordBatch], trie=trie) -> Iterator[pa.RecordBatch]:
-            m = trie.value
-            for batch in batches:
-                k, sums = batch.num_columns - 2, []
-                for _, _, data, offsets in text_chunks(batch.column(k + 1), CHUNK):
-                    grams, symbols = stream(data, offsets)
-                    if m.blocks == 1:
-                        value = m.log10(grams)
-                    else:
-                        value, mine = np.zeros(len(grams)), np.flatnonzero(m.own(grams))
-                        value[mine] = m.log10(grams[mine])
-                    sums.append(np.add.reduceat(value, np.concatenate([[0], symbols[:-1].cumsum()])))
-                total = batch.column(k).to_numpy() + (np.concatenate(sums) if sums else np.zeros(0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(total), batch.column(k + 1)], names=batch.schema.names)
-
-        rows = rows.mapInArrow(score, rows.schema)
-        if b < blocks - 1:
-            rows = written(rows, "ppm-scored")
-    return rows.drop("text")
+def _sums(trie: Trie, texts: pa.Array) -> np.ndarray:
+    """Each text's sum over the positions that are the block's own."""
+    out = [np.zeros(0)]
+    for _, _, data, offsets in text_chunks(texts, CHUNK):
+        grams, symbols = stream(data, offsets)
+        if trie.blocks == 1:
+            value = trie.log10(grams)
+        else:
+            value, mine = np.zeros(len(grams)), np.flatnonzero(trie.own(grams))
+            value[mine] = trie.log10(grams[mine])
+        out.append(np.add.reduceat(value, np.concatenate([[0], symbols[:-1].cumsum()])))
+    return np.concatenate(out)
 
 
 def score_texts(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block_grams: int = BLOCK_GRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,4 +249,25 @@ def score_texts(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block_
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), is_held_out(F.col(id_col), modulus, remainder).alias("held_out"), text.alias("text"))
-    return ppm_scores(unigram_scores(rows), rows.where("NOT held_out").select("text"), block_grams).withColumnRenamed("id", id_col)
+    counted = written(count_grams(rows.where("NOT held_out").select("text")), "ppm")
+    blocks = max(1, -(-counted.count() // block_grams))
+    low = counted.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    low = (low["gram"].to_numpy().astype(np.uint64), low["n"].to_numpy())
+
+    def broadcast(b: int):
+        own = counted.where((F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)) % blocks) == b).toArrow()
+        return docs.sparkSession.sparkContext.broadcast(Trie(own["gram"].to_numpy().astype(np.uint64), own["n"].to_numpy(), low, b, blocks))
+
+    trie = broadcast(0)
+    scored = unigram_scores(rows, lambda texts: _sums(trie.value, texts), blocks > 1)
+    for b in range(1, blocks):
+        scored, trie = written(scored, "ppm-scored"), broadcast(b)
+
+        def add(batches: Iterator[pa.RecordBatch], trie=trie) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k = batch.num_columns - 2
+                total = pa.array(batch.column(k).to_numpy() + _sums(trie.value, batch.column(k + 1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:k], total, batch.column(k + 1)], names=batch.schema.names)
+
+        scored = scored.mapInArrow(add, scored.schema)
+    return scored.drop("text").withColumnRenamed("id", id_col)

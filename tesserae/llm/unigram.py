@@ -9,6 +9,8 @@ entry for each group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +37,10 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def unigram_scores(rows: DataFrame) -> DataFrame:
-    """Appends n_tokens, n_known, train_tokens and base_score to rows of (id, held_out, text binary).
+def unigram_scores(rows: DataFrame, also: Callable[[pa.Array], np.ndarray], with_text: bool) -> DataFrame:
+    """Appends n_tokens, n_known, train_tokens, base_score and score to rows of (id, held_out, text binary).
+
+    ``score`` is what ``also`` makes of the texts, here because they are at hand. The text stays only if asked for.
 
     Tokens are a text's words and one end. With c a token's count in the texts
     that are not held out, N all of those and V the distinct ones, ``base_score``
@@ -74,7 +78,7 @@ def unigram_scores(rows: DataFrame) -> DataFrame:
     answers = written(dealt.groupBy("grp").applyInArrow(ask, asked).groupBy("bucket").applyInArrow(add, answer), "unigrams")
     n, v = answers.where("grp = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
-    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, text binary").fields])
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", text binary" if with_text else "")).fields])
 
     def look_up(table: pa.Table, back: pa.Table) -> pa.Table:
         texts = unsqueezed(table["text"])
@@ -88,7 +92,7 @@ def unigram_scores(rows: DataFrame) -> DataFrame:
         sums = np.bincount(of, weights=np.log10(count + 1)[inverse], minlength=len(texts)) + np.log10(ends + 1)
         known = np.bincount(of, weights=(count > 0)[inverse], minlength=len(texts)).astype(np.int64) + (ends > 0)
         tokens = words.counts + 1
-        columns = [table["id"], table["held_out"], pa.array(tokens), pa.array(known), pa.array(np.full(len(texts), n), pa.int64()), pa.array(sums - tokens * np.log10(n + v + 1)), texts]
-        return pa.table(columns, names=schema.names)
+        columns = [table["id"], table["held_out"], pa.array(tokens), pa.array(known), pa.array(np.full(len(texts), n), pa.int64()), pa.array(sums - tokens * np.log10(n + v + 1)), pa.array(also(texts), pa.float64())]
+        return pa.table(columns + [texts] * with_text, names=schema.names)
 
     return dealt.groupBy("grp").cogroup(answers.where("grp >= 0").groupBy("grp")).applyInArrow(look_up, schema)
