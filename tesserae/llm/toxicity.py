@@ -14,6 +14,7 @@ bounded sample of labelled rows.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,10 +40,12 @@ CLASSES = len(ALPHABET) + 2
 _CLASS = {c: i + 1 for i, c in enumerate(ALPHABET)}
 _OTHER = CLASSES - 1
 
-#: Channel costs in natural logarithms: a look-alike, a letter dropped from a run, an unread mark, a joint.
-COST_LOOK, COST_RUN, COST_MARK, COST_JOINT = 2.0, 0.7, 5.0, 1.0
+#: Channel costs in natural logarithms: a look-alike, a letter dropped from a run, an unread mark, an unread look-alike
+#: (which says that a letter was there), a joint.
+COST_LOOK, COST_RUN, COST_MARK, COST_LETTER, COST_JOINT = 2.0, 0.7, 5.0, 10.0, 1.0
 STRIP = ".,;:!?\"'()[]{}«»“”„…*$%&#|~`^_=<>-–—/\\"
 DISGUISE = regex.compile(r"[0-9@$!|+(<€£*#._\-]|(.)\1\1")
+TRIPLE = re.compile(r"(.)\1\1").search
 SPACED = regex.compile(r"(?<![^\s])(?:\p{L}|[0-9@$!|+])(?:[\s._\-*]{1,2}(?:\p{L}|[0-9@$!|+])){2,40}(?![^\s.,;:!?])")
 #: Longer tokens (encoded data, for the most part) are scored as they are.
 LONGEST = 40
@@ -102,7 +105,7 @@ def lattice(token: str) -> list[list[tuple[str, float, int]]]:
             out = [(x, COST_LOOK + 0.3 * (run - 1), run) for x in LOOKS_LIKE.get(c, "")]
             if c in LOOKS_LIKE and run == 2:
                 out += [(x + x, 2 * COST_LOOK, run) for x in LOOKS_LIKE[c]]
-            out += [("", COST_JOINT if c in "._- *" else COST_MARK * run, run)]
+            out += [("", COST_JOINT if c in "._- *" else (COST_MARK if c in "#|!" or c not in LOOKS_LIKE else COST_LETTER) * run, run)]
         arcs += [[(x, cost, i + step) for x, cost, step in out], *([] for _ in range(run - 1))]
         i += run
     return arcs
@@ -132,35 +135,73 @@ def decode(token: str, table: np.ndarray) -> str:
 def readings(token: str, table: np.ndarray) -> list[str]:
     """What a token is scored as: the word within its marks and, if it may be disguised, the word restored."""
     low = token.lower()
+    if low.isalpha() and not TRIPLE(low):
+        return [low]
     plain = low.strip(STRIP)
     out = [plain] if plain else []
-    if len(low) <= LONGEST and DISGUISE.search(low) and any(c.isalpha() for c in low):
-        # Marks at the end are punctuation before they are letters; both are tried.
-        for part in {low, plain, low.rstrip(STRIP)}:
-            if part and not part.isalpha() or DISGUISE.search(part):
-                out.append(decode(part, table))
+    if len(low) <= LONGEST and not (plain.isalpha() and len(plain) == len(low)):
+        # Dollar signs at an end may be letters; three alike are ornament, as other marks there are punctuation.
+        ends = low.strip(STRIP.replace("$", ""))
+        parts = [plain] if ends.endswith("$$$") or ends.startswith("$$$") else list(dict.fromkeys((plain, ends)))
+        out += [decode(x, table) for x in parts if any(c.isalpha() for c in x) and (not x.isalpha() or TRIPLE(x))]
+    elif len(low) <= LONGEST:
+        out.append(decode(low, table))
     return list(dict.fromkeys(x for x in out if x))
 
 
-def spaced_words(text: str) -> list[str]:
-    """Runs of single letters set apart by blanks or marks, joined."""
-    return [regex.sub(r"[\s._\-*]", "", m) for m in SPACED.findall(text)]
+def spaced_words(text: str, tokens: set[str]) -> list[str]:
+    """Runs of single letters set apart by blanks or marks, joined. ``tokens`` are the text's: without three
+    different single characters no word of three letters can be set apart by blanks (other marks stay in one token)."""
+    if sum(len(t) == 1 or (len(t) == 2 and not t.isalnum()) for t in tokens) < 3:
+        return []
+    found = [regex.sub(r"[\s._\-*]", "", m) for m in SPACED.findall(text)]
+    # A word of one letter may stand before or after.
+    return [w for x in found for w in (x, x[1:], x[:-1])]
+
+
+def word_score(word: str, table: np.ndarray) -> float:
+    x = [0, 0, *(_CLASS.get(c, _OTHER) for c in word.lower()), 0]
+    return float(sum(table[a, b, c] for a, b, c in zip(x, x[1:], x[2:], strict=False)))
+
+
+def joined(spaced: str, table: np.ndarray) -> str:
+    """Letters set apart as one word, or as one after or before a word of one letter, whichever is likeliest."""
+    w = regex.sub(r"[\s._\-*]", "", spaced)
+    ways = [[w], [w[0], w[1:]], [w[:-1], w[-1]]]
+    return " ".join(max(ways, key=lambda words: sum(word_score(decode(x, table), table) for x in words)))
 
 
 def features(word: str) -> list[str]:
-    return [word, *(word[:n] + "~" for n in BEGINNINGS if len(word) > n)]
+    return [word, *[word[:n] + "~" for n in BEGINNINGS if len(word) > n]]
 
 
 def restored(text: str | None, table: np.ndarray) -> str | None:
     """The text with disguised tokens and words set apart replaced by what they are read as."""
     if not text:
         return text
-    text = SPACED.sub(lambda m: regex.sub(r"[\s._\-*]", "", m[0]), text)
+    text = SPACED.sub(lambda m: joined(m[0], table), text)
     return regex.sub(r"\S+", lambda m: decode(m[0].lower().strip(".,;:?\"'"), table) if len(m[0]) <= LONGEST and DISGUISE.search(m[0].lower().rstrip(STRIP)) and any(c.isalpha() for c in m[0]) else m[0], text)
 
 
 def text_words(text: str, table: np.ndarray) -> set[str]:
-    return {w for t in {*text.split(), *spaced_words(text)} for w in readings(t, table)}
+    tokens = set(text.split())
+    return {w for t in tokens.union(spaced_words(text, tokens)) for w in readings(t, table)}
+
+
+class Memory(dict):
+    """What tokens came to, cleared when full."""
+
+    def __init__(self, make, limit: int = 250_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, token: str):
+        if len(self) >= self.limit:
+            self.clear()
+        made = self.make(token)
+        if len(token) <= 64:
+            self[token] = made
+        return made
 
 
 @dataclass
@@ -169,7 +210,8 @@ class ToxicityModel:
     counts: dict[str, tuple[int, int]]
     totals: tuple[int, int]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    memory: dict = field(default_factory=dict)
+    memory: Memory | None = None
+    known: dict | None = None
 
     def odds(self, feature: str, own: int | None = None) -> float:
         """Log odds of a feature; ``own`` leaves one text of that label out."""
@@ -181,6 +223,12 @@ class ToxicityModel:
             return 0.0
         return math.log((p + 0.2) / (self.totals[1] + 1)) - math.log((q + 0.2) / (self.totals[0] + 1))
 
+    def strong(self) -> dict[str, float]:
+        """The odds of the features that count, once all is known."""
+        if self.known is None:
+            self.known = {f: x for f in self.counts if (x := self.odds(f)) > 1.5}
+        return self.known
+
     def word_odds(self, word: str, own: int | None = None) -> float:
         """A word's odds are those of its strongest feature: the word or one of its beginnings."""
         return max(self.odds(f, own) for f in features(word))
@@ -192,19 +240,16 @@ class ToxicityModel:
         return np.array([1.0, strong[0], strong[1], math.log1p(sum(x > 4 for x in strong))])
 
     def token_odds(self, token: str) -> tuple[tuple[str, float], ...]:
-        found = self.memory.get(token)
-        if found is None:
-            if len(self.memory) > 250_000:
-                self.memory.clear()
-            found = tuple((w, x) for w in readings(token, self.table) if (x := self.word_odds(w)) > 1.5)
-            if len(token) <= 64:
-                self.memory[token] = found
-        return found
+        strong = self.strong()
+        return tuple((w, max(strong[f] for f in fs)) for w in readings(token, self.table) if (fs := [f for f in features(w) if f in strong]))
 
     def score(self, text: str | None) -> float:
         text = text or ""
         found: dict[str, float] = {}
-        for pairs in map(self.token_odds, {*text.split(), *spaced_words(text)}):
+        tokens = set(text.split())
+        if self.memory is None:
+            self.memory = Memory(self.token_odds)
+        for pairs in map(self.memory.__getitem__, tokens.union(spaced_words(text, tokens))):
             if pairs:
                 found.update(pairs)
         z = float(self.evidence(found.values()) @ self.weights)
