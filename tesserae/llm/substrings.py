@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import partitions, text_bytes
+from tesserae.llm.common import partitions, squeezed, text_bytes, unsqueezed
 from tesserae.llm.wordhash import hash_words, text_chunks
 
 #: A text's key, and which 65,536 words of it are meant.
@@ -153,12 +153,8 @@ def _keys(table: pa.Table) -> list[tuple[int, int]]:
     return list(zip(table["k1"].to_pylist(), table["k2"].to_pylist(), strict=True))
 
 
-def _whole(column: pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-
-
-def _repeated(keyed: DataFrame, window: int, buckets: int, dests: int) -> DataFrame:
-    """Rows of _FOUND: where windows start whose words also start elsewhere."""
+def _repeated(keyed: DataFrame, small: DataFrame, window: int, buckets: int, dests: int) -> DataFrame:
+    """Rows of _FOUND: where windows start whose words also start elsewhere. ``small`` is ``keyed`` with squeezed texts."""
     block = (window + 1) // 2
     packed, found = T._parse_datatype_string(_PACKED), T._parse_datatype_string(_FOUND)
 
@@ -187,7 +183,7 @@ def _repeated(keyed: DataFrame, window: int, buckets: int, dests: int) -> DataFr
         text_hit, place_hit = _marked(hits, keys)
         k1, k2 = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
         first = _copies(keys)
-        for a, b, data, offsets in text_chunks(_whole(docs["text"])):
+        for a, b, data, offsets in text_chunks(unsqueezed(docs["text"])):
             words = hash_words(data, offsets)
             mark = np.zeros(len(words.hashes) + 1, np.int64)
             los, his = (np.searchsorted(text_hit, first[a:b] + i) for i in (0, 1))
@@ -203,12 +199,12 @@ def _repeated(keyed: DataFrame, window: int, buckets: int, dests: int) -> DataFr
         return pa.table(columns(rows), names=packed.names)
 
     hits = keyed.select("k1", "k2", "text").mapInArrow(probe, packed).groupBy("bucket").applyInArrow(_meet(True, dests, found.names), found)
-    windows = keyed.groupBy("dest").cogroup(hits.groupBy("dest")).applyInArrow(compare, packed)
+    windows = small.groupBy("dest").cogroup(hits.groupBy("dest")).applyInArrow(compare, packed)
     return windows.groupBy("bucket").applyInArrow(_meet(False, dests, found.names), found)
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept_text]) for each row.
+def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:
+    """(carried columns, by default the id; n_words, n_removed, kept_sha256[, kept_text]) for each row.
 
     Words are runs of bytes other than ASCII white space. Each word covered by a
     window of ``window`` words that also starts elsewhere, in the same or
@@ -221,17 +217,18 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False
     size = text_bytes(docs, text_col)
     buckets, dests = max(8, -(-size // BUCKET_BYTES)), max(partitions(docs.sparkSession), -(-size // GROUP_BYTES))
     text = F.col(text_col).cast("binary")
-    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(text, F.col(id_col), F.lit(1)).alias("k2"), F.col(id_col).alias("id"), text.alias("text"))
+    keys = [F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(text, F.col(id_col), F.lit(1)).alias("k2")]
+    keyed = docs.select(*keys, F.struct(*(carried or [F.col(id_col)])).alias("row"), text.alias("text"))
     keyed = keyed.withColumn("dest", (F.col("k1").bitwiseXOR(F.col("k2")).bitwiseAND(F.lit(0x7FFFFFFF)) % dests).cast("int"))
-    fields = [T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")).fields]
-    schema = T.StructType(fields)
+    small = squeezed(keyed)
+    schema = T.StructType([keyed.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")).fields])
 
     def remove(texts: pa.Table, found: pa.Table) -> pa.Table:
         keys = _keys(texts)
         text_hit, place_hit = _marked(found, keys)
         first = _copies(keys)
         n_words, n_removed, sha, kept = [], [], [], []
-        for i, data in enumerate(texts["text"].to_pylist()):
+        for i, data in enumerate(unsqueezed(texts["text"]).to_pylist()):
             words = (data or b"").split()
             n_words.append(len(words))
             lo, hi = np.searchsorted(text_hit, [first[i], first[i] + 1])
@@ -249,7 +246,16 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False
             sha.append(hashlib.sha256(joined).hexdigest())
             if with_text:
                 kept.append(None if data is None else (joined if removed else data).decode())
-        out = [_whole(texts["id"]), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
+        out = [texts["row"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
         return pa.table(out + [pa.array(kept, pa.string())] * with_text, names=schema.names)
 
-    return keyed.groupBy("dest").cogroup(_repeated(keyed, window, buckets, dests).groupBy("dest")).applyInArrow(remove, schema)
+    found = _repeated(keyed, small, window, buckets, dests)
+    out = small.groupBy("dest").cogroup(found.groupBy("dest")).applyInArrow(remove, schema)
+    return out.select("row.*", *schema.names[1:])
+
+
+def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, with repeated spans taken out of their texts, as remove_repeats() says."""
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    out = remove_repeats(docs, window=window, with_text=True, id_col=id_col, text_col=text_col, carried=others).withColumnRenamed("kept_text", "_kept_text")
+    return out.select(*(F.col("_kept_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
