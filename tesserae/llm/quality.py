@@ -140,14 +140,16 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def _loss(logits: np.ndarray, y: np.ndarray) -> float:
-    return float(np.mean(np.logaddexp(0, logits) - y * logits))
+def _loss(logits: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    return float(np.average(np.logaddexp(0, logits) - y * logits, weights=weights))
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 60, decay: float = 1e-3, seed: int = 7) -> Network:
+def fit_network(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, *, hidden: int = 32, epochs: int = 60, decay: float = 1e-3, seed: int = 7) -> Network:
     """Adam on the logistic loss over four fifths of the rows; the temperature minimises the loss on the rest.
+    ``weights`` say how many rows each row stands for (one each by default).
     With no rows, or one label only, the network gives that label's share (one half without rows)."""
     width = x.shape[1]
+    c = np.ones(len(y)) if weights is None else weights / weights.mean() if len(y) else weights
     net = Network(np.zeros(width), np.ones(width), np.zeros((width, hidden)), np.zeros(hidden), np.zeros(hidden), 0.0)
     if len(set(y.tolist())) < 2:
         net.b2 = 0.0 if not len(y) else (5.0 if y[0] else -5.0)
@@ -155,7 +157,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int =
     r = np.random.default_rng(seed)
     order = r.permutation(len(y))
     check, train = order[: len(y) // 5], order[len(y) // 5 :]
-    net.mean, net.scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-3
+    net.mean = np.average(x[train], axis=0, weights=c[train])
+    net.scale = np.sqrt(np.average((x[train] - net.mean) ** 2, axis=0, weights=c[train])) + 1e-3
     net.w1, net.w2 = r.normal(0, width**-0.5, (width, hidden)), r.normal(0, hidden**-0.5, hidden)
     z = (x - net.mean) / net.scale
     values = [net.w1, net.b1, net.w2, np.zeros(1)]
@@ -165,7 +168,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int =
         for at in range(0, len(train), 128):
             i = train[r.integers(0, len(train), min(128, len(train)))]
             h = np.tanh(z[i] @ values[0] + values[1])
-            g = (1 / (1 + np.exp(-(h @ values[2] + values[3]))) - y[i]) / len(i)
+            g = (1 / (1 + np.exp(-(h @ values[2] + values[3]))) - y[i]) * c[i] / len(i)
             gh = np.outer(g, values[2]) * (1 - h * h)
             grads = [z[i].T @ gh + decay * values[0], gh.sum(axis=0), h.T @ g + decay * values[2], np.array([g.sum()])]
             step += 1
@@ -174,13 +177,13 @@ def fit_network(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int =
                 second[k] = 0.999 * second[k] + 0.001 * d * d
                 values[k] -= 3e-3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         rows = check if len(check) else train
-        now = _loss(np.tanh(z[rows] @ values[0] + values[1]) @ values[2] + values[3], y[rows])
+        now = _loss(np.tanh(z[rows] @ values[0] + values[1]) @ values[2] + values[3], y[rows], c[rows])
         if now < best:
             best, kept = now, [v.copy() for v in values]
     net.w1, net.b1, net.w2, net.b2 = kept[0], kept[1], kept[2], float(kept[3][0])
     rows = check if len(check) else train
     logits = net.logits(x[rows])
-    net.temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda t: _loss(logits / t, y[rows])))
+    net.temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda t: _loss(logits / t, y[rows], c[rows])))
     return net
 
 
@@ -195,17 +198,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", p
     vectors = word_vectors(docs, text_col=text_col)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
     sample = labelled_sample(docs, labels, label, per_class=per_class, modulus=modulus, remainder=remainder, id_col=id_col, text_col=text_col)
-    rows = sample.select(F.col("id").cast("string").alias("id"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = sample.select(F.col("id").cast("string").alias("id"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "weight")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.concatenate([pooled(data, offsets, sent.value) for _, _, data, offsets in text_chunks(batch.column(2))] or [np.zeros((0, 3 * DIMS), np.float32)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(3)], names=["id", "y", "x", "weight"])
 
-    found = sorted(rows.mapInArrow(features, "id string, y int, x binary").collect(), key=lambda r: (r["id"], r["y"], bytes(r["x"])))
-    # The sample takes as many of either label as it can; weights would restore the shares, which the temperature need not.
+    found = sorted(rows.mapInArrow(features, "id string, y int, x binary, weight double").collect(), key=lambda r: (r["id"], r["y"], bytes(r["x"])))
+    # The sample takes as many of either label as it can; the weights restore the shares.
     x = np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in found], float).reshape(-1, 3 * DIMS)
-    return QualityModel(vectors, fit_network(x, np.array([r["y"] for r in found], float)))
+    return QualityModel(vectors, fit_network(x, np.array([r["y"] for r in found], float), np.array([r["weight"] for r in found], float)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.7, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:

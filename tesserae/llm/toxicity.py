@@ -265,7 +265,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
     table = char_table(docs, text_col)
     sample = labelled_sample(docs, labels, label, per_class=per_class, modulus=modulus, remainder=remainder, id_col=id_col, text_col=text_col)
     # Exact copies say no more than one text.
-    rows = sample.where("text IS NOT NULL").groupBy("text", "y").agg(F.min("id").alias("id"))
+    rows = sample.where("text IS NOT NULL").groupBy("text", "y").agg(F.min("id").alias("id"), F.max("weight").alias("weight"))
     sent = spark.sparkContext.broadcast(table)
 
     def counted(which: DataFrame, known) -> DataFrame:
@@ -295,22 +295,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
         m = shared.value
         for batch in batches:
             x = [m.evidence(m.word_odds(w, y) for w in text_words(t, m.table)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(r) for r in x], pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([list(r) for r in x], pa.list_(pa.float64()))], names=["y", "weight", "x"])
 
-    found = sorted((tuple(r["x"]), r["y"]) for r in rows.select("text", "y").mapInArrow(evidence, "y int, x array<double>").collect())
-    model.weights = logistic(np.array([x for x, _ in found], float).reshape(-1, 4), np.array([y for _, y in found], float))
+    found = sorted((tuple(r["x"]), r["y"], r["weight"]) for r in rows.select("text", "y", "weight").mapInArrow(evidence, "y int, weight double, x array<double>").collect())
+    model.weights = logistic(np.array([x for x, _, _ in found], float).reshape(-1, 4), np.array([y for _, y, _ in found], float), np.array([c for _, _, c in found], float))
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights by Newton's method; without both labels only the first (constant) weight, at the smoothed share."""
+def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights by Newton's method, each row standing for ``counts`` rows; without both labels only the first (constant) weight, at the smoothed share."""
     w = np.zeros(x.shape[1])
     if len(set(y.tolist())) < 2:
-        w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        w[0] = math.log((counts @ y + 0.5) / (counts @ (1 - y) + 0.5))
         return w
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (counts * (y - p)) - ridge * w)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
