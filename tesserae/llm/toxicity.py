@@ -44,8 +44,13 @@ _OTHER = CLASSES - 1
 #: (which says that a letter was there), a joint.
 COST_LOOK, COST_RUN, COST_MARK, COST_LETTER, COST_JOINT = 2.0, 0.7, 5.0, 10.0, 1.0
 STRIP = ".,;:!?\"'()[]{}«»“”„…*$%&#|~`^_=<>-–—/\\"
+#: What of a token's ends stands for no letter, and the runs of marks that may.
+MARKS = re.compile(r"[^!|(<#*$]+").sub
+FIRST_RUN, LAST_RUN = re.compile(r"(?:([!|(<#*$])\1*)?").match, re.compile(r"(?:([!|(<#*$])\1*)?\Z").search
 DISGUISE = regex.compile(r"[0-9@$!|+(<€£*#._\-]|(.)\1\1")
 TRIPLE = re.compile(r"(.)\1\1").search
+#: What no word set apart is without; quick to look for.
+MAYBE_SPACED = re.compile(r"(?<!\S)\S[\s._\-*]{1,2}\S[\s._\-*]{1,2}\S").search
 SPACED = regex.compile(r"(?<![^\s])(?:\p{L}|[0-9@$!|+])(?:[\s._\-*]{1,2}(?:\p{L}|[0-9@$!|+])){2,40}(?![^\s.,;:!?])")
 #: Longer tokens (encoded data, for the most part) are scored as they are.
 LONGEST = 40
@@ -111,13 +116,16 @@ def lattice(token: str) -> list[list[tuple[str, float, int]]]:
     return arcs
 
 
-def decode(token: str, table: np.ndarray) -> str:
-    """The likeliest word of a disguised token; of equal paths, the first in order of the words."""
+def decode(token: str, table: np.ndarray, head: int = 0, tail: int = 0) -> str:
+    """The likeliest word of a disguised token; of equal paths, the first in order of the words.
+    The first ``head`` and the last ``tail`` characters are read as letters."""
     token = token.lower()
     arcs = lattice(token)
     best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
     best[0][0, 0] = (0.0, "")
     for i, out in enumerate(arcs):
+        if i < head or i >= len(token) - tail:
+            out = [x for x in out if x[0]]
         for (a, b), (score, word) in best[i].items():
             for letters, cost, j in out:
                 s, x, y = score - cost, a, b
@@ -132,6 +140,15 @@ def decode(token: str, table: np.ndarray) -> str:
     return max(ends)[1] if ends else token
 
 
+def ends(low: str, plain: str) -> list[tuple[str, str]]:
+    """What may be letters before and after ``plain``: none of a token's look-alike marks there, the nearest run of them, or all."""
+    if not plain or len(low) == len(plain):
+        return [("", "")]
+    at = low.find(plain)
+    head, tail = (MARKS("", x) for x in (low[:at], low[at + len(plain) :]))
+    return [(h, t) for h in dict.fromkeys(("", LAST_RUN(head)[0], head)) for t in dict.fromkeys(("", FIRST_RUN(tail)[0], tail))]
+
+
 def readings(token: str, table: np.ndarray) -> list[str]:
     """What a token is scored as: the word within its marks and, if it may be disguised, the word restored."""
     low = token.lower()
@@ -140,19 +157,15 @@ def readings(token: str, table: np.ndarray) -> list[str]:
     plain = low.strip(STRIP)
     out = [plain] if plain else []
     if len(low) <= LONGEST and not (plain.isalpha() and len(plain) == len(low)):
-        # Dollar signs at an end may be letters; three alike are ornament, as other marks there are punctuation.
-        ends = low.strip(STRIP.replace("$", ""))
-        parts = [plain] if ends.endswith("$$$") or ends.startswith("$$$") else list(dict.fromkeys((plain, ends)))
-        out += [decode(x, table) for x in parts if any(c.isalpha() for c in x) and (not x.isalpha() or TRIPLE(x))]
+        out += [decode(h + plain + t, table, len(h), len(t)) for h, t in ends(low, plain) if any(c.isalpha() for c in plain) and (h or t or not plain.isalpha() or TRIPLE(plain))]
     elif len(low) <= LONGEST:
         out.append(decode(low, table))
     return list(dict.fromkeys(x for x in out if x))
 
 
-def spaced_words(text: str, tokens: set[str]) -> list[str]:
-    """Runs of single letters set apart by blanks or marks, joined. ``tokens`` are the text's: without three
-    different single characters no word of three letters can be set apart by blanks (other marks stay in one token)."""
-    if sum(len(t) == 1 or (len(t) == 2 and not t.isalnum()) for t in tokens) < 3:
+def spaced_words(text: str) -> list[str]:
+    """Runs of single letters set apart by blanks or marks, joined."""
+    if not MAYBE_SPACED(text):
         return []
     found = [regex.sub(r"[\s._\-*]", "", m) for m in SPACED.findall(text)]
     # A word of one letter may stand before or after.
@@ -184,8 +197,7 @@ def restored(text: str | None, table: np.ndarray) -> str | None:
 
 
 def text_words(text: str, table: np.ndarray) -> set[str]:
-    tokens = set(text.split())
-    return {w for t in tokens.union(spaced_words(text, tokens)) for w in readings(t, table)}
+    return {w for t in {*text.split(), *spaced_words(text)} for w in readings(t, table)}
 
 
 class Memory(dict):
@@ -239,17 +251,28 @@ class ToxicityModel:
         strong += [0.0, 0.0]
         return np.array([1.0, strong[0], strong[1], math.log1p(sum(x > 4 for x in strong))])
 
+    def text_odds(self, text: str, own: int) -> Iterator[float]:
+        """The odds of a text's words, each token by its strongest reading."""
+        found: dict[str, float] = {}
+        for token in {*text.split(), *spaced_words(text)}:
+            pairs = [(w, self.word_odds(w, own)) for w in readings(token, self.table)]
+            if pairs:
+                word, odds = max(pairs, key=lambda pair: pair[1])
+                found[word] = odds
+        return iter(found.values())
+
     def token_odds(self, token: str) -> tuple[tuple[str, float], ...]:
         strong = self.strong()
-        return tuple((w, max(strong[f] for f in fs)) for w in readings(token, self.table) if (fs := [f for f in features(w) if f in strong]))
+        found = [(w, max(strong[f] for f in fs)) for w in readings(token, self.table) if (fs := [f for f in features(w) if f in strong])]
+        # Several readings of one token are not several words.
+        return (max(found, key=lambda pair: pair[1]),) if found else ()
 
     def score(self, text: str | None) -> float:
         text = text or ""
         found: dict[str, float] = {}
-        tokens = set(text.split())
         if self.memory is None:
             self.memory = Memory(self.token_odds)
-        for pairs in map(self.memory.__getitem__, tokens.union(spaced_words(text, tokens))):
+        for pairs in map(self.memory.__getitem__, {*text.split(), *spaced_words(text)}):
             if pairs:
                 found.update(pairs)
         z = float(self.evidence(found.values()) @ self.weights)
@@ -294,7 +317,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            x = [m.evidence(m.word_odds(w, y) for w in text_words(t, m.table)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            x = [m.evidence(m.text_odds(t, y)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([list(r) for r in x], pa.list_(pa.float64()))], names=["y", "weight", "x"])
 
     found = sorted((tuple(r["x"]), r["y"], r["weight"]) for r in rows.select("text", "y", "weight").mapInArrow(evidence, "y int, weight double, x array<double>").collect())

@@ -101,3 +101,17 @@ def test_network_learns_and_is_calibrated():
     net = fit_network(x, y)
     p = net.probability(x)
     assert ((p > 0.5) == y).mean() > 0.8 and abs(p.mean() - y.mean()) < 0.05
+
+
+def test_marks_at_the_ends_may_be_letters(spark, tables):
+    table = char_table(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for said, meant in [("!diot", "idiot"), ("!diot!!!", "idiot"), ('"(lown,"', "clown"), ("<lown", "clown"), ("tras#", "trash"), ("(great)", "great")]:
+        assert meant in toxicity.readings(said, table), (said, toxicity.readings(said, table))
+    assert all(meant in toxicity.readings(x, table) for x, meant in (("|oser", "loser"), ("pas$", "pass"), ("(!diot", "idiot"), ("!.diot", "idiot")))
+    assert toxicity.readings("great,", table) == ["great"] and toxicity.readings("!!!", table) == []
+
+
+def test_repeated_letters_and_mixed_separators_are_joined():
+    for text, word in [("you a s s there", "ass"), ("p o o p", "poop"), ("f.u c.k", "fuck"), ("so s-t.u p_i d!", "stupid")]:
+        assert word in toxicity.spaced_words(text)
+    assert toxicity.spaced_words("nothing of the kind a b here") == []
