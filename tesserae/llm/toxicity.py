@@ -52,8 +52,6 @@ TRIPLE = re.compile(r"(.)\1\1").search
 #: What no word set apart is without; quick to look for.
 MAYBE_SPACED = re.compile(r"(?<!\S)\S[\s._\-*]{1,2}\S[\s._\-*]{1,2}\S").search
 SPACED = regex.compile(r"(?<![^\s])(?:\p{L}|[0-9@$!|+])(?:[\s._\-*]{1,2}(?:\p{L}|[0-9@$!|+])){2,40}(?![^\s.,;:!?])")
-#: Longer tokens (encoded data, for the most part) are scored as they are.
-LONGEST = 40
 BEGINNINGS = (4, 5, 6)
 
 
@@ -91,7 +89,10 @@ def char_table(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def lattice(token: str) -> list[list[tuple[str, float, int]]]:
     """For each place of the (lower-cased) token its arcs: letters read ('' for none), cost, next place."""
-    arcs = []
+    return list(arcs(token))
+
+
+def arcs(token: str) -> Iterator[list[tuple[str, float, int]]]:
     n, i = len(token), 0
     while i < n:
         c = token[i]
@@ -111,33 +112,51 @@ def lattice(token: str) -> list[list[tuple[str, float, int]]]:
             if c in LOOKS_LIKE and run == 2:
                 out += [(x + x, 2 * COST_LOOK, run) for x in LOOKS_LIKE[c]]
             out += [("", COST_JOINT if c in "._- *" else (COST_MARK if c in "#|!" or c not in LOOKS_LIKE else COST_LETTER) * run, run)]
-        arcs += [[(x, cost, i + step) for x, cost, step in out], *([] for _ in range(run - 1))]
+        yield [(x, cost, i + step) for x, cost, step in out]
+        yield from ([] for _ in range(run - 1))
         i += run
-    return arcs
 
 
 def decode(token: str, table: np.ndarray, head: int = 0, tail: int = 0) -> str:
     """The likeliest word of a disguised token; of equal paths, the first in order of the words.
     The first ``head`` and the last ``tail`` characters are read as letters."""
     token = token.lower()
-    arcs = lattice(token)
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-    best[0][0, 0] = (0.0, "")
-    for i, out in enumerate(arcs):
-        if i < head or i >= len(token) - tail:
+    n = len(token)
+    # Words are linked lists of what was read, and places behind are let go: time and memory are linear in the token's length.
+    best: dict[int, dict[tuple[int, int], tuple[float, tuple | None]]] = {0: {(0, 0): (0.0, None)}}
+    for i, out in enumerate(arcs(token)):
+        here = best.pop(i, None)
+        if not here:
+            continue
+        if i < head or i >= n - tail:
             out = [x for x in out if x[0]]
-        for (a, b), (score, word) in best[i].items():
+        for (a, b), (score, word) in here.items():
             for letters, cost, j in out:
                 s, x, y = score - cost, a, b
                 for c in letters:
                     k = _CLASS.get(c, _OTHER)
                     s += float(table[x, y, k])
                     x, y = y, k
-                old = best[j].get((x, y))
-                if old is None or (s, word + letters) > old:
-                    best[j][x, y] = (s, word + letters)
-    ends = [(s + float(table[a, b, 0]), w) for (a, b), (s, w) in best[-1].items() if w]
-    return max(ends)[1] if ends else token
+                there = best.get(j)
+                if there is None:
+                    there = best[j] = {}
+                old = there.get((x, y))
+                link = (word, letters) if letters else word
+                if old is None or s > old[0] or (s == old[0] and spelt(link) > spelt(old[1])):
+                    there[x, y] = (s, link)
+    found = [(s + float(table[a, b, 0]), w) for (a, b), (s, w) in best.get(n, {}).items() if w]
+    if not found:
+        return token
+    top = max(s for s, _ in found)
+    return max(spelt(w) for s, w in found if s == top)
+
+
+def spelt(word: tuple | None) -> str:
+    out = []
+    while word:
+        word, letters = word
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def ends(low: str, plain: str) -> list[tuple[str, str]]:
@@ -156,9 +175,9 @@ def readings(token: str, table: np.ndarray) -> list[str]:
         return [low]
     plain = low.strip(STRIP)
     out = [plain] if plain else []
-    if len(low) <= LONGEST and not (plain.isalpha() and len(plain) == len(low)):
+    if not (plain.isalpha() and len(plain) == len(low)):
         out += [decode(h + plain + t, table, len(h), len(t)) for h, t in ends(low, plain) if any(c.isalpha() for c in plain) and (h or t or not plain.isalpha() or TRIPLE(plain))]
-    elif len(low) <= LONGEST:
+    else:
         out.append(decode(low, table))
     return list(dict.fromkeys(x for x in out if x))
 
@@ -193,7 +212,7 @@ def restored(text: str | None, table: np.ndarray) -> str | None:
     if not text:
         return text
     text = SPACED.sub(lambda m: joined(m[0], table), text)
-    return regex.sub(r"\S+", lambda m: decode(m[0].lower().strip(".,;:?\"'"), table) if len(m[0]) <= LONGEST and DISGUISE.search(m[0].lower().rstrip(STRIP)) and any(c.isalpha() for c in m[0]) else m[0], text)
+    return regex.sub(r"\S+", lambda m: decode(m[0].lower().strip(".,;:?\"'"), table) if DISGUISE.search(m[0].lower().rstrip(STRIP)) and any(c.isalpha() for c in m[0]) else m[0], text)
 
 
 def text_words(text: str, table: np.ndarray) -> set[str]:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -115,3 +117,14 @@ def test_repeated_letters_and_mixed_separators_are_joined():
     for text, word in [("you a s s there", "ass"), ("p o o p", "poop"), ("f.u c.k", "fuck"), ("so s-t.u p_i d!", "stupid")]:
         assert word in toxicity.spaced_words(text)
     assert toxicity.spaced_words("nothing of the kind a b here") == []
+
+
+def test_long_tokens_are_decoded(spark, tables):
+    table = char_table(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for said, meant in [("1d10t" + "!" * 40, "idiot"), ("l" + "o" * 60 + "ser", "loser"), (".".join("l" + "o" * 45) + ".s.e.r", None), ("-" * 50 + "l0ser", "loser")]:
+        got = toxicity.readings(said, table)
+        assert meant in got if meant else any(w != said and w.startswith("lo") and w.isalpha() for w in got), got
+    assert restored("a l" + "o" * 60 + "ser", table) == "a loser"
+    began = time.perf_counter()
+    assert all(toxicity.readings(x, table) for x in ("a1" * 50_000, "f.u-c.k." * 10_000, "(!" * 20_000 + "x" + "!(" * 20_000))
+    assert time.perf_counter() - began < 60
