@@ -35,14 +35,15 @@ def _count(tokens: str, term: str) -> Column:
     return F.size(F.array_compact(F.transform(tokens, lambda x: F.when(x == F.lit(term), F.lit(1)))))
 
 
-def text_search(legs: list[tuple[DataFrame, str]], terms: list[str], n: int) -> DataFrame:
-    """(id, parent_id, title, relevance): each leg's best score by row, legs united, the best by result, the first ``n``.
+def text_search(legs: list[tuple[DataFrame, str]], terms: list[str], n: int | None = None) -> DataFrame:
+    """(id, parent_id, title, relevance): each leg's best score by row, legs united, the best by result, the first ``n`` or all.
 
     A leg is (rows with id, parent_id and title, text column).
     """
     found = [bm25(rows, text, terms).groupBy("id", "parent_id", "title").agg(F.max("score").alias("relevance")) for rows, text in legs]
     union = reduce(DataFrame.unionByName, found).where("id IS NOT NULL")
-    return union.groupBy("id", "parent_id", "title").agg(F.max("relevance").alias("relevance")).orderBy(F.desc("relevance"), "id").limit(n)
+    ranked = union.groupBy("id", "parent_id", "title").agg(F.max("relevance").alias("relevance")).orderBy(F.desc("relevance"), "id")
+    return ranked if n is None else ranked.limit(n)
 
 
 def cosine(vector: str, query: list[float]) -> Column:

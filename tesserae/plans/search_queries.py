@@ -41,19 +41,19 @@ def _legs(c):
     return [(s, "title"), (chunk, "content"), (s, "full_text"), (insight, "content"), (note, "title"), (note, "content")]
 
 
-def _search(c, terms, n):
-    return search.text_search(_legs(c), terms, n).withColumn("relevance", F.round("relevance", 6))
+def _search(c, terms):
+    return search.text_search(_legs(c), terms).withColumn("relevance", F.round("relevance", 6))
 
 
 @query("text_search_common_words", _text_sql(_LEGS, ["the", "and"], 1_000_000), "source", "source_embedding", "source_insight", "note")
 def common(c):
-    # No limit that could cut through equal scores: the whole ranking is compared.
-    return _search(c, ["the", "and"], 1_000_000)
+    # No limit: the whole ranking is given. The SQL to compare with ends at a million rows.
+    return _search(c, ["the", "and"])
 
 
 @query("text_search_labels", _text_sql(_LEGS, ["label"], 1_000_000), "source", "source_embedding", "source_insight", "note")
 def labels(c):
-    return _search(c, ["label"], 1_000_000)
+    return _search(c, ["label"])
 
 
 @query("text_search_full_text_top", _text_sql([(_SOURCE, "full_text")], ["that", "with"], 25), "source")
