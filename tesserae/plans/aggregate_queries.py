@@ -43,7 +43,12 @@ def progress(c):
 
 @query("kinds_in_lists", "SELECT note_type, count(*) AS n, sum(length(content)) AS chars, list_sort(list(DISTINCT title))[1:5] AS titles FROM note GROUP BY note_type", "note")
 def kinds(c):
-    return c.note().groupBy("note_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.slice(F.sort_array(F.collect_set("title")), 1, 5).alias("titles"))
+    sums = c.note().groupBy("note_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+    first = F.row_number().over(Window.partitionBy("note_type").orderBy("title"))
+    titles = c.note().select("note_type", "title").where("title IS NOT NULL").distinct().withColumn("r", first).where("r <= 5")
+    titles = titles.groupBy("note_type").agg(F.sort_array(F.collect_list("title")).alias("titles"))
+    joined = sums.join(F.broadcast(titles), sums["note_type"].eqNullSafe(titles["note_type"]), "left")
+    return joined.select(sums["note_type"], "n", "chars", F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
 
 
 @query("json_field_sum", "SELECT user_id, sum(k) AS total FROM job_event GROUP BY user_id", "job_event")
