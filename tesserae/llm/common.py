@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 #: that bytes.split() without an argument splits at.
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch, and of what is broadcast at most where a table's size decides how it is joined.
+BATCH_BYTES, BROADCAST_BYTES = 4 << 20, 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,11 +56,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint
-    and with column pruning, for what several later jobs read in part."""
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, with column pruning and a known size,
+    for what several later jobs read or what a loop goes on with."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_held_out(key: Column, modulus: int, remainder: int) -> Column:
@@ -64,6 +77,13 @@ def is_held_out(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches between Spark and Python hold about BATCH_BYTES, unless the session asks for another
+    size than Spark's own: a worker's memory follows the batch, and texts may be long."""
+    if spark.conf.get(_BATCH_SETTING).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -73,6 +93,23 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("n")).first()["n"]
 
 
+def only(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of these distinct ids. Ids of up to BROADCAST_BYTES, which are counted, are broadcast, so the rows stay where
+    they are; more are joined by shuffle."""
+    size = ids.agg(F.coalesce(F.sum(F.octet_length(F.col(id_col).cast("string")) + 24), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, id_col, "left_semi")
+
+
+def keyed_columns(df: DataFrame, text_col: str) -> tuple[list[Column], int]:
+    """All columns under names that clash with none, and the place of the text among them: rows go through a task whole, the text once."""
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)], df.columns.index(text_col)
+
+
+def renamed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of keyed_columns() under their own names again."""
+    return df.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def squeezed(rows: DataFrame, column: str = "text") -> DataFrame:
     """``rows`` with a binary column compressed row by row: for texts that are shuffled more than once."""
     names = rows.columns

@@ -5,39 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import remove, written
 
 
 def _lowest(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written, so that the joins below are of two plain tables: Spark can then split a hub's edges over tasks.
+    return written(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = _lowest(both)
+    out = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+    remove(low)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _lowest(down)
     linked = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    out = written(linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+    remove(low, edges)
+    return out
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, v): every node that has an edge in (u, v) and is not the least of its component, with the least node.
 
-    The rounds grow with the logarithm of the longest path; each ends in a cut of
-    the lineage. The joins are on one node's edges and the node's minimum, one
-    row for each node, so a hub's edges can be split over tasks.
+    The rounds grow with the logarithm of the longest path and end when nothing
+    changes; each ends in written tables, which replace those of the round before.
+    The joins are on one node's edges and the node's minimum, one row for each node.
     """
-    edges = cut(edges.select("u", "v").where("u <> v"))  # once: two branches read it
-    edges = cut(_small_star(edges))
+    edges = _small_star(written(edges.select("u", "v").where("u <> v"), "edges"))
     sign = None
-    for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges)))
+    while True:
+        large = _large_star(edges)
+        remove(edges)
+        edges = _small_star(large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == sign or not now[0]:
             return edges
         sign = now
-    raise RuntimeError(f"no end after {max_rounds} rounds")

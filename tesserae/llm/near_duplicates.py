@@ -1,44 +1,80 @@
 """Operator 6: near duplicates by bottom-k sketches from one hash function.
 
 Rows of equal shingle sets form one class, whose least id stands for it. A class
-keeps the ``sketch`` least hash values of its set. Inverted lists of retained
+keeps the least hash values of its set, k of them. Inverted lists of retained
 values generate the pairs; the sketch of the union estimates the similarity and
 drops pairs that are far off; the rest is confirmed on the full sets.
 
-Lists of up to ``hot`` classes give their pairs. Values in more classes ("hot")
-come last in a class's order of values, so a passage that many unlike texts
-share brings no candidates together; only classes made of hot values for the
-most part index them. There, the list's members are paired with one centre.
-Lists then still in several components are compared further: classes with too
-many shingles of their own to be similar to any other are set aside, which is
-exact, and the rest of such lists is compared whole, tile by tile, by matrix
-products. So no pair that may be similar is left out, and none is emitted but
-links that connect.
+Nothing is left to chance in the generation: k is the set's complete prefix
+(similar sets share one of their first n - ceil(num n / den) + 1 values in any one
+order) and SPARE more. So similar sets have several retained values in common,
+and each may leave out as many of its most frequent ones less one. A passage that
+many unlike texts share then brings no candidates together, as long as it is a
+small part of them.
+
+The lists are worked off in two steps. First only a few values of each class, the
+rarest, are listed; that links nearly all that is to be linked. Then all others
+are, and lists whose members are all in one component by now are done. Of the
+rest, short ones give their pairs. In long ones, classes with too many shingles of
+their own to be similar to any other are set aside, which is exact, and what is
+left is compared whole, tile by tile, by matrix products.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import cut, written
+from tesserae.llm.common import only, small_batches, squeezed, unsqueezed, written
 from tesserae.llm.components import components
 from tesserae.llm.wordhash import LOWER, Words, hash_words, mix, text_chunks
 
-#: Values retained of a set. Of a pair of similarity 0.8, the values of one that the other lacks are a fifth
-#: at most (mean 9.6 of 48, deviation 2.8), so REACH of them in any order hold common ones but once in 10^8.
-SKETCH, REACH = 48, 26
-#: Pairs whose sketches estimate less than this share are not confirmed: five deviations below 0.8.
-ESTIMATE = 0.5
-#: Values indexed of those in short lists and in long ones; four of five are common to a similar pair.
-COLD, HOT = 10, 8
-BROADCAST_IDS = 1_000_000
-TILE = 400
+#: Sets of up to WHOLE values are retained whole; of larger ones SPARE values more than the complete prefix.
+WHOLE, SPARE = 64, 24
+#: Values listed in the first step, of those in few classes and of those in many, and members of a list that gives its pairs.
+FIRST_COLD, FIRST_HOT, HOT = 8, 4, 8
+#: Values of the union's sketch, and the share of truly similar pairs, at most, that an estimate may drop (see tail()).
+ESTIMATED, RISK = 64, 1e-12
+#: Members paired with one centre in a task, and of a tile.
+SALTED, TILE = 256, 400
+
+
+def prefix(n: int, num: int, den: int) -> int:
+    """Of two similar sets, the least common value is among the first so many of either."""
+    return n - -(-n * num // den) + 1
+
+
+@cache
+def retained(num: int, den: int, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(values retained of a set of n, values that it may leave out of the lists), for n up to ``most``.
+
+    Similar sets A and B have min(spare(A), spare(B)) + 1 retained values in common at least, spare being what is retained
+    beyond the prefix. A may leave out as many as no set of a similar size spares less than.
+    """
+    k = np.array([min(n, max(WHOLE, prefix(n, num, den) + SPARE)) for n in range(most + 1)])
+    spare = k - np.array([prefix(n, num, den) if n else 0 for n in range(most + 1)])
+    least = [min(spare[-(-n * num // den) : n * den // num + 1].min(), SPARE) if n else 0 for n in range(most + 1)]
+    return k, np.array(least)
+
+
+@cache
+def tail(num: int, den: int) -> tuple[int, ...]:
+    """For each size of the union's sketch the common values from which on a pair is kept: of a pair that is similar the
+    sketch is a sample of the union, and holds fewer with a chance below RISK (by the binomial tail, which is above it)."""
+    p, out = num / den, []
+    for size in range(ESTIMATED + 1):
+        below, least = 0.0, 0
+        while below + (now := math.comb(size, least) * p**least * (1 - p) ** (size - least)) < RISK:
+            below, least = below + now, least + 1
+        out.append(least)
+    return tuple(out)
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -57,76 +93,82 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
         yield np.unique(grams[cuts[t] : cuts[t + 1]]) if n >= size else short.get(t, none)
 
 
-def sketches(docs: DataFrame, *, shingle: int = 4, sketch: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, f1, f2, least): set size, 128-bit fingerprint of the set, its ``sketch`` least values."""
+def sketches(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, f1, f2, out, least): set size, 128-bit fingerprint of the set, values that may be left out, the retained values."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("n long, f1 long, f2 long, least array<long>").fields])
+    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("n long, f1 long, f2 long, out int, least array<long>").fields])
+    keeps, outs = retained(num, den)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, least = [], [], [], []
-            for _, _, data, offsets in text_chunks(batch.column(1)):
+            for a, b, data, offsets in text_chunks(batch.column(1)):
+                n, f1, f2, out, least = [], [], [], [], []
                 for s in shingle_sets(hash_words(data, offsets, LOWER), shingle):
-                    x = s.view(np.uint64)
-                    n.append(len(s))
+                    x, size = s.view(np.uint64), len(s)
+                    n.append(size)
                     f1.append(mix(x).sum(dtype=np.uint64))
-                    f2.append(np.bitwise_xor.reduce(mix(x + np.uint64(0x5851F42D4C957F2D))) if len(x) else np.uint64(0))
-                    least.append(s[:sketch])
-            numbers = [np.array(n, np.int64), *(np.array(f, np.uint64).view(np.int64) for f in (f1, f2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), pa.array(least, pa.list_(pa.int64()))], names=schema.names)
+                    f2.append(np.bitwise_xor.reduce(mix(x + np.uint64(0x5851F42D4C957F2D))) if size else np.uint64(0))
+                    out.append(int(outs[size]) if size < len(outs) else SPARE)
+                    least.append(s[: int(keeps[size]) if size < len(keeps) else prefix(size, num, den) + SPARE])
+                numbers = [np.array(n, np.int64), *(np.array(f, np.uint64).view(np.int64) for f in (f1, f2)), np.array(out, np.int32)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, numbers), pa.array(least, pa.list_(pa.int64()))], names=schema.names)
 
     return rows.mapInArrow(make, schema)
 
 
-def _pairs(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _sides(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b, salts) with ``columns`` of both as xa, xb. A centre's pairs are dealt by salt, and its row goes once to each."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    side = lambda x: rows.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in columns))
+    centres = dealt.select("b", "salt").distinct().join(side("b"), "b")
+    return dealt.join(side("a"), "a").join(centres, ["b", "salt"])
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, sketch: int, num: int, den: int) -> DataFrame:
-    """Pairs that may be similar by the sketch of the union; sets held whole in their sketches are decided."""
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("least").alias(f"s{x}"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
-    both = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
+def _estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, salts) that may be similar by the sketch of the union; sets held whole in their sketches are decided."""
+    few = nodes.select("id", "n", F.slice("least", 1, ESTIMATED).alias("s"))
+    common = F.array_intersect("sa", "sb")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, ESTIMATED)
+    enough = F.element_at(F.array(*map(F.lit, tail(num, den))), F.size(union) + 1)
     size_ok = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     # Sets within the sketch: intersection and union themselves.
-    whole = (F.size(F.array_intersect("sa", "sb")) * den >= F.size(F.array_union("sa", "sb")) * num) & (F.greatest("na", "nb") <= sketch)
-    rough = (F.greatest("na", "nb") > sketch) & (both >= F.size(union) * ESTIMATE)
-    return pairs.join(side("a"), "a").where(F.size("sa") > 0).join(side("b"), "b").where(size_ok & (whole | rough)).select("a", "b").distinct()
-
-
-def _only(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """The rows of these ids. Up to BROADCAST_IDS of them are broadcast, so the other texts are not shuffled; more are joined by shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
+    whole = (F.size(common) * den >= F.size(F.array_union("sa", "sb")) * num) & (F.greatest("na", "nb") <= WHOLE)
+    rough = (F.greatest("na", "nb") > WHOLE) & (F.size(F.array_intersect(union, common)) >= enough)
+    return _sides(pairs, few, ["n", "s"]).where(size_ok & (whole | rough)).select("a", "b", "salts")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den: int) -> DataFrame:
-    """(u, v) of the pairs whose full sets have ``den * intersection >= num * union``; docs: (id, text)."""
-    texts = _only(docs, cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()))
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    """(u, v) of the pairs (a, b, salts) whose full sets have ``den * intersection >= num * union``; docs: (id, text).
+
+    The texts of both travel squeezed. Pairs of one centre come one after the other, and its set is made once.
+    """
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct(), "ids")
+    texts = written(squeezed(only(docs, ids, "id")), "near-texts")
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_chunks(column):
-            yield from shingle_sets(hash_words(data, offsets, LOWER), shingle)
+        for at in range(0, len(column), 50):
+            for _, _, data, offsets in text_chunks(unsqueezed(column.slice(at, 50))):
+                yield from shingle_sets(hash_words(data, offsets, LOWER), shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, y = None, np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                good = []
-                for x, y in zip(sets(part.column(2)), sets(part.column(3)), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["u", "v"])
+            good, names = [], batch.column(1).to_pylist()
+            for i, x in enumerate(sets(batch.column(2))):
+                if names[i] != centre or centre is None:
+                    centre, y = names[i], next(sets(batch.column(3).slice(i, 1)))
+                # A set is retained whole where it is small; which of equal ids' texts is meant doesn't matter here.
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(compare, schema)
+    return _sides(pairs, texts, ["text"]).select("a", "b", "texta", "textb").mapInArrow(compare, schema)
 
 
-def near_duplicates(
-    docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, sketch: int = SKETCH, hot: int = 8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row.
 
     A text's set is that of its distinct ``shingle``-word shingles over words
@@ -135,14 +177,16 @@ def near_duplicates(
     with ``den * intersection >= num * union`` are linked; ``component_id`` is the
     least id reachable, ``kept`` marks the row that has it. Rows with a null id
     are linked with nothing (null component, kept). Rows of one repeated id count
-    as one document. An empty table gives no rows.
+    as one document. An empty table gives no rows. Very long texts are read whole
+    and hashed in blocks; their sketches grow with a fifth of their shingles.
     """
-    made = written(sketches(docs, shingle=shingle, sketch=sketch, id_col=id_col, text_col=text_col), "sketches")
+    small_batches(docs.sparkSession)
+    made = written(sketches(docs, shingle=shingle, num=num, den=den, id_col=id_col, text_col=text_col), "sketches")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     real = made.where("n > 0 AND id IS NOT NULL")
-    classes = cut(real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
+    classes = written(real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "class-ids")
     nodes = written(made.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "classes")
-    edges = _links(nodes, texts, shingle, num, den, sketch, hot)
+    edges = _links(nodes, texts, shingle, num, den)
     # Rows of one id in several classes join these.
     same = real.join(classes, ["f1", "f2", "n"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     repeated = same.join(nodes.select(F.col("id").alias("u")).distinct(), "u", "left_semi")
@@ -156,92 +200,111 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows, all columns, of one document of each component (the least id); of a repeated id one row. Rows without an id stay."""
     key = F.col(id_col)
-    kept = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("kept") & key.isNotNull()).select(id_col).distinct())
-    chosen = _only(docs, kept, id_col)
+    kept = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("kept") & key.isNotNull()).select(id_col).distinct(), "kept")
+    chosen = only(docs, kept, id_col)
     if docs.where(key.isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
         chosen = chosen.dropDuplicates([id_col])
     return chosen.unionByName(docs.where(key.isNull()))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, sketch: int, hot: int) -> DataFrame:
+def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The components of the classes, as in components()."""
     values = nodes.select("id", F.explode("least").alias("value"))
-    held = cut(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"))
-    entries = values.join(held, "value").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("held") <= hot, F.col("value")))).alias("cold"), F.array_sort(F.collect_list(F.when(F.col("held") > hot, F.col("value")))).alias("many")
-    )
-    # In any one order of values, similar sets share one of their first n - ceil(num n / den) + 1.
-    first = F.least(F.col("n") - F.ceil(F.col("n") * num / den) + 1, F.lit(REACH)).cast("int")
-    reach = first - (F.least(F.col("n"), F.lit(sketch)) - F.size("cold") - F.size("many")).cast("int")
-
-    def indexed(values: str, most: int, before, is_hot: bool):
-        taken = F.slice(values, F.lit(1), F.greatest(F.lit(0), F.least(reach - before, F.lit(most))).cast("int"))
-        return F.transform(taken, lambda v: F.struct(v.alias("value"), F.lit(is_hot).alias("is_hot")))
-
-    both = F.concat(indexed("cold", COLD, F.lit(0), False), indexed("many", HOT, F.size("cold"), True))
-    # Of a retained set, the share that few others have: a list's centre is the member with the least.
-    apart = 1 - F.size("many") / F.least(F.col("n"), F.lit(sketch))
-    lists = cut(nodes.join(entries, "id").select("id", "n", apart.alias("apart"), F.explode(both).alias("e")).select("id", "n", "apart", "e.value", "e.is_hot"))
-    cold = lists.where("NOT is_hot").groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
-    cold = cold.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
-    hot_lists = lists.where("is_hot").select("id", "n", "apart", "value").distinct()
-
-    def test(pairs: DataFrame) -> DataFrame:
-        close = cut(_estimated(pairs.distinct(), nodes, sketch, num, den))
-        return confirmed(close, texts, shingle=shingle, num=num, den=den)
+    held = written(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    shared = values.join(held, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("shared"))
+    # The values that no other class has come first in the order; the most frequent ones are left out.
+    listed = nodes.select("id", "n", "out", F.size("least").alias("k")).join(shared, "id")
+    listed = listed.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col("k") - F.col("out"))).cast("int")))
+    unique = (F.col("k") - F.size("shared")) / F.col("k")
+    # The values of the first step: the rarest of either kind.
+    cold = F.filter("shared", lambda x: x["held"] <= HOT)
+    hot = F.filter("shared", lambda x: x["held"] > HOT)
+    early = F.array_union(F.slice(cold, 1, FIRST_COLD), F.slice(hot, 1, FIRST_HOT))
+    tagged = F.transform("shared", lambda x: F.struct(x["value"].alias("value"), (x["held"] > HOT).alias("is_hot"), F.array_contains(early, x).alias("early")))
+    lists = written(listed.select("id", "n", unique.alias("apart"), F.explode(tagged).alias("e")).select("id", "n", "apart", "e.*").distinct(), "lists")
+
+    def all_pairs(short: DataFrame) -> DataFrame:
+        """The pairs within lists of up to HOT members."""
+        ids = short.groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
+        each = ids.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+        return each.distinct().withColumn("salts", F.lit(1))
 
     def centred(members: DataFrame) -> DataFrame:
         """Every member of a list with the list's member that is least apart; of equal ones that of the least hash."""
-        centre = members.groupBy("value").agg(F.min_by("id", F.struct("apart", F.xxhash64("id"))).alias("centre"))
-        return members.join(centre, "value").where("id <> centre").select(*_pairs(F.col("id"), F.col("centre")))
+        centre = members.groupBy("value").agg(F.min_by("id", F.struct("apart", F.xxhash64("id"))).alias("b"), F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+        return members.join(written(centre, "centres"), "value").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.max("salts").alias("salts"))
+
+    def test(pairs: DataFrame) -> DataFrame:
+        return written(confirmed(written(_estimated(pairs, nodes, num, den), "pairs"), texts, shingle=shingle, num=num, den=den), "links")
 
     def several(members: DataFrame, labels: DataFrame) -> DataFrame:
         """The members of lists that hold several labels, with theirs (c)."""
         named = members.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        return cut(named.join(named.groupBy("value").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("value"), "value"))
-
-    edges = cut(test(cold.unionByName(centred(hot_lists))))
-    labels = _two_steps(edges)
-    open_ = several(hot_lists, labels)
+        mixed = written(named.groupBy("value").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("value"), "mixed")
+        return written(named.join(mixed, "value"), "open")
+
+    first = lists.where("early")
+    edges = components(test(all_pairs(first.where("NOT is_hot")).unionByName(centred(first.where("is_hot")))))
+    labels = _labels(edges)
+    open_ = several(lists, labels)
+    late = all_pairs(open_.where("NOT is_hot"))
+    # Pairs of one component are linked already.
+    by = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+    late = late.join(by[0], "a", "left").join(by[1], "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b", "salts")
+    more = test(late)
+    if more.limit(1).count():
+        edges = components(edges.unionByName(more))
+        labels = _labels(edges)
+    open_ = several(open_.where("is_hot").select("id", "n", "value"), labels)
     if not open_.limit(1).count():
-        return components(edges)
-    own = _own(cut(open_.select("id").distinct()), texts, shingle)
+        return edges
+    own = _own(written(open_.select("id").distinct(), "ids"), texts, shingle)
     members = open_.select("id", "n", "value").join(own, "id", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * den >= F.col("n") * num)
     open_ = several(members.select("id", "value"), labels)
     if not open_.limit(1).count():
-        return components(edges)
+        return edges
     return components(edges.unionByName(_within_families(open_, texts, shingle, num, den)))
 
 
-def _two_steps(edges: DataFrame) -> DataFrame:
-    """(id, c): the least id within two links of each. Equal labels are of one component; a star has one label."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    one = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-    return cut(both.join(one.select(F.col("u").alias("v"), "m"), "v").groupBy(F.col("u").alias("id")).agg(F.min("m").alias("c")))
+def _labels(edges: DataFrame) -> DataFrame:
+    """(id, c): the component of each class that is linked with another."""
+    return written(edges.select(F.col("u").alias("id"), F.col("v").alias("c")).union(edges.select("v", "v").distinct()), "labels")
 
 
 def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(u, v): links within the families that open lists form, enough of them to connect what is linked.
 
-    A family's members are dealt into tiles of about TILE, and each pair of tiles is
+    A family's members are dealt into tiles of about TILE, a large component's into
+    tiles of its own, and each pair of tiles that may hold two components is
     compared in a task by the products of their incidence matrices, which counts
-    the common shingles of all pairs without a row for any. A task returns a
-    spanning tree of each component that it finds.
+    the common shingles of all pairs without a row for any. Texts travel squeezed.
+    A task returns a spanning tree of each component that it finds.
     """
     least = open_.groupBy("value").agg(F.min("id").alias("v"))
-    family = components(open_.select("id", "value").join(least, "value").select(F.col("id").alias("u"), "v"))
+    family = components(open_.select("id", "value").join(written(least, "least"), "value").select(F.col("id").alias("u"), "v"))
     member = open_.select("id", "c").distinct().join(family.withColumnRenamed("u", "id"), "id", "left").select("id", "c", F.coalesce("v", "id").alias("family"))
-    tiles = member.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    member = cut(member.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")))
+    member = written(member, "members")
+    size = member.groupBy("family", "c").agg(F.count("*").alias("k"))
+    size = size.withColumn("alone", F.col("k") * 2 > TILE)
+    total = size.where("NOT alone").groupBy("family").agg(F.ceil(F.sum("k") / TILE).cast("int").alias("pools"))
+    # Tiles have names: a large component's parts, or a pool of small components.
+    named = member.join(written(size.join(total, "family", "left"), "sizes"), ["family", "c"])
+    part = F.when(F.col("alone"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / TILE))).otherwise(F.pmod(F.xxhash64("c"), F.col("pools"))).cast("int")
+    named = written(named.select("family", "id", "c", F.struct(F.when(F.col("alone"), F.col("c")).alias("only"), part.alias("part")).alias("tile")), "tiles")
+    tiles = named.select("family", "tile").distinct()
+    other = tiles.select("family", F.col("tile").alias("other"))
+    pairs = tiles.join(other, "family").where("tile < other OR tile = other AND tile.only IS NULL").where(F.coalesce(F.col("tile.only") != F.col("other.only"), F.lit(True)))
+    pairs = written(pairs.select("family", F.col("tile").alias("a"), F.col("other").alias("b")), "tile-pairs")
     kind = member.schema["id"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
-    placed = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "c")
-    placed = placed.join(_only(texts, member.select("id").distinct()).distinct(), "id")
+    squeezed_texts = squeezed(only(texts, named.select("id").distinct(), "id").distinct())
+    rows = named.join(squeezed_texts, "id").withColumn("key", F.xxhash64("family", "tile"))
+    ends = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"), "family", "a", "b")
+    placed = rows.join(ends, ["family", "tile"]).select("family", "a", "b", (F.col("tile") == F.col("a")).alias("first"), "id", "c", "text")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids, c, tile = (np.array(table[x].to_pylist()) for x in ("id", "c", "tile"))
-        sets = [s for _, _, data, offsets in text_chunks(table["text"].combine_chunks()) for s in shingle_sets(hash_words(data, offsets, LOWER), shingle)]
+        ids, c, first = (np.array(table[x].to_pylist()) for x in ("id", "c", "first"))
+        sets = [s for at in range(0, table.num_rows, 50) for _, _, data, offsets in text_chunks(unsqueezed(table["text"].slice(at, 50))) for s in shingle_sets(hash_words(data, offsets, LOWER), shingle)]
         size = np.array([len(s) for s in sets])
         _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), size)
@@ -256,8 +319,8 @@ def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int,
             part[row[lo:hi], column[lo:hi] - at] = 1
             both += part @ part.T
         linked = (both > 0) & (den * both >= num * (size[:, None] + size[None, :] - both)) & (ids[:, None] != ids[None, :])
-        if key[1] != key[2]:
-            linked &= tile[:, None] != tile[None, :]
+        if len(set(first.tolist())) > 1:
+            linked &= first[:, None] != first[None, :]
         # Least labels spread over the links; members known to be linked start with one label.
         label = np.unique(c, return_inverse=True)[1]
         x, y = np.nonzero(linked)
@@ -275,7 +338,7 @@ def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int,
 
 def _own(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(id, own): how many of a class's shingles no other of these classes has."""
-    rows = _only(texts, ids).distinct()
+    rows = only(texts, ids, "id").distinct()
     schema = T.StructType([rows.schema["id"], T.StructField("s", T.LongType())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

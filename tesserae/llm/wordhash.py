@@ -22,8 +22,8 @@ IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER = np.where((IDENTITY >= 0x41) & (IDENTITY <= 0x5A), IDENTITY + 32, IDENTITY).astype(np.uint8)
 SPACE = np.isin(IDENTITY, [0x20, *range(0x09, 0x0E)])
 
-#: Bytes of text worked on at once; arrays of eight bytes for each are held.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that callers take at once, and bytes or words that are hashed at once: arrays of eight bytes for each are held.
+CHUNK_BYTES, BLOCK = 1 << 20, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,18 +32,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
+def _powers(base: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.full(BLOCK, base, np.uint64)]).cumprod(dtype=np.uint64)
+
+
+class _Base:
+    """The first BLOCK + 1 powers of a base and of its inverse, modulo 2^64."""
+
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
+        self.up, self.down = _powers(self.base), _powers(self.inverse)
 
 
-_BYTES, _WORDS = _Powers(BYTE_BASE), _Powers(WORD_BASE)
+_BYTES, _WORDS = _Base(BYTE_BASE), _Base(WORD_BASE)
 
 
 @dataclass
@@ -69,11 +70,17 @@ class Words:
         total = len(self.hashes)
         if total < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        up, down = _WORDS.to(total)
-        sums = np.concatenate([np.zeros(1, np.uint64), (self.hashes * up).cumsum(dtype=np.uint64)])
         left = np.repeat(self.bounds[1:], self.counts) - np.arange(total)
         at = np.flatnonzero(left >= n)
-        return at, mix((sums[at + n] - sums[at]) * down[at] + np.uint64(n))
+        out = np.empty(len(at), np.uint64)
+        step = BLOCK - n
+        for first in range(0, total, step):  # a gram's hash doesn't depend on the block
+            lo, hi = np.searchsorted(at, [first, first + step])
+            part = self.hashes[first : first + BLOCK]
+            sums = np.concatenate([np.zeros(1, np.uint64), (part * _WORDS.up[: len(part)]).cumsum(dtype=np.uint64)])
+            own = at[lo:hi] - first
+            out[lo:hi] = mix((sums[own + n] - sums[own]) * _WORDS.down[own] + np.uint64(n))
+        return at, out
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = IDENTITY, separator: np.ndarray = SPACE) -> Words:
@@ -89,9 +96,20 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = IDENTIT
     before[edges] = after[edges - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _BYTES.to(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), ((fold[data].astype(np.uint64) + np.uint64(1)) * up).cumsum(dtype=np.uint64)])
-    return Words(mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets))
+    from_, to = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    inverse = np.empty(len(starts), np.uint64)
+    base, up, down = 0, 1, 1  # the sum before the block, and the powers at its start
+    for first in range(0, n, BLOCK):
+        part = fold[data[first : first + BLOCK]].astype(np.uint64) + np.uint64(1)
+        local = np.concatenate([np.zeros(1, np.uint64), (part * _BYTES.up[: len(part)]).cumsum(dtype=np.uint64)])
+        lo, hi = np.searchsorted(starts, [first, first + BLOCK])
+        own = starts[lo:hi] - first
+        from_[lo:hi], inverse[lo:hi] = np.uint64(base) + np.uint64(up) * local[own], np.uint64(down) * _BYTES.down[own]
+        lo, hi = np.searchsorted(ends, [first, first + BLOCK], "right")
+        to[lo:hi] = np.uint64(base) + np.uint64(up) * local[ends[lo:hi] - first]
+        base = (base + up * int(local[-1])) % (1 << 64)
+        up, down = up * pow(_BYTES.base, len(part), 1 << 64) % (1 << 64), down * pow(_BYTES.inverse, len(part), 1 << 64) % (1 << 64)
+    return Words(mix((to - from_) * inverse), np.searchsorted(starts, offsets))
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,9 @@ import random
 
 import pytest
 
-from tesserae.llm import near_duplicates as near_duplicates_module
+from tesserae.llm import common
 from tesserae.llm.components import components
-from tesserae.llm.near_duplicates import near_duplicates
+from tesserae.llm.near_duplicates import near_duplicates, prefix, retained, tail
 
 
 def shingles(text, k=4):
@@ -44,7 +44,7 @@ def family(r, size, copies, edits):
 
 @pytest.mark.parametrize(("seed", "broadcast"), [(1, 10**6), (2, 0)])
 def test_against_brute_force(spark, seed, broadcast, monkeypatch):
-    monkeypatch.setattr(near_duplicates_module, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     r = random.Random(seed)
     texts = [" ".join(str(r.randrange(10**6)) for _ in range(r.randrange(1, 80))) for _ in range(40)]
     texts += family(r, 120, 60, 2) + family(r, 200, 40, 4) + family(r, 12, 30, 1) + family(r, 300, 6, 7)
@@ -59,6 +59,28 @@ def test_against_brute_force(spark, seed, broadcast, monkeypatch):
     assert sorted((tuple(x) for x in near_duplicates(d).collect()), key=str) == brute(rows)
 
 
+def test_similar_sets_always_meet():
+    """Whatever each set leaves out of its retained values, the most frequent in any one order, a common one is left."""
+    r = random.Random(5)
+    keeps, outs = retained(80, 100)
+    for n in [*range(1, 90), 130, 190, 240, 400, 1000]:
+        for _ in range(6):
+            m = r.randint(-(-n * 80 // 100), n)  # the smaller set; as few in common as similarity allows
+            both = next(x for x in range(m + 1) if 100 * x >= 80 * (n + m - x))
+            if both > m:
+                continue
+            pool = r.sample(range(10**9), n + m - both)
+            r.shuffle(pool)
+            if r.random() < 0.5:  # the worst case: what is not common comes first
+                pool[:both], pool[both:] = sorted(pool)[-both:], sorted(pool)[:-both]
+            a, b = set(pool[:n]), {*pool[:both], *pool[n:]}
+            kept = [sorted(x)[: keeps[len(x)]] for x in (a, b)]
+            often = {v: r.random() + (v in a and v in b) for v in a | b}
+            left = [set(sorted(x, key=often.get)[: len(x) - outs[size]]) for x, size in zip(kept, (len(a), len(b)), strict=True)]
+            assert left[0] & left[1], (n, m, both)
+    assert prefix(10, 80, 100) == 3 and tail(80, 100)[64] > 25 and tail(80, 100)[10] == 0
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3), (400, 390), (390, 380)]
     got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
