@@ -33,17 +33,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): every node that has an edge in (u, v) and is not the least of its component, with the least node.
 
-    The rounds grow with the logarithm of the longest path and end when nothing
-    changes; each ends in written tables, which replace those of the round before.
-    The joins are on one node's edges and the node's minimum, one row for each node.
+    The rounds grow with the logarithm of the longest path and end when all edges
+    lead to the least node of a star; each ends in written tables, which replace
+    those of the round before. The joins are on one node's edges and the node's
+    minimum, one row for each node.
     """
     edges = _small_star(written(edges.select("u", "v").where("u <> v"), "edges"))
-    sign = None
-    while True:
+    while _paths(edges):
         large = _large_star(edges)
         remove(edges)
         edges = _small_star(large)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == sign or not now[0]:
-            return edges
-        sign = now
+    return edges
+
+
+def _paths(edges: DataFrame) -> bool:
+    """Whether some node has two edges that lead down, or edges both up and down. Without any, the edges are stars."""
+    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("v", F.lit(0), F.lit(1)).distinct())
+    sums = roles.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return sums.where("down > 1 OR down = 1 AND up = 1").limit(1).count() > 0

@@ -38,8 +38,9 @@ from tesserae.llm.wordhash import LOWER, Words, hash_words, mix, text_chunks
 
 #: Sets of up to WHOLE values are retained whole; of larger ones SPARE values more than the complete prefix.
 WHOLE, SPARE = 64, 24
-#: Values listed in the first step, of those in few classes and of those in many, and members of a list that gives its pairs.
-FIRST_COLD, FIRST_HOT, HOT = 8, 4, 8
+#: Values listed in the first step, of those in few classes and of those in many; members of a list that gives its pairs,
+#: at first and of those that are left at last.
+FIRST_COLD, FIRST_HOT, HOT, SHORT = 8, 4, 8, 32
 #: Values of the union's sketch, and the share of truly similar pairs, at most, that an estimate may drop (see tail()).
 ESTIMATED, RISK = 64, 1e-12
 #: Members paired with one centre in a task, and of a tile.
@@ -224,7 +225,7 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int)
     lists = written(listed.select("id", "n", unique.alias("apart"), F.explode(tagged).alias("e")).select("id", "n", "apart", "e.*").distinct(), "lists")
 
     def all_pairs(short: DataFrame) -> DataFrame:
-        """The pairs within lists of up to HOT members."""
+        """The pairs within short lists."""
         ids = short.groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
         each = ids.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
         return each.distinct().withColumn("salts", F.lit(1))
@@ -235,7 +236,9 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int)
         return members.join(written(centre, "centres"), "value").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.max("salts").alias("salts"))
 
     def test(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(written(_estimated(pairs, nodes, num, den), "pairs"), texts, shingle=shingle, num=num, den=den), "links")
+        close = written(_estimated(pairs, nodes, num, den), "pairs")
+        found = confirmed(close, texts, shingle=shingle, num=num, den=den) if close.limit(1).count() else close.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return written(found, "links")
 
     def several(members: DataFrame, labels: DataFrame) -> DataFrame:
         """The members of lists that hold several labels, with theirs (c)."""
@@ -243,24 +246,30 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int)
         mixed = written(named.groupBy("value").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("value"), "mixed")
         return written(named.join(mixed, "value"), "open")
 
+    def linked(pairs: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges and labels after the pairs of different labels are tested."""
+        by = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+        more = test(pairs.join(by[0], "a", "left").join(by[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "salts"))
+        if more.limit(1).count():
+            edges = components(edges.unionByName(more))
+            labels = _labels(edges)
+        return edges, labels
+
     first = lists.where("early")
     edges = components(test(all_pairs(first.where("NOT is_hot")).unionByName(centred(first.where("is_hot")))))
     labels = _labels(edges)
     open_ = several(lists, labels)
-    late = all_pairs(open_.where("NOT is_hot"))
-    # Pairs of one component are linked already.
-    by = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-    late = late.join(by[0], "a", "left").join(by[1], "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b", "salts")
-    more = test(late)
-    if more.limit(1).count():
-        edges = components(edges.unionByName(more))
-        labels = _labels(edges)
+    edges, labels = linked(all_pairs(open_.where("NOT is_hot")), edges, labels)
     open_ = several(open_.where("is_hot").select("id", "n", "value"), labels)
     if not open_.limit(1).count():
         return edges
-    own = _own(written(open_.select("id").distinct(), "ids"), texts, shingle)
+    own = written(_own(written(open_.select("id").distinct(), "ids"), texts, shingle), "own")
     members = open_.select("id", "n", "value").join(own, "id", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * den >= F.col("n") * num)
     open_ = several(members.select("id", "value"), labels)
+    size = written(open_.groupBy("value").agg(F.count("*").alias("k")), "sizes")
+    short = open_.join(size.where(F.col("k") <= SHORT).select("value"), "value", "left_semi")
+    edges, labels = linked(all_pairs(short), edges, labels)
+    open_ = several(open_.join(size.where(F.col("k") > SHORT).select("value"), "value", "left_semi").select("id", "value"), labels)
     if not open_.limit(1).count():
         return edges
     return components(edges.unionByName(_within_families(open_, texts, shingle, num, den)))
@@ -280,9 +289,9 @@ def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int,
     the common shingles of all pairs without a row for any. Texts travel squeezed.
     A task returns a spanning tree of each component that it finds.
     """
-    least = open_.groupBy("value").agg(F.min("id").alias("v"))
-    family = components(open_.select("id", "value").join(written(least, "least"), "value").select(F.col("id").alias("u"), "v"))
-    member = open_.select("id", "c").distinct().join(family.withColumnRenamed("u", "id"), "id", "left").select("id", "c", F.coalesce("v", "id").alias("family"))
+    least = open_.groupBy("value").agg(F.min("c").alias("v"))
+    family = components(open_.select("c", "value").distinct().join(written(least, "least"), "value").select(F.col("c").alias("u"), "v"))
+    member = open_.select("id", "c").distinct().join(family.withColumnRenamed("u", "c"), "c", "left").select("id", "c", F.coalesce("v", "c").alias("family"))
     member = written(member, "members")
     size = member.groupBy("family", "c").agg(F.count("*").alias("k"))
     size = size.withColumn("alone", F.col("k") * 2 > TILE)

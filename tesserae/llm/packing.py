@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, small_batches
 from tesserae.llm.wordbpe import IdReader, reader
 
 PIECE_FIELDS = "piece int, start long, length long, ids_crc32 long"
@@ -34,6 +34,7 @@ def token_pieces(
     have that one id. Only documents of more than ``max_tokens`` ids are cut,
     after every ``max_tokens``. ``ids`` (on request) holds the piece's ids.
     """
+    small_batches(docs.sparkSession)
     key = hashlib.sha256(vocabulary).hexdigest()
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))

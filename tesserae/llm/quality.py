@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import is_held_out
+from tesserae.llm.common import is_held_out, small_batches
 from tesserae.llm.samples import labelled_sample
 from tesserae.llm.wordhash import Words, hash_words, mix, text_chunks
 
@@ -62,6 +62,7 @@ def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
     A task sums its own texts' contexts; the tasks' tables, in slices, are summed
     over groups of FAN_IN tasks at a time, so no task reads more than that many.
     """
+    small_batches(docs.sparkSession)
     schema = T._parse_datatype_string("part int, slice int, level int, sums binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,14 +3,16 @@
 The index holds every text's non-overlapping blocks of ``block = (window + 1) //
 2`` words; any window of ``window`` words contains a whole block of whichever
 text it is also found in. Every rolling block-sized run of words probes the
-index; windows around a hit are then compared whole, and runs of neighbouring
+index; windows around a hit are then compared by 96 bits of two hashes (of 10^13
+windows not one pair is expected to agree by chance), and runs of neighbouring
 repeated windows are the maximal exact repeats.
 
-Index and probes meet by hash bucket. A task sends one packed row for each
-bucket (hashes, places, text keys as binary columns) instead of one row for each
-word; runs that a task itself holds twice are known to repeat and one of them
-stands for all, so a passage found everywhere costs a bucket one entry for each
-chunk of text, not for each occurrence. Bucket numbers follow the input's size.
+Index and probes meet by hash bucket, each a shuffle partition of its own. A task
+sends one packed row for each bucket (hashes, places, text keys as binary columns)
+and SEND_WORDS instead of one row for each word; runs that a task itself holds
+twice are known to repeat and one of them stands for all, so a passage found
+everywhere costs a bucket one entry for each such row, not for each occurrence.
+The number of buckets follows the input's size.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import partitions, squeezed, text_bytes, unsqueezed
+from tesserae.llm.common import keyed_columns, partitions, renamed, small_batches, squeezed, text_bytes, unsqueezed
 from tesserae.llm.wordhash import hash_words, text_chunks
 
 #: A text's key, and which 65,536 words of it are meant.
 TEXT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("part", "<u4")])
-BUCKET_BYTES, GROUP_BYTES = 24 << 20, 12 << 20
+BUCKET_BYTES, GROUP_BYTES, SEND_WORDS = 8 << 20, 8 << 20, 1_200_000
 
 _PACKED = "bucket int, hashes binary, places binary, texts binary, counts binary"
 _FOUND = "dest int, places binary, texts binary, counts binary"
@@ -63,33 +65,34 @@ def _unpack_places(places: list[bytes], texts: list[bytes], counts: list[bytes])
     return records, of, place.astype(np.int64) + (records["part"][of].astype(np.int64) << 16)
 
 
-def _send(grams: np.ndarray, k1: np.ndarray, k2: np.ndarray, place: np.ndarray, anchor: np.ndarray | None, buckets: int, turn: int) -> Iterator[tuple]:
-    """Rows of _PACKED. Grams found twice here go, as known, without hashes; one of each kind of gram goes to its bucket."""
-    order = np.argsort(grams, kind="stable")
+def _send(grams: np.ndarray, k1: np.ndarray, k2: np.ndarray, place: np.ndarray, extra: np.ndarray, anchored: bool, buckets: int, turn: int) -> Iterator[tuple]:
+    """Rows of _PACKED. Grams found twice here go, as known, without hashes; one of each kind of gram goes to its bucket.
+
+    ``extra`` marks anchors (31 bits of the hash and the mark are sent), or is the second hash (both are sent, 96 bits).
+    """
+    order = np.argsort(grams, kind="stable") if anchored else np.lexsort([extra, grams])
     new = np.ones(len(grams), bool)
     new[1:] = grams[order[1:]] != grams[order[:-1]]
+    if not anchored:
+        new[1:] |= extra[order[1:]] != extra[order[:-1]]
     first = np.flatnonzero(new)
     many = np.diff(first, append=len(grams)) > 1
     if many.any():
         known = np.sort(order[np.repeat(many, np.diff(first, append=len(grams)))])
         yield turn % buckets, b"", *_pack_places(k1[known], k2[known], place[known])
     one = order[first]
-    if anchor is not None:
-        marked = np.logical_or.reduceat(anchor[order], first)
+    marked = np.logical_or.reduceat(extra[order], first) if anchored else None
     by_place = np.argsort(one)
     one = one[by_place]
     bucket = ((grams[one] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-    if anchor is None:
-        hashes = grams[one]
-    else:
-        hashes = ((grams[one] & np.uint64(0xFFFFFFFE)) | marked[by_place]).astype("<u4")
+    if anchored:
+        short = ((grams[one] & np.uint64(0xFFFFFFFE)) | marked[by_place]).astype("<u4")
     by = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(cuts)):
         mine = by[cuts[b] : cuts[b + 1]]
-        if len(mine):
-            i = one[mine]
-            yield b, hashes[mine].tobytes(), *_pack_places(k1[i], k2[i], place[i])
+        i = one[mine]
+        yield int(b), short[mine].tobytes() if anchored else grams[i].tobytes() + extra[i].astype("<u4").tobytes(), *_pack_places(k1[i], k2[i], place[i])
 
 
 def _meet(anchored: bool, dests: int, names: list[str]):
@@ -101,13 +104,18 @@ def _meet(anchored: bool, dests: int, names: list[str]):
         sent = [i for i, h in enumerate(rows["hashes"]) if h]
         take = lambda which: _unpack_places(*([rows[c][i] for i in which] for c in ("places", "texts", "counts")))
         records, of, place = take(sent)
-        hashes = np.frombuffer(b"".join(rows["hashes"][i] for i in sent), "<u4" if anchored else "<u8")
-        value = hashes >> np.uint32(1) if anchored else hashes
-        order = np.argsort(value, kind="stable")
-        new = np.ones(len(value), bool)
-        new[1:] = value[order[1:]] != value[order[:-1]]
+        if anchored:
+            hashes = np.frombuffer(b"".join(rows["hashes"][i] for i in sent), "<u4")
+            order = np.argsort(hashes >> np.uint32(1), kind="stable")
+            new = np.concatenate([[True], np.diff(hashes[order] >> np.uint32(1)) != 0])[: len(order)]
+        else:
+            size = [len(rows["hashes"][i]) // 12 for i in sent]
+            hashes = np.frombuffer(b"".join(rows["hashes"][i][: 8 * n] for i, n in zip(sent, size, strict=True)), "<u8")
+            second = np.frombuffer(b"".join(rows["hashes"][i][8 * n :] for i, n in zip(sent, size, strict=True)), "<u4")
+            order = np.lexsort([second, hashes])
+            new = np.concatenate([[True], (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)])[: len(order)]
         first = np.flatnonzero(new)
-        size = np.diff(first, append=len(value))
+        size = np.diff(first, append=len(hashes))
         good = size > 1
         if anchored and len(first):
             good &= np.logical_or.reduceat((hashes[order] & 1).astype(bool), first)
@@ -162,7 +170,13 @@ def _repeated(keyed: DataFrame, small: DataFrame, window: int, buckets: int, des
         return [pa.array([r[c] for r in rows], pa.int32() if not c else pa.binary()) for c in range(5)]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        held, size, turn = [], 0, 0
+
+        def send() -> pa.RecordBatch:
+            grams, k1, k2, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns(list(_send(grams, k1, k2, place, place % block == 0, True, buckets, turn))), names=packed.names)
+
         for batch in batches:
             keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
             for a, b, data, offsets in text_chunks(batch.column(2)):
@@ -171,15 +185,16 @@ def _repeated(keyed: DataFrame, small: DataFrame, window: int, buckets: int, des
                 text = words.text_of()[at]
                 long_enough = words.counts[text] >= window
                 at, grams, text = at[long_enough], grams[long_enough], text[long_enough]
-                if not len(at):
-                    continue
-                place = at - words.bounds[text]
-                turn += 1
-                rows = list(_send(grams, keys[0][a:b][text], keys[1][a:b][text], place, place % block == 0, buckets, turn + a))
-                yield pa.RecordBatch.from_arrays(columns(rows), names=packed.names)
+                held.append((grams, keys[0][a:b][text], keys[1][a:b][text], at - words.bounds[text]))
+                size, turn = size + len(at), turn + 1
+                if size >= SEND_WORDS:
+                    yield send()
+                    size = 0
+        if size:
+            yield send()
 
     def compare(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        keys, rows, turn = _keys(docs), [], 0
+        keys, held = _keys(docs), []
         text_hit, place_hit = _marked(hits, keys)
         k1, k2 = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
         first = _copies(keys)
@@ -192,15 +207,18 @@ def _repeated(keyed: DataFrame, small: DataFrame, window: int, buckets: int, des
             seen = mark.cumsum()
             at, grams = words.ngrams(window)
             near = seen[at + window - block + 1] > seen[at]
-            at, grams = at[near], grams[near]
-            if len(at):
-                text, turn = words.text_of()[at], turn + 1
-                rows += _send(grams, k1[a:b][text], k2[a:b][text], at - words.bounds[text], None, buckets, turn + len(keys))
-        return pa.table(columns(rows), names=packed.names)
+            if near.any():
+                text = words.text_of()[at[near]]
+                check = (words.checks(window)[near] >> np.uint64(32)).astype(np.uint32)
+                held.append((grams[near], k1[a:b][text], k2[a:b][text], at[near] - words.bounds[text], check))
+        if not held:
+            return pa.table(columns([]), names=packed.names)
+        return pa.table(columns(list(_send(*(np.concatenate(x) for x in zip(*held, strict=True)), False, buckets, len(keys)))), names=packed.names)
 
-    hits = keyed.select("k1", "k2", "text").mapInArrow(probe, packed).groupBy("bucket").applyInArrow(_meet(True, dests, found.names), found)
-    windows = small.groupBy("dest").cogroup(hits.groupBy("dest")).applyInArrow(compare, packed)
-    return windows.groupBy("bucket").applyInArrow(_meet(False, dests, found.names), found)
+    by = lambda df, n, c: df.repartitionById(n, F.col(c)).groupBy(c)
+    hits = by(keyed.select("k1", "k2", "text").mapInArrow(probe, packed), buckets, "bucket").applyInArrow(_meet(True, dests, found.names), found)
+    windows = by(small, dests, "dest").cogroup(by(hits, dests, "dest")).applyInArrow(compare, packed)
+    return by(windows, buckets, "bucket").applyInArrow(_meet(False, dests, found.names), found)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:
@@ -210,12 +228,15 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False
     window of ``window`` words that also starts elsewhere, in the same or
     another row, is removed; windows are judged on the input. Repeated rows are
     repeats of each other. Null texts have no words; texts shorter than the
-    window keep all; an empty table gives no rows; texts are read whole.
+    window keep all; an empty table gives no rows; texts are read whole, very long
+    ones hashed in blocks.
     ``kept_text``: the text itself where nothing is removed (null stays null),
     else the kept words joined by one space.
     """
     size = text_bytes(docs, text_col)
-    buckets, dests = max(8, -(-size // BUCKET_BYTES)), max(partitions(docs.sparkSession), -(-size // GROUP_BYTES))
+    small_batches(docs.sparkSession)
+    least = partitions(docs.sparkSession)
+    buckets, dests = max(least, -(-size // BUCKET_BYTES)), max(least, -(-size // GROUP_BYTES))
     text = F.col(text_col).cast("binary")
     keys = [F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(text, F.col(id_col), F.lit(1)).alias("k2")]
     keyed = docs.select(*keys, F.struct(*(carried or [F.col(id_col)])).alias("row"), text.alias("text"))
@@ -250,12 +271,15 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False
         return pa.table(out + [pa.array(kept, pa.string())] * with_text, names=schema.names)
 
     found = _repeated(keyed, small, window, buckets, dests)
-    out = small.groupBy("dest").cogroup(found.groupBy("dest")).applyInArrow(remove, schema)
+    dealt = [x.repartitionById(dests, F.col("dest")).groupBy("dest") for x in (small, found)]
+    out = dealt[0].cogroup(dealt[1]).applyInArrow(remove, schema)
     return out.select("row.*", *schema.names[1:])
 
 
 def without_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, with repeated spans taken out of their texts, as remove_repeats() says."""
-    others = [F.col(c) for c in docs.columns if c != text_col]
-    out = remove_repeats(docs, window=window, with_text=True, id_col=id_col, text_col=text_col, carried=others).withColumnRenamed("kept_text", "_kept_text")
-    return out.select(*(F.col("_kept_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    columns, at = keyed_columns(docs, text_col)
+    keyed = docs.select(*columns, F.col(id_col).alias("_id"))
+    others = [F.col(f"_c{i}") for i in range(len(columns)) if i != at]
+    out = remove_repeats(keyed, window=window, with_text=True, id_col="_id", text_col=f"_c{at}", carried=others)
+    return renamed(out.withColumnRenamed("kept_text", f"_c{at}"), docs.columns)

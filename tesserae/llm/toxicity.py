@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import is_held_out
+from tesserae.llm.common import is_held_out, small_batches
 from tesserae.llm.samples import labelled_sample
 
 #: Letters that a mark or digit may stand for.
@@ -58,6 +58,7 @@ BEGINNINGS = (4, 5, 6)
 def char_table(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     """Natural log probabilities p(c | a, b) of letter classes, CLASSES cubed, smoothed, from all texts."""
     schema = T._parse_datatype_string("slot int, n long")
+    small_batches(texts.sparkSession)
     lookup = np.zeros(0x10000, np.int64)
     for c in range(0x10000):
         if chr(c).isalpha():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import partitions, squeezed, text_bytes, unsqueezed, written
+from tesserae.llm.common import partitions, small_batches, squeezed, text_bytes, unsqueezed, written
 from tesserae.llm.wordhash import LOWER, Words, hash_words, text_chunks
 
 GROUP_BYTES, BUCKET_BYTES = 12 << 20, 48 << 20
@@ -47,6 +47,7 @@ def unigram_scores(rows: DataFrame, also: Callable[[pa.Array], np.ndarray], with
     is the sum of log10((c + 1) / (N + V + 1)).
     """
     size = text_bytes(rows, "text")
+    small_batches(rows.sparkSession)
     groups, buckets = max(partitions(rows.sparkSession), -(-size // GROUP_BYTES)), max(8, -(-size // BUCKET_BYTES))
     ends = rows.where("NOT held_out").count()
     dealt = squeezed(rows.select("id", "held_out", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("grp"), F.coalesce("text", F.lit(b"")).alias("text")))

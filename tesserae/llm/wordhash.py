@@ -44,15 +44,17 @@ class _Base:
         self.up, self.down = _powers(self.base), _powers(self.inverse)
 
 
-_BYTES, _WORDS = _Base(BYTE_BASE), _Base(WORD_BASE)
+_BYTES, _WORDS, _CHECKS = _Base(BYTE_BASE), _Base(WORD_BASE), _Base(0xA24BAED4963EE407)
 
 
 @dataclass
 class Words:
-    """The words of several texts: ``bounds[i]:bounds[i + 1]`` are text i's."""
+    """The words of several texts: ``bounds[i]:bounds[i + 1]`` are text i's; ``starts`` and ``ends`` are places in the bytes."""
 
     hashes: np.ndarray
     bounds: np.ndarray
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -65,7 +67,11 @@ class Words:
         """Each word's place in its text."""
         return np.arange(len(self.hashes)) - np.repeat(self.bounds[:-1], self.counts)
 
-    def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def checks(self, n: int) -> np.ndarray:
+        """Of each n-gram of ngrams(n) a second hash, by another base."""
+        return self.ngrams(n, _CHECKS)[1]
+
+    def ngrams(self, n: int, by: _Base = _WORDS) -> tuple[np.ndarray, np.ndarray]:
         """(indices of the words at which an n-gram within one text starts, its hash)."""
         total = len(self.hashes)
         if total < n:
@@ -77,9 +83,9 @@ class Words:
         for first in range(0, total, step):  # a gram's hash doesn't depend on the block
             lo, hi = np.searchsorted(at, [first, first + step])
             part = self.hashes[first : first + BLOCK]
-            sums = np.concatenate([np.zeros(1, np.uint64), (part * _WORDS.up[: len(part)]).cumsum(dtype=np.uint64)])
+            sums = np.concatenate([np.zeros(1, np.uint64), (part * by.up[: len(part)]).cumsum(dtype=np.uint64)])
             own = at[lo:hi] - first
-            out[lo:hi] = mix((sums[own + n] - sums[own]) * _WORDS.down[own] + np.uint64(n))
+            out[lo:hi] = mix((sums[own + n] - sums[own]) * by.down[own] + np.uint64(n))
         return at, out
 
 
@@ -109,7 +115,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = IDENTIT
         to[lo:hi] = np.uint64(base) + np.uint64(up) * local[ends[lo:hi] - first]
         base = (base + up * int(local[-1])) % (1 << 64)
         up, down = up * pow(_BYTES.base, len(part), 1 << 64) % (1 << 64), down * pow(_BYTES.inverse, len(part), 1 << 64) % (1 << 64)
-    return Words(mix((to - from_) * inverse), np.searchsorted(starts, offsets))
+    return Words(mix((to - from_) * inverse), np.searchsorted(starts, offsets), starts, ends)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as brute_contamination
 from tests.llm.test_near_duplicates import brute as brute_near
@@ -62,3 +64,18 @@ def packed(before, after, items):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_unlabelled_empty_and_clashing_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    language = dict(corpus_pipeline.STAGES)["language_id"]
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language(spark, bare, SF).count() == docs.where("text rlike '[a-zA-Z]'").count()
+    odd = docs.withColumn("row", docs["doc_id"]).withColumn("_kept_text", docs["text"]).withColumn("salt", docs["lang"]).withColumn("n_words", docs["doc_id"])
+    for table in (docs.limit(0), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            if name == "best_fit_packing":
+                assert bool(out.count()) == bool(table.count())
+            else:
+                assert out.columns == table.columns and (out.count() > 0) == (table.count() > 0), name
