@@ -5,12 +5,15 @@ keeps the least hash values of its set, k of them. Inverted lists of retained
 values generate the pairs; the sketch of the union estimates the similarity and
 drops pairs that are far off; the rest is confirmed on the full sets.
 
-Nothing is left to chance in the generation: k is the set's complete prefix
-(similar sets share one of their first n - ceil(num n / den) + 1 values in any one
-order) and SPARE more. So similar sets have several retained values in common,
-and each may leave out as many of its most frequent ones less one. A passage that
-many unlike texts share then brings no candidates together, as long as it is a
-small part of them.
+Similar sets have many retained values in common: the common ones among the least
+values of their union are in both sketches, and those are a sample of the union.
+So each class leaves as many of its retained values out of the lists, the most
+frequent ones, as any similar pair has in common less one, but for a chance below
+MISS a pair; all others that a second class has are listed. A passage that many
+unlike texts share then brings no candidates together, as long as it is less than
+about half of them. With ``exact`` the sketch is the set's complete prefix (similar
+sets share one of their first n - ceil(num n / den) + 1 values in any one order) and
+SPARE more, and nothing is left to chance, at two to three times the cost.
 
 The lists are worked off in two steps. First only a few values of each class, the
 rarest, are listed; that links nearly all that is to be linked. Then all others
@@ -36,12 +39,12 @@ from tesserae.llm.common import only, small_batches, squeezed, unsqueezed, writt
 from tesserae.llm.components import components
 from tesserae.llm.wordhash import LOWER, Words, hash_words, mix, text_chunks
 
-#: Sets of up to WHOLE values are retained whole; of larger ones SPARE values more than the complete prefix.
-WHOLE, SPARE = 64, 24
+#: Values of a sketch; smaller sets are retained whole. The chance to miss a pair, and what an exact sketch holds beyond the prefix.
+WHOLE, MISS, SPARE = 64, 1e-9, 24
 #: Values listed in the first step, of those in few classes and of those in many; members of a list that gives its pairs,
 #: at first and of those that are left at last.
 FIRST_COLD, FIRST_HOT, HOT, SHORT = 8, 4, 8, 32
-#: Values of the union's sketch, and the share of truly similar pairs, at most, that an estimate may drop (see tail()).
+#: Values of the union's sketch, and the share of truly similar pairs, at most, that an estimate may drop.
 ESTIMATED, RISK = 64, 1e-12
 #: Members paired with one centre in a task, and of a tile.
 SALTED, TILE = 256, 400
@@ -53,29 +56,28 @@ def prefix(n: int, num: int, den: int) -> int:
 
 
 @cache
-def retained(num: int, den: int, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(values retained of a set of n, values that it may leave out of the lists), for n up to ``most``.
-
-    Similar sets A and B have min(spare(A), spare(B)) + 1 retained values in common at least, spare being what is retained
-    beyond the prefix. A may leave out as many as no set of a similar size spares less than.
-    """
-    k = np.array([min(n, max(WHOLE, prefix(n, num, den) + SPARE)) for n in range(most + 1)])
-    spare = k - np.array([prefix(n, num, den) if n else 0 for n in range(most + 1)])
-    least = [min(spare[-(-n * num // den) : n * den // num + 1].min(), SPARE) if n else 0 for n in range(most + 1)]
-    return k, np.array(least)
+def tail(num: int, den: int, size: int, risk: float) -> int:
+    """How many of ``size`` values of a union's sketch two similar sets have in common at least, but for a chance below
+    ``risk``: the sketch is a sample of the union, and the binomial tail is above that of a sample without replacement."""
+    p, below, least = num / den, 0.0, 0
+    while below + (now := math.comb(size, least) * p**least * (1 - p) ** (size - least)) < risk:
+        below, least = below + now, least + 1
+    return least
 
 
 @cache
-def tail(num: int, den: int) -> tuple[int, ...]:
-    """For each size of the union's sketch the common values from which on a pair is kept: of a pair that is similar the
-    sketch is a sample of the union, and holds fewer with a chance below RISK (by the binomial tail, which is above it)."""
-    p, out = num / den, []
-    for size in range(ESTIMATED + 1):
-        below, least = 0.0, 0
-        while below + (now := math.comb(size, least) * p**least * (1 - p) ** (size - least)) < RISK:
-            below, least = below + now, least + 1
-        out.append(least)
-    return tuple(out)
+def retained(num: int, den: int, exact: bool = False, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(values retained of a set of n, values that it may leave out of the lists), for n up to ``most``; for more as for ``most``,
+    but for the exact prefix, which grows.
+
+    Similar sets A and B, with spare(X) what is retained beyond the prefix, have min(spare(A), spare(B)) + 1 retained values in
+    common; A may leave out as many as no set of a similar size spares less than. Sketches of a fixed size take tail() for it.
+    """
+    k = np.array([min(n, max(WHOLE, prefix(n, num, den) + SPARE) if exact else WHOLE) for n in range(most + 1)])
+    spare = np.array([k[n] - prefix(n, num, den) if n and (exact or n <= WHOLE) else WHOLE for n in range(most + 1)])
+    bound = SPARE if exact else max(0, tail(num, den, WHOLE, MISS) - 1)
+    least = [min(spare[-(-n * num // den) : n * den // num + 1].min(), bound) if n else 0 for n in range(most + 1)]
+    return k, np.array(least)
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -94,11 +96,11 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
         yield np.unique(grams[cuts[t] : cuts[t + 1]]) if n >= size else short.get(t, none)
 
 
-def sketches(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, exact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, f1, f2, out, least): set size, 128-bit fingerprint of the set, values that may be left out, the retained values."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("n long, f1 long, f2 long, out int, least array<long>").fields])
-    keeps, outs = retained(num, den)
+    keeps, outs = retained(num, den, exact)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +111,8 @@ def sketches(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100
                     n.append(size)
                     f1.append(mix(x).sum(dtype=np.uint64))
                     f2.append(np.bitwise_xor.reduce(mix(x + np.uint64(0x5851F42D4C957F2D))) if size else np.uint64(0))
-                    out.append(int(outs[size]) if size < len(outs) else SPARE)
-                    least.append(s[: int(keeps[size]) if size < len(keeps) else prefix(size, num, den) + SPARE])
+                    out.append(int(outs[min(size, len(outs) - 1)]))
+                    least.append(s[: prefix(size, num, den) + SPARE if exact and size >= len(keeps) else int(keeps[min(size, len(keeps) - 1)])])
                 numbers = [np.array(n, np.int64), *(np.array(f, np.uint64).view(np.int64) for f in (f1, f2)), np.array(out, np.int32)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, numbers), pa.array(least, pa.list_(pa.int64()))], names=schema.names)
 
@@ -130,7 +132,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     few = nodes.select("id", "n", F.slice("least", 1, ESTIMATED).alias("s"))
     common = F.array_intersect("sa", "sb")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, ESTIMATED)
-    enough = F.element_at(F.array(*map(F.lit, tail(num, den))), F.size(union) + 1)
+    enough = F.element_at(F.array(*(F.lit(tail(num, den, size, RISK)) for size in range(ESTIMATED + 1))), F.size(union) + 1)
     size_ok = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     # Sets within the sketch: intersection and union themselves.
     whole = (F.size(common) * den >= F.size(F.array_union("sa", "sb")) * num) & (F.greatest("na", "nb") <= WHOLE)
@@ -169,7 +171,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den:
     return _sides(pairs, texts, ["text"]).select("a", "b", "texta", "textb").mapInArrow(compare, schema)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100, exact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row.
 
     A text's set is that of its distinct ``shingle``-word shingles over words
@@ -179,10 +181,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: in
     least id reachable, ``kept`` marks the row that has it. Rows with a null id
     are linked with nothing (null component, kept). Rows of one repeated id count
     as one document. An empty table gives no rows. Very long texts are read whole
-    and hashed in blocks; their sketches grow with a fifth of their shingles.
+    and hashed in blocks. ``exact`` finds candidates without any chance of a miss.
     """
     small_batches(docs.sparkSession)
-    made = written(sketches(docs, shingle=shingle, num=num, den=den, id_col=id_col, text_col=text_col), "sketches")
+    made = written(sketches(docs, shingle=shingle, num=num, den=den, exact=exact, id_col=id_col, text_col=text_col), "sketches")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     real = made.where("n > 0 AND id IS NOT NULL")
     classes = written(real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "class-ids")
@@ -210,19 +212,20 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
 
 def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The components of the classes, as in components()."""
-    values = nodes.select("id", F.explode("least").alias("value"))
+    values = nodes.select("id", "f1", "f2", F.explode("least").alias("value"))
     held = written(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "held")
-    shared = values.join(held, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("shared"))
-    # The values that no other class has come first in the order; the most frequent ones are left out.
-    listed = nodes.select("id", "n", "out", F.size("least").alias("k")).join(shared, "id")
-    listed = listed.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col("k") - F.col("out"))).cast("int")))
-    unique = (F.col("k") - F.size("shared")) / F.col("k")
+    shared = values.join(held, "value").groupBy("id", "f1", "f2").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("shared"))
+    # The values that no other class has come first in the order, the most frequent ones last; these are left out.
+    k = F.size("least")
+    listed = nodes.join(shared, ["id", "f1", "f2"]).select(
+        "id", "n", ((k - F.size("shared")) / k).alias("apart"), F.size(F.filter("shared", lambda x: x["held"] <= HOT)).alias("cold"),
+        F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - F.col("out"))).alias("shared"),
+    )
+    lists = listed.select("id", "n", "apart", "cold", F.posexplode("shared").alias("at", "e"))
     # The values of the first step: the rarest of either kind.
-    cold = F.filter("shared", lambda x: x["held"] <= HOT)
-    hot = F.filter("shared", lambda x: x["held"] > HOT)
-    early = F.array_union(F.slice(cold, 1, FIRST_COLD), F.slice(hot, 1, FIRST_HOT))
-    tagged = F.transform("shared", lambda x: F.struct(x["value"].alias("value"), (x["held"] > HOT).alias("is_hot"), F.array_contains(early, x).alias("early")))
-    lists = written(listed.select("id", "n", unique.alias("apart"), F.explode(tagged).alias("e")).select("id", "n", "apart", "e.*").distinct(), "lists")
+    is_hot = F.col("e.held") > HOT
+    early = F.when(is_hot, F.col("at") - F.col("cold") < FIRST_HOT).otherwise(F.col("at") < FIRST_COLD)
+    lists = written(lists.select("id", "n", "apart", F.col("e.value").alias("value"), is_hot.alias("is_hot"), early.alias("early")), "lists")
 
     def all_pairs(short: DataFrame) -> DataFrame:
         """The pairs within short lists."""

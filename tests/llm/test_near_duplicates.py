@@ -56,13 +56,13 @@ def test_against_brute_force(spark, seed, broadcast, monkeypatch):
     r.shuffle(texts)
     rows = list(enumerate(texts)) + [(5, texts[5]), (None, texts[3])]
     d = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, kept double")
-    assert sorted((tuple(x) for x in near_duplicates(d).collect()), key=str) == brute(rows)
+    assert sorted((tuple(x) for x in near_duplicates(d, exact=seed == 2).collect()), key=str) == brute(rows)
 
 
 def test_similar_sets_always_meet():
     """Whatever each set leaves out of its retained values, the most frequent in any one order, a common one is left."""
     r = random.Random(5)
-    keeps, outs = retained(80, 100)
+    keeps, outs = retained(80, 100, True)
     for n in [*range(1, 90), 130, 190, 240, 400, 1000]:
         for _ in range(6):
             m = r.randint(-(-n * 80 // 100), n)  # the smaller set; as few in common as similarity allows
@@ -78,7 +78,7 @@ def test_similar_sets_always_meet():
             often = {v: r.random() + (v in a and v in b) for v in a | b}
             left = [set(sorted(x, key=often.get)[: len(x) - outs[size]]) for x, size in zip(kept, (len(a), len(b)), strict=True)]
             assert left[0] & left[1], (n, m, both)
-    assert prefix(10, 80, 100) == 3 and tail(80, 100)[64] > 25 and tail(80, 100)[10] == 0
+    assert prefix(10, 80, 100) == 3 and tail(80, 100, 64, 1e-9) > 25 and tail(80, 100, 10, 1e-9) == 0
 
 
 def test_components_of_paths_and_hubs(spark):
