@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,17 +42,26 @@ def co_linked(edges: DataFrame, item: str, n: int) -> DataFrame:
 
 
 def page_rank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 10, cut=None) -> DataFrame:
-    """(id, rank): ranks sum to one; nodes without outgoing edges spread theirs evenly. ``cut`` shortens the lineage."""
-    cut = cut or (lambda df: df)
+    """(id, rank): ranks sum to one; nodes without outgoing edges spread theirs evenly. ``cut`` ends the lineage after each round, by default with a checkpoint."""
+    cut = cut or (lambda df: df.checkpoint())
     e = cut(edges.select("in", "out").distinct())
-    nodes = cut(e.select(F.col("in").alias("id")).union(e.select("out")).distinct())
+    k = e.groupBy(F.col("in").alias("id")).agg(F.count("*").alias("k"))
+    nodes = cut(e.select(F.col("in").alias("id")).union(e.select("out")).distinct().join(k, "id", "left"))
     n = nodes.count()
-    out = e.groupBy(F.col("in").alias("id")).agg(F.count("*").alias("k"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
-        given = ranks.join(out, "id", "left")
-        loose = given.where("k IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        sent = e.join(given.where("k IS NOT NULL"), F.col("in") == F.col("id")).groupBy(F.col("out").alias("id")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        ranks = nodes.join(sent, "id", "left").join(F.broadcast(loose)).select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        ranks = cut(ranks)
-    return ranks
+        # One number, of the nodes without outgoing edges.
+        loose = ranks.where("k IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        sent = e.join(ranks.where("k IS NOT NULL"), F.col("in") == F.col("id")).groupBy(F.col("out").alias("id")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
+        ranks = cut(nodes.join(sent, "id", "left").select("id", "k", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank")))
+    return ranks.drop("k")
+
+
+def unlink(edges: DataFrame, start: str, target: str) -> DataFrame:
+    """The edges without those between these two."""
+    return edges.where(~((F.col("in") == start) & (F.col("out") == target)))
+
+
+def linked_both(edges: DataFrame, start: Column, target: Column) -> DataFrame:
+    """Edges by both of their ends."""
+    return edges.where((F.col("in") == start) & (F.col("out") == target))

@@ -88,3 +88,27 @@ def page(table: DataFrame, order: list[Column], limit: int, offset: int) -> Data
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit is 1 to 100 and offset is not negative")
     return table.orderBy(*order).offset(offset).limit(limit)
+
+
+def saved(table: DataFrame, rows: DataFrame, now: Column, key: str = "id") -> DataFrame:
+    """Saves rows: new keys are inserted with both stamps, known ones merged with ``updated`` alone; nulls clear nothing."""
+    stamped = rows.withColumn("updated", now)
+    return upsert_merge(table, stamped.join(table.select(key), key, "left_anti").withColumn("created", now).unionByName(stamped.join(table.select(key), key, "left_semi").withColumn("created", F.lit(None).cast(table.schema["created"].dataType))), key)
+
+
+def patched(single: DataFrame, **values: Column) -> DataFrame:
+    """A one-row table with these columns set; the others stay."""
+    return single.withColumns(values)
+
+
+def non_null_update(table: DataFrame, **values: Column) -> DataFrame:
+    """Columns take the values that are not null."""
+    return table.withColumns({c: F.coalesce(v, F.col(c)) for c, v in values.items()})
+
+
+def sort_key(text: str, allowed: tuple[str, ...]) -> list[Column]:
+    """Ordering from "column asc|desc"; other columns or directions are an error. Ties go by id."""
+    column, _, way = text.strip().partition(" ")
+    if column not in allowed or way.strip().lower() not in ("", "asc", "desc"):
+        raise ValueError(f"cannot sort by {text!r}")
+    return [F.desc(column) if way.strip().lower() == "desc" else F.asc(column), F.asc("id")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,10 +19,14 @@ def bm25(rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """``rows`` with ``score``, those in which every term occurs. Statistics and scores come from two scans and no shuffle
     but that of one row for each task: only the query's terms are counted, never all postings."""
     terms = list(dict.fromkeys(terms))
-    tokens = rows.withColumn("_tokens", F.array_remove(analyse(F.coalesce(F.col(text), F.lit(""))), ""))
-    counted = tokens.select(*rows.columns, F.size("_tokens").alias("_len"), *(_count("_tokens", t).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    tokens = lambda df: df.withColumn("_tokens", F.array_remove(analyse(F.coalesce(F.col(text), F.lit(""))), ""))
+    count = lambda df: df.select(*rows.columns, F.size("_tokens").alias("_len"), *(_count("_tokens", t).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    counted = count(tokens(rows))
+    # Only texts that hold the letters of every term are cut into tokens again.
+    holds = reduce(lambda a, b: a & b, (F.contains(F.lower(F.col(text)), F.lit(t)) for t in terms))
+    near = count(tokens(rows.where(holds)))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
-    hits = counted.where(reduce(lambda a, b: a & b, (F.col(f"_tf{i}") > 0 for i in range(len(terms))))).join(F.broadcast(stats))
+    hits = near.where(reduce(lambda a, b: a & b, (F.col(f"_tf{i}") > 0 for i in range(len(terms))))).join(F.broadcast(stats))
 
     def part(i: int) -> Column:
         idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
@@ -55,14 +60,43 @@ def cosine(vector: str, query: list[float]) -> Column:
 
 
 def vector_leg(rows: DataFrame, query: list[float], n: int, minimum: float, vector: str = "embedding") -> DataFrame:
-    """(id, parent_id, title, content, similarity): the leg's ``n`` most similar rows of at least ``minimum``."""
-    kept = rows.where(F.col(vector).isNotNull() & (F.size(vector) == len(query))).withColumn("similarity", F.round(cosine(vector, query), 9))
-    top = kept.where(F.col("similarity") >= minimum).orderBy(F.desc("similarity"), "row_id").limit(n)
-    return top.select("id", "parent_id", "title", "content", "similarity")
+    """The leg's ``n`` most similar rows of at least ``minimum``, with their similarity and without the vector."""
+    kept = rows.where(F.col(vector).isNotNull() & (F.size(vector) == len(query))).withColumn("similarity", F.round(cosine(vector, query), 9)).drop(vector)
+    return kept.where(F.col("similarity") >= minimum).orderBy(F.desc("similarity"), "row_id").limit(n)
 
 
-def vector_search(legs: list[DataFrame], query: list[float], n: int, minimum: float = 0.2) -> DataFrame:
-    """(id, parent_id, title, similarity, matches): ``n`` limits rows in each leg before they are grouped, so fewer results may come."""
-    found = reduce(DataFrame.unionByName, (vector_leg(x, query, n, minimum) for x in legs)).distinct().where("id IS NOT NULL")
+def vector_search(legs: list[tuple[DataFrame, Callable[[DataFrame], DataFrame]]], query: list[float], n: int, minimum: float = 0.2) -> DataFrame:
+    """(id, parent_id, title, similarity, matches). A leg is rows with row_id, content and embedding, and what makes id, parent_id
+    and title of its best rows: only those are joined with their titles. ``n`` limits rows in each leg before they are grouped,
+    so fewer results may come."""
+    columns = ["id", "parent_id", "title", "content", "similarity"]
+    found = reduce(DataFrame.unionByName, (named(vector_leg(rows, query, n, minimum)).select(*columns) for rows, named in legs)).distinct().where("id IS NOT NULL")
     grouped = found.groupBy("id", "parent_id", "title").agg(F.max("similarity").alias("similarity"), F.sort_array(F.collect_list("content")).alias("matches"))
     return grouped.orderBy(F.desc("similarity"), "id").limit(n)
+
+
+def highlighted(text: Column, terms: list[str], mark: str = "`") -> Column:
+    """The text with each whole word that is a term, in any case, between marks."""
+    return F.regexp_replace(text, rf"(?i)\b({'|'.join(terms)})\b", f"{mark}$1{mark}")
+
+
+def search(kind: str, keyword: str, text_legs: list, vector_legs: list, embed: Callable[[str], list[float]] | None = None, limit: int = 100, minimum: float = 0.2) -> DataFrame:
+    """Text or vector search for a keyword: a blank keyword, an unknown kind or a limit above 1000 is an error. ``embed``
+    gives the keyword's vector. The rows have final_score; the best come first."""
+    if not keyword.strip():
+        raise ValueError("a search needs a keyword")
+    if limit > 1000:
+        raise ValueError("the limit is at most 1000")
+    if kind == "text":
+        found = text_search(text_legs, keyword.lower().split(), limit)
+    elif kind == "vector":
+        found = vector_search(vector_legs, embed(keyword), limit, minimum)
+    else:
+        raise ValueError(f"search is text or vector, not {kind}")
+    return reranked(found)
+
+
+def reranked(found: DataFrame) -> DataFrame:
+    """final_score: the first of relevance, similarity and score that is there, else 0; the best first."""
+    scores = [F.col(c).cast("double") for c in ("relevance", "similarity", "score") if c in found.columns]
+    return found.withColumn("final_score", F.coalesce(*scores, F.lit(0.0))).orderBy(F.desc("final_score"), "id")

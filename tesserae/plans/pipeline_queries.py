@@ -18,13 +18,14 @@ def levels(c):
     return c.source().select("id", level.alias("level")).where("level <> 'off'")
 
 
-_MESSAGES = "CASE status WHEN 'completed' THEN 'Source processing completed successfully' WHEN 'failed' THEN 'Source processing failed' WHEN 'running' THEN 'Source processing in progress' WHEN 'queued' THEN 'Source processing queued' ELSE 'Source processing status: ' || status END"
+#: What each status is reported as.
+_MESSAGES = "CASE status WHEN 'completed' THEN 'Source processing completed successfully' WHEN 'failed' THEN 'Source processing failed' WHEN 'running' THEN 'Source processing in progress' WHEN 'queued' THEN 'Source processing queued' WHEN 'unknown' THEN 'Source processing status unknown' ELSE 'Source processing status: ' || status END"
 
 
 @query("status_messages", f"SELECT command, {_MESSAGES} AS message FROM command", "command")
 def messages(c):
     s = F.col("status")
-    said = F.when(s == "completed", "Source processing completed successfully").when(s == "failed", "Source processing failed").when(s == "running", "Source processing in progress").when(s == "queued", "Source processing queued")
+    said = F.when(s == "completed", "Source processing completed successfully").when(s == "failed", "Source processing failed").when(s == "running", "Source processing in progress").when(s == "queued", "Source processing queued").when(s == "unknown", "Source processing status unknown")
     return c.command().select("command", said.otherwise(F.concat(F.lit("Source processing status: "), s)).alias("message"))
 
 
@@ -64,15 +65,15 @@ def contents(c):
     return counts.join(shown, "out").select(F.col("out").alias("notebook"), "n", "chars", F.substring("t", 1, 200).alias("titles"))
 
 
-@query("collated_title_order", "SELECT id, row_number() OVER (ORDER BY updated DESC, id) AS place FROM notebook", "notebook")
+@query("collated_title_order", "SELECT id, title, note_type FROM note ORDER BY title COLLATE NOCASE, id", "note")
 def places(c):
-    # Notebooks are few: as many as the corpus has sources.
-    return c.notebook().select("id", F.row_number().over(Window.orderBy(F.desc("updated"), "id")).cast("long").alias("place"))
+    return c.note().select("id", "title", "note_type").orderBy(F.expr("collate(title, 'UNICODE_CI')"), "id")
 
 
-@query("commands_by_status", "SELECT status, count(*) AS n, list_sort(list(command)) AS commands FROM command GROUP BY status", "command")
+@query("commands_by_status", "SELECT status, command, count(*) OVER (PARTITION BY status) AS n FROM command", "command")
 def by_status(c):
-    return c.command().groupBy("status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("command")).alias("commands"))
+    counts = c.command().groupBy("status").agg(F.count("*").alias("n"))
+    return c.command().select("status", "command").join(F.broadcast(counts), "status")
 
 
 @query("chat_event_rows", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'ai_message' ELSE 'context_indicators' END AS event, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations")

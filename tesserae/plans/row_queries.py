@@ -67,10 +67,13 @@ def insert_ignoring(c):
     return rows.insert_ignoring_duplicates(n, copies.unionByName(n))
 
 
-@query("insert_batch_or_nothing", "SELECT id, name FROM notebook", "notebook")
+@query("insert_batch_or_nothing", "SELECT 'clash' AS batch, id, name FROM notebook UNION ALL SELECT 'new', id, name FROM notebook UNION ALL SELECT 'new', id || '_b', name FROM notebook", "notebook")
 def insert_batch(c):
     n = c.notebook().select("id", "name")
-    return rows.insert_batch_or_nothing(n, n.select(F.when(F.col("name") == "src0", F.col("id")).otherwise(F.concat("id", F.lit("_b"))).alias("id"), "name"))
+    clash = n.select(F.when(F.col("name") == "src0", F.col("id")).otherwise(F.concat("id", F.lit("_b"))).alias("id"), "name")
+    fresh = n.select(F.concat("id", F.lit("_b")).alias("id"), "name")
+    tried = lambda batch, kind: rows.insert_batch_or_nothing(n, batch).select(F.lit(kind).alias("batch"), "id", "name")
+    return tried(clash, "clash").unionAll(tried(fresh, "new"))
 
 
 @query("cascade_delete_sources", "SELECT 'insight' AS kind, count(*) AS n FROM source_insight WHERE NOT (source IN (SELECT id FROM source WHERE updated < 300)) UNION ALL SELECT 'embedding', count(*) FROM source_embedding WHERE NOT (source IN (SELECT id FROM source WHERE updated < 300)) UNION ALL SELECT 'source', count(*) FROM source WHERE NOT updated < 300", "source", "source_insight", "source_embedding")
@@ -194,9 +197,9 @@ def truncation(c):
     return c.source().select("id", t.truncated(F.col("title"), 6, "...").alias("short"), F.substring("full_text", 1, 100).alias("head"), F.regexp_replace("id", "^source:", "").alias("bare"))
 
 
-@query("size_based_routing", "SELECT id, CASE WHEN length(full_text) > 5000 THEN 'large_context' WHEN topics[1] = 'en' THEN 'explicit' ELSE 'default' END AS route FROM source", "source")
+@query("size_based_routing", "SELECT id, CASE WHEN floor(len(list_filter(string_split_regex(full_text, '\\\\s+'), lambda x: x <> '')) * 1.3) > 5000 THEN 'large_context' WHEN topics[1] = 'en' THEN 'explicit' ELSE 'default' END AS route FROM source", "source")
 def routing(c):
-    return c.source().select("id", F.when(F.length("full_text") > 5000, "large_context").when(F.col("topics")[0] == "en", "explicit").otherwise("default").alias("route"))
+    return c.source().select("id", F.when(t.token_estimate(F.col("full_text")) > 5000, "large_context").when(F.col("topics")[0] == "en", "explicit").otherwise("default").alias("route"))
 
 
 @query("two_hop_neighbours", "SELECT DISTINCT a.\"in\" AS start, b.out AS id FROM (SELECT DISTINCT \"in\", out FROM refers_to) AS a JOIN (SELECT out AS x, \"in\" AS out FROM artifact) AS b ON b.x = a.out", "chat_session", "note", "refers_to", "artifact")

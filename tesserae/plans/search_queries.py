@@ -20,9 +20,9 @@ def _bm25_sql(rows: str, column: str, terms: list[str]) -> str:
     return f"(WITH k AS (SELECT id, parent_id, title, len(t) AS dl, {tf} FROM (SELECT id, parent_id, title, {_TOKENS.format(c=column)} AS t FROM {rows})), s AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM k) SELECT id, parent_id, title, {score} AS score FROM k, s WHERE {hit})"
 
 
-def _text_sql(legs: list[tuple[str, str]], terms: list[str], n: int) -> str:
+def _text_sql(legs: list[tuple[str, str]], terms: list[str], n: int | None) -> str:
     union = " UNION ALL ".join(f"SELECT * FROM {_bm25_sql(rows, column, terms)}" for rows, column in legs)
-    return f"SELECT id, parent_id, title, round(max(score), 6) AS relevance FROM ({union}) WHERE id IS NOT NULL GROUP BY id, parent_id, title ORDER BY max(score) DESC, id LIMIT {n}"
+    return f"SELECT id, parent_id, title, round(max(score), 6) AS relevance FROM ({union}) WHERE id IS NOT NULL GROUP BY id, parent_id, title ORDER BY max(score) DESC, id{'' if n is None else f' LIMIT {n}'}"
 
 
 _SOURCE = "(SELECT id, id AS parent_id, title, full_text FROM source)"
@@ -45,13 +45,13 @@ def _search(c, terms):
     return search.text_search(_legs(c), terms).withColumn("relevance", F.round("relevance", 6))
 
 
-@query("text_search_common_words", _text_sql(_LEGS, ["the", "and"], 1_000_000), "source", "source_embedding", "source_insight", "note")
+@query("text_search_common_words", _text_sql(_LEGS, ["the", "and"], None), "source", "source_embedding", "source_insight", "note")
 def common(c):
-    # No limit: the whole ranking is given. The SQL to compare with ends at a million rows.
+    # No limit: the whole ranking is given.
     return _search(c, ["the", "and"])
 
 
-@query("text_search_labels", _text_sql(_LEGS, ["label"], 1_000_000), "source", "source_embedding", "source_insight", "note")
+@query("text_search_labels", _text_sql(_LEGS, ["label"], None), "source", "source_embedding", "source_insight", "note")
 def labels(c):
     return _search(c, ["label"])
 
@@ -78,11 +78,18 @@ def _vector_sql(n: int, minimum: float) -> str:
 @query("vector_search_three_legs", _vector_sql(40, 0.05), "source", "source_embedding", "source_insight", "insight_vectors", "note", "note_vectors")
 def vectors(c):
     q = [float(x) for x in c.raw("embeddings").where("vec_id = 0").select("embedding").first()[0]]
+    return search.vector_search(_vector_legs(c), q, 40, 0.05).withColumn("similarity", F.round("similarity", 6))
+
+
+def _vector_legs(c):
     titles = c.source().select(F.col("id").alias("source"), "title")
-    first = c.source_embedding().join(titles, "source", "left").select(F.col("id").alias("row_id"), F.when(F.col("title").isNotNull(), F.col("source")).alias("id"), "title", "content", "embedding").withColumn("parent_id", F.col("id"))
-    second = c.insight_vectors().join(titles, "source", "left").select(F.col("id").alias("row_id"), "id", F.when(F.col("title").isNotNull(), F.col("source")).alias("parent_id"), F.concat("insight_type", F.lit(" - "), F.coalesce("title", F.lit(""))).alias("title"), "content", "embedding")
-    third = c.note_vectors().select(F.col("id").alias("row_id"), "id", F.col("id").alias("parent_id"), "title", "content", "embedding")
-    return search.vector_search([first, second, third], q, 40, 0.05).withColumn("similarity", F.round("similarity", 6))
+    titled = lambda top: titles.join(F.broadcast(top), "source", "right")  # noqa: E731  at most as many rows as are searched for
+    known = F.when(F.col("title").isNotNull(), F.col("source"))
+    chunk = lambda top: titled(top).withColumn("id", known).withColumn("parent_id", known)
+    insight = lambda top: titled(top).withColumns({"id": F.col("row_id"), "parent_id": known, "title": F.concat("insight_type", F.lit(" - "), F.coalesce("title", F.lit("")))})
+    note = lambda top: top.withColumns({"id": F.col("row_id"), "parent_id": F.col("row_id")})
+    row = lambda df, *columns: df.select(F.col("id").alias("row_id"), *columns, "content", "embedding")
+    return [(row(c.source_embedding(), "source"), chunk), (row(c.insight_vectors(), "source", "insight_type"), insight), (row(c.note_vectors(), "title"), note)]
 
 
 _ASK = f"""

@@ -16,7 +16,7 @@ def _checkpoints(spark) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="stream-checkpoint-")
 
@@ -30,12 +30,12 @@ def _events(c):
 
 @query("stream_latest_status", "SELECT command, max_by(status, (ts, event_id)) AS status, count(*) AS events FROM job_event GROUP BY command", "job_event")
 def latest(c):
-    return jobs.run_to_end(jobs.latest_status(_events(c)), _checkpoints(c.spark))
+    return jobs.run_to_end(jobs.latest_status(_events(c)), _checkpoints(c.spark), ["command"])
 
 
 @query("stream_hourly_counts", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, status, count(*) AS n FROM job_event GROUP BY ALL", "job_event")
 def hourly(c):
-    return jobs.run_to_end(jobs.windowed_counts(_events(c)), _checkpoints(c.spark)).select(F.unix_timestamp("start").alias("start"), "status", "n")
+    return jobs.run_to_end(jobs.windowed_counts(_events(c)), _checkpoints(c.spark), ["start", "status"]).select(F.unix_timestamp("start").alias("start"), "status", "n")
 
 
 @query("conversation_messages", "SELECT conv_id, count(*) AS n, list(role ORDER BY turn) AS roles, max_by(text, turn) AS last FROM conversations GROUP BY conv_id")
@@ -43,3 +43,10 @@ def messages(c):
     # A conversation's turns are a bounded list; its texts stay out of it.
     turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
     return c.raw("conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.transform(turns, lambda x: x["role"]).alias("roles"), F.max_by("text", "turn").alias("last"))
+
+
+@query("stream_conversation_state", "SELECT conv_id, count(*) AS n, max(turn)::BIGINT AS last_turn, max_by(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+def state(c):
+    like = c.raw("conversations")
+    rows = jobs.read_table_stream(c.spark, f"{c.sf_dir}/conversations.parquet*", like).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role")
+    return jobs.run_to_end(jobs.conversation_state(rows), _checkpoints(c.spark), ["conv_id"])

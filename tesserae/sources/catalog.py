@@ -41,11 +41,12 @@ class Catalog:
         return d.select("in", "out").unionAll(d.where("doc_id % 50 = 0").select("in", "out"))
 
     def source_embedding(self) -> DataFrame:
-        e = self.raw("embeddings").where("vec_id % 2 = 0")
+        """Chunks: of every four vectors two belong to a source, one to an insight and one to a note."""
+        e = self.raw("embeddings").where("vec_id % 4 < 2")
         return e.select(
             record_id("source_embedding", F.col("vec_id")).alias("id"),
-            record_id("source", F.col("vec_id") % 100).alias("source"),
-            F.floor(F.col("vec_id") / 100).cast("long").alias("order"),
+            record_id("source", F.floor(F.col("vec_id") / 4)).alias("source"),
+            (F.col("vec_id") % 4).cast("long").alias("order"),
             F.concat(F.lit("chunk "), F.col("vec_id").cast("string"), F.lit(" label "), F.col("label").cast("string")).alias("content"),
             "embedding",
         )
@@ -62,13 +63,15 @@ class Catalog:
         )
 
     def insight_vectors(self) -> DataFrame:
-        """Insights of kind quality with the vector of an odd vec_id."""
-        v = self.raw("embeddings").where("vec_id % 2 = 1").select("vec_id", "embedding")
-        i = self.source_insight().where("insight_type = 'quality'").withColumn("vec_id", F.col("doc_id") % 200 * 2 + 1)
-        return i.join(v, "vec_id").drop("vec_id")
+        """A quarter of the vectors, each of one insight; a source without a label has an insight that says so."""
+        v = self.raw("embeddings").where("vec_id % 4 = 2").select(F.floor(F.col("vec_id") / 4).alias("doc_id"), "embedding")
+        said = self.source_insight().where("insight_type = 'quality'").select("doc_id", F.col("content").alias("said"))
+        return v.join(said, "doc_id", "left").select(
+            F.concat(F.lit("source_insight:"), F.col("doc_id").cast("string"), F.lit("_quality")).alias("id"), record_id("source", F.col("doc_id")).alias("source"), F.lit("quality").alias("insight_type"), F.coalesce("said", F.lit("no label")).alias("content"), "embedding"
+        )
 
     def note(self) -> DataFrame:
-        c = self.raw("conversations").where("role <> 'system'")
+        c = self.raw("conversations")
         return c.select(
             F.concat(F.lit("note:"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"),
             F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"),
@@ -80,9 +83,12 @@ class Catalog:
         )
 
     def note_vectors(self) -> DataFrame:
-        v = self.raw("embeddings").select("vec_id", "embedding")
-        n = self.note().where("turn = 1").withColumn("vec_id", F.col("conv_id") % 250)
-        return n.join(v, "vec_id").drop("vec_id")
+        """A quarter of the vectors, each of a conversation's second turn, or of an empty note where there is none."""
+        v = self.raw("embeddings").where("vec_id % 4 = 3").select(F.floor(F.col("vec_id") / 4).alias("conv_id"), "embedding")
+        said = self.note().where("turn = 1").select("conv_id", "content")
+        return v.join(said, "conv_id", "left").select(
+            F.concat(F.lit("note:"), F.col("conv_id").cast("string"), F.lit("_1")).alias("id"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"), F.coalesce("content", F.lit("")).alias("content"), "embedding"
+        )
 
     def artifact(self) -> DataFrame:
         """note -> notebook."""
@@ -96,7 +102,7 @@ class Catalog:
     def refers_to(self) -> DataFrame:
         """chat session -> notebook (even) or source (odd)."""
         s = self.chat_session()
-        return s.select(F.col("id").alias("in"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("notebook:src"), (F.col("conv_id") % 20).cast("string"))).otherwise(record_id("source", F.col("conv_id") % 200)).alias("out"))
+        return s.select(F.col("id").alias("in"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("notebook:src"), (F.col("conv_id") % 20).cast("string"))).otherwise(record_id("source", F.col("conv_id"))).alias("out"))
 
     def job_event(self) -> DataFrame:
         """Status changes of jobs: one job for each user."""
@@ -130,14 +136,14 @@ CATALOG_SQL = {
     "source": "SELECT 'source:' || doc_id AS id, source || ' #' || doc_id AS title, [lang] AS topics, text AS full_text, CASE WHEN doc_id % 3 <> 0 THEN 'command:' || (doc_id % 50) END AS command, doc_id * 37 % 1000 AS updated, doc_id * 11 % 700 AS created FROM documents",
     "notebook": "SELECT 'notebook:' || name AS id, name, regexp_extract(name, '(\\d+)$', 1)::BIGINT % 2 = 0 AS archived, regexp_extract(name, '(\\d+)$', 1)::BIGINT * 13 % 17 AS updated FROM (SELECT DISTINCT source AS name FROM documents)",
     "reference": "SELECT 'source:' || doc_id AS \"in\", 'notebook:' || source AS out FROM documents UNION ALL SELECT 'source:' || doc_id, 'notebook:' || source FROM documents WHERE doc_id % 50 = 0",
-    "source_embedding": "SELECT 'source_embedding:' || vec_id AS id, 'source:' || (vec_id % 100) AS source, vec_id // 100 AS \"order\", 'chunk ' || vec_id || ' label ' || label AS content, embedding FROM embeddings WHERE vec_id % 2 = 0",
+    "source_embedding": "SELECT 'source_embedding:' || vec_id AS id, 'source:' || (vec_id // 4) AS source, vec_id % 4 AS \"order\", 'chunk ' || vec_id || ' label ' || label AS content, embedding FROM embeddings WHERE vec_id % 4 < 2",
     "source_insight": "SELECT 'source_insight:' || doc_id || '_' || k AS id, CASE WHEN doc_id % 10 = 9 THEN 'source:gone' || doc_id ELSE 'source:' || doc_id END AS source, k AS insight_type, 'the ' || k || ' label is ' || v AS content, doc_id FROM (SELECT doc_id, 'quality' AS k, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels)",
-    "insight_vectors": "SELECT i.*, e.embedding FROM source_insight AS i JOIN embeddings AS e ON e.vec_id = i.doc_id % 200 * 2 + 1 WHERE i.insight_type = 'quality'",
-    "note": "SELECT 'note:' || conv_id || '_' || turn AS id, 'conversation ' || conv_id AS title, text AS content, CASE WHEN role = 'user' THEN 'human' ELSE 'ai' END AS note_type, conv_id * 7 % 500 + turn AS updated, conv_id, turn FROM conversations WHERE role <> 'system'",
-    "note_vectors": "SELECT n.*, e.embedding FROM note AS n JOIN embeddings AS e ON e.vec_id = n.conv_id % 250 WHERE n.turn = 1",
+    "insight_vectors": "SELECT 'source_insight:' || (e.vec_id // 4) || '_quality' AS id, 'source:' || (e.vec_id // 4) AS source, 'quality' AS insight_type, coalesce(i.content, 'no label') AS content, e.embedding FROM embeddings AS e LEFT JOIN source_insight AS i ON i.doc_id = e.vec_id // 4 AND i.insight_type = 'quality' WHERE e.vec_id % 4 = 2",
+    "note": "SELECT 'note:' || conv_id || '_' || turn AS id, 'conversation ' || conv_id AS title, text AS content, CASE WHEN role = 'user' THEN 'human' ELSE 'ai' END AS note_type, conv_id * 7 % 500 + turn AS updated, conv_id, turn FROM conversations",
+    "note_vectors": "SELECT 'note:' || (e.vec_id // 4) || '_1' AS id, 'conversation ' || (e.vec_id // 4) AS title, coalesce(n.content, '') AS content, e.embedding FROM embeddings AS e LEFT JOIN note AS n ON n.conv_id = e.vec_id // 4 AND n.turn = 1 WHERE e.vec_id % 4 = 3",
     "artifact": "SELECT id AS \"in\", 'notebook:src' || (conv_id % 20) AS out FROM note",
     "chat_session": "SELECT 'chat_session:' || conv_id AS id, 'Chat ' || conv_id AS title, count(*) AS messages, conv_id * 5 % 97 AS created, conv_id FROM conversations GROUP BY conv_id",
-    "refers_to": "SELECT id AS \"in\", CASE WHEN conv_id % 2 = 0 THEN 'notebook:src' || (conv_id % 20) ELSE 'source:' || (conv_id % 200) END AS out FROM chat_session",
+    "refers_to": "SELECT id AS \"in\", CASE WHEN conv_id % 2 = 0 THEN 'notebook:src' || (conv_id % 20) ELSE 'source:' || conv_id END AS out FROM chat_session",
     "job_event": "SELECT event_id, ts, 'command:' || (user_id % 50) AS command, user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'running' WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'new' END AS status, value, (props->>'$.k')::BIGINT AS k FROM events",
     "command": "SELECT command, max_by(status, (ts, event_id)) AS status, max(event_id) AS last_event FROM job_event GROUP BY command",
     "elements": "SELECT source, idx, ['section_header', 'paragraph', 'text', 'paragraph', 'table', 'picture'][idx % 6 + 1] AS element_type, text, idx // 4 + 1 AS page, {'l': (idx * 10 % 600)::DOUBLE, 'r': (idx * 10 % 600 + 100)::DOUBLE, 't': (idx * 20 % 850)::DOUBLE, 'b': (idx * 20 % 850 + 15)::DOUBLE, 'bottom_left': idx % 2 = 0} AS box FROM (SELECT 'source:' || doc_id AS source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents)",
