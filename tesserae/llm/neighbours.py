@@ -9,14 +9,14 @@ range is at least ``b`` away from the query's own distance holds nothing nearer
 than ``b``; it is left out when ``factor * b`` is beyond the worst neighbour kept.
 With ``factor=1`` the search is exact; a larger factor visits less.
 
-Queries are a stated set. They go in blocks of a fixed size to groups of shards
-of a fixed size, each pair a task of its own; within it the neighbours kept from
-one shard bound the search of the next.
+Queries are a stated set. Their blocks, of up to QUERY_ROWS, go to groups of up to
+GROUP_SHARDS shards, each pair a task of its own, which makes the trees of its group
+and in which the neighbours kept from one shard bound the search of the next. So
+a vector is sent once for each block of queries, a query once for each group.
 """
 
 from __future__ import annotations
 
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, partitions, small_batches
 
-SHARD_ROWS, QUERY_ROWS, GROUP_SHARDS, LEAF = 4096, 512, 8, 48
+SHARD_ROWS, QUERY_ROWS, GROUP_SHARDS, LEAF = 4096, 16_384, 8, 48
+#: Products that differ by less than this share of the largest possible one are taken as equal where the nearest are kept:
+#: the order of summing alone makes such differences.
+SLACK = 1e-12
 
 
 @dataclass
@@ -56,6 +59,7 @@ class Shard:
         self.root = self._build(lifted, 0, len(x), np.random.default_rng(len(x)))
         self.vectors = x[self.order]
         self.ids = [self.ids[i] for i in self.order]
+        self.least = np.array([i[0] for i in self.ids], np.int64)
 
     def _build(self, x: np.ndarray, a: int, b: int, r: np.random.Generator) -> Node:
         if b - a <= LEAF:
@@ -72,34 +76,36 @@ class Shard:
 
 
 class Search:
-    """The best k + 1 distinct vectors so far of each query of a block."""
+    """The best k distinct vectors so far of each query of a block; of equal products those of the least ids."""
 
     def __init__(self, queries: np.ndarray, bound: float, k: int, factor: float):
         self.q, self.k, self.factor = queries, k, factor
         self.base = (queries * queries).sum(axis=1) + bound**2
-        self.best = np.full((len(queries), k), -np.inf)  # inner products, ascending: the first is the worst kept
+        self.unit = np.maximum(np.sqrt((queries * queries).sum(axis=1)) * bound, 1e-300) * SLACK
+        self.best = np.full((len(queries), k), -np.inf)  # products, the largest first: the last is the worst kept
+        self.named = np.full((len(queries), k), np.iinfo(np.int64).max)  # their least ids
         self.found = np.full((len(queries), k), -1, np.int64)
         self.worst = np.full(len(queries), np.inf)  # distance of the worst kept
 
-    def _keep(self, q: np.ndarray, products: np.ndarray, places: np.ndarray) -> None:
-        better = (products > self.best[q, 0][:, None]).any(axis=1)
+    def _keep(self, q: np.ndarray, products: np.ndarray, places: np.ndarray, least: np.ndarray) -> None:
+        better = (products >= (self.best[q, -1] - self.unit[q])[:, None]).any(axis=1)
         q, products = q[better], products[better]
         if not len(q):
             return
         both = np.concatenate([self.best[q], products], axis=1)
-        names = np.concatenate([self.found[q], np.broadcast_to(places, products.shape)], axis=1)
-        top = np.argpartition(both, -self.k, axis=1)[:, -self.k :]
-        both = np.take_along_axis(both, top, axis=1)
-        by = np.argsort(both, axis=1)
-        self.best[q] = np.take_along_axis(both, by, axis=1)
-        self.found[q] = np.take_along_axis(np.take_along_axis(names, top, axis=1), by, axis=1)
-        self.worst[q] = np.sqrt(np.maximum(self.base[q] - 2 * self.best[q, 0], 0))
+        names = np.concatenate([self.named[q], np.broadcast_to(least, products.shape)], axis=1)
+        found = np.concatenate([self.found[q], np.broadcast_to(places, products.shape)], axis=1)
+        by = np.lexsort((names, -np.round(both / self.unit[q][:, None])), axis=1)[:, : self.k]
+        for kept, new in ((self.best, both), (self.named, names), (self.found, found)):
+            kept[q] = np.take_along_axis(new, by, axis=1)
+        self.worst[q] = self._distance(q, self.best[q, -1]) * (1 + 1e-9) + 1e-12
 
     def _distance(self, q: np.ndarray, product: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(self.base[q] - 2 * product, 0))
+        return np.sqrt(np.maximum(self.base[q] - 2 * np.maximum(product, -1e300), 0))
 
     def _leaf(self, shard: Shard, node: Node, q: np.ndarray, offset: int) -> None:
-        self._keep(q, self.q[q] @ shard.vectors[node.first : node.after].T, np.arange(node.first, node.after) + offset)
+        own = slice(node.first, node.after)
+        self._keep(q, self.q[q] @ shard.vectors[own].T, np.arange(node.first, node.after) + offset, shard.least[own])
 
     def visit(self, shard: Shard, offset: int) -> None:
         """Searches a shard whose places are numbered from ``offset`` on.
@@ -127,7 +133,7 @@ class Search:
                     self._leaf(shard, node, q, offset)
                 continue
             product = self.q[q] @ shard.vectors[node.first]
-            self._keep(q, product[:, None], np.array([node.first + offset]))
+            self._keep(q, product[:, None], np.array([node.first + offset]), shard.least[[node.first]])
             d = self._distance(q, product)
             for side, (lo, hi) in zip(node.sides, (node.inner, node.outer), strict=True):
                 part = q[self.factor * np.maximum(lo - d, d - hi) <= self.worst[q]]
@@ -151,6 +157,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, factor: float =
     rows are candidates each; a query has all candidates if they are fewer than
     ``k``, and none (no row) in an empty table. factor 1 is exact.
     """
+    small_batches(vectors.sparkSession)
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = rows.select("id", "v", "is_query", F.size("v").alias("width"))
@@ -159,34 +166,26 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, factor: float =
     widths = rows.groupBy("width").agg(F.max(norm).alias("bound"), F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("m"))
     widths = cut(widths.select("width", (F.col("bound") * (1 + 1e-12)).alias("bound"), F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.col("m") / QUERY_ROWS).cast("int").alias("blocks")).where("blocks > 0"))
     rows = rows.join(F.broadcast(widths), "width")
+    cores = partitions(vectors.sparkSession)
+    group_shards = F.greatest(F.lit(1), F.least(F.lit(GROUP_SHARDS), F.floor(F.col("shards") / cores))).cast("int")
 
     def matrix(table: pa.Table) -> np.ndarray:
-        return np.array(table["v"].to_pylist(), float)
+        v = table["v"].combine_chunks()
+        return np.asarray(v.flatten(), float).reshape(len(v), -1)
 
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        shard = Shard(table["id"].to_numpy(), matrix(table), table["bound"][0].as_py(), k + 1)
-        return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "blocks": pa.array([table["blocks"][0].as_py()], pa.int32()), "tree": [pickle.dumps(shard)]})
-
-    def block(key: tuple, table: pa.Table) -> pa.Table:
-        one = {"width": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "shards": pa.array([table["shards"][0].as_py()], pa.int32()), "bound": [table["bound"][0].as_py()]}
-        return pa.table(one | {"ids": [table["id"].to_numpy().tobytes()], "queries": [matrix(table).tobytes()]})
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int"))
-    trees = dealt.groupBy("width", "shard").applyInArrow(build, "width int, shard int, blocks int, tree binary")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int")).withColumn("grp", (F.col("shard") / group_shards).cast("int"))
+    dealt = dealt.select("width", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "shard", "id", "v", "bound")
     asked = rows.where("is_query").withColumn("block", F.pmod(F.xxhash64("v", "id"), F.col("blocks")).cast("int"))
-    asked = asked.groupBy("width", "block").applyInArrow(block, "width int, block int, shards int, bound double, ids binary, queries binary")
-    group = (F.col("shard") / GROUP_SHARDS).cast("int")
-    trees = trees.select("width", group.alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "shard", "tree")
-    asked = asked.select("width", F.explode(F.sequence(F.lit(0), ((F.col("shards") - 1) / GROUP_SHARDS).cast("int"))).alias("grp"), "block", "bound", "ids", "queries")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), ((F.col("shards") - 1) / group_shards).cast("int"))).alias("grp"), *(F.col(x).alias(x) for x in ("width", "block", "id", "v")))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if right.num_rows and left.num_rows:
-            ids = np.frombuffer(right["ids"][0].as_py(), np.int64)
-            q = np.frombuffer(right["queries"][0].as_py(), float).reshape(len(ids), -1)
-            state, offset, shards = Search(q, right["bound"][0].as_py(), k + 1, factor), 0, []
-            for i in np.argsort(left["shard"].to_numpy()):
-                shards.append(pickle.loads(left["tree"][int(i)].as_py()))
+            ids, q, bound = right["id"].to_numpy(), matrix(right), left["bound"][0].as_py()
+            state, offset, shards = Search(q, bound, k + 1, factor), 0, []
+            x, names, shard = matrix(left), left["id"].to_numpy(), left["shard"].to_numpy()
+            for i in np.unique(shard):
+                shards.append(Shard(names[shard == i], x[shard == i], bound, k + 1))
                 state.visit(shards[-1], offset)
                 offset += len(shards[-1].ids)
             x, names = np.concatenate([s.vectors for s in shards]), [n for s in shards for n in s.ids]
@@ -200,6 +199,6 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, factor: float =
                 out[2].extend(-s for s, _ in pairs)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = trees.groupBy("width", "grp", "block").cogroup(asked.groupBy("width", "grp", "block")).applyInArrow(search, "query_id long, id long, score double")
+    found = dealt.groupBy("width", "grp", "block").cogroup(asked.groupBy("width", "grp", "block")).applyInArrow(search, "query_id long, id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -48,3 +48,13 @@ def test_recall_of_the_production_factor(spark):
 def test_empty_and_single(spark):
     assert nearest(table(spark, []), F.lit(True)).count() == 0
     assert nearest(table(spark, [(20, [1.0])]), F.lit(True)).count() == 0
+
+
+def test_equal_products_at_the_last_place(spark):
+    """A hundred different vectors of one product: the least ids are taken; repeated ids are candidates each."""
+    r = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, float(a), float(b)]) for i, (a, b) in zip(range(100, 200), np.float32(r.normal(size=(100, 2)) * 0.1), strict=True)]
+    rows += [(300, [0.5, 0.01, 0.0]), (300, [0.5, 0.02, 0.0]), (90, [0.5, 0.0, 0.03])]
+    r.shuffle(rows)
+    got = sorted((g.rank, g.vec_id) for g in nearest(table(spark, rows), F.col("vec_id") == 0, k=20, factor=1.0).collect())
+    assert [i for _, i in got] == [90, *range(100, 119)]
