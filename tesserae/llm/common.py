@@ -6,6 +6,7 @@ columns of the input, whatever their names, never clash with working columns.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -84,6 +85,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def tidy() -> None:
+    """At the end of a task's work: gives freed memory back to the system, as Spark keeps its Python workers for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,6 +135,7 @@ def squeezed(rows: DataFrame, column: str = "text") -> DataFrame:
         for batch in batches:
             small = [None if t is None else to.compress(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(small, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+        tidy()
 
     return rows.mapInArrow(squeeze, rows.schema)
 

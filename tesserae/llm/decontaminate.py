@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import keyed_columns, renamed, small_batches, written
+from tesserae.llm.common import keyed_columns, renamed, small_batches, tidy, written
 from tesserae.llm.wordhash import LOWER, Words, hash_words, text_chunks
 
 #: Bytes that are not part of a word (digits, letters and all non-ASCII bytes are), and lower case for A-Z.
@@ -138,6 +138,7 @@ def _scan(rows: DataFrame, at_text: int, sent, with_text: bool = True) -> DataFr
                     items[t] = sorted(w.items[x] for x in k)
                 own = [c.slice(a, b - a) for i, c in enumerate(batch.columns) if with_text or i != at_text]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(words.counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+        tidy()
 
     return rows.mapInArrow(scan, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import keyed_columns, renamed, small_batches
+from tesserae.llm.common import keyed_columns, renamed, small_batches, tidy
 from tesserae.llm.wordhash import mix
 
 BITS = 14
@@ -185,6 +185,7 @@ def _scored(rows: DataFrame, at: int, model: Centroids) -> DataFrame:
                 cosine.append(min(1.0, max(0.0, c)))
                 rejected.append(counts is None or (best is not None and c < (m.limits[best] if n_letters(counts) >= FEW_LETTERS else LEAST_COSINE)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(cosine, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
+        tidy()
 
     return rows.mapInArrow(score, schema)
 

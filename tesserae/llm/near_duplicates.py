@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import only, small_batches, squeezed, unsqueezed, written
+from tesserae.llm.common import only, small_batches, squeezed, tidy, unsqueezed, written
 from tesserae.llm.components import components
 from tesserae.llm.wordhash import LOWER, Words, hash_words, mix, text_chunks
 
@@ -115,6 +115,7 @@ def sketches(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: int = 100
                     least.append(s[: prefix(size, num, den) + SPARE if exact and size >= len(keeps) else int(keeps[min(size, len(keeps) - 1)])])
                 numbers = [np.array(n, np.int64), *(np.array(f, np.uint64).view(np.int64) for f in (f1, f2)), np.array(out, np.int32)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, numbers), pa.array(least, pa.list_(pa.int64()))], names=schema.names)
+        tidy()
 
     return rows.mapInArrow(make, schema)
 
@@ -167,6 +168,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den:
                 good.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+        tidy()
 
     return _sides(pairs, texts, ["text"]).select("a", "b", "texta", "textb").mapInArrow(compare, schema)
 

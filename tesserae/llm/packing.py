@@ -128,7 +128,7 @@ def pack(
     memory does not grow with the input, and the loss against one single group
     is part of one sequence a group. Null texts are empty (one id). Repeated
     rows are packed each for itself; an empty table gives no row. ``offset`` has
-    no gaps within a ``sequence_id``.
+    no gaps within a ``sequence_id``. Very long texts are cut into pieces one by one.
     """
     capacity = np.array([max_tokens, max_docs or max_tokens, max_attention or float(max_tokens) ** 2], float)
     pieces = cut(token_pieces(docs, vocabulary, end_id=end_id, max_tokens=max_tokens, id_col=id_col, text_col=text_col))
@@ -140,6 +140,6 @@ def pack(
         sequence, offset = best_fit(group["length"].to_numpy(), capacity, np.array(weights), rule)
         return group.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
-    # The id and the crc together deal even a table of one repeated id evenly.
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.col(id_col), "piece", "ids_crc32"), F.lit(groups)))
+    # The pieces are checkpointed, so their numbers stay: they deal even repeated rows evenly.
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(place, schema)

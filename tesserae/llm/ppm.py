@@ -245,7 +245,8 @@ def score_texts(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block_
     texts. ``base_score`` is the unigram score with add-one smoothing; ``score``
     is the trie's log10 probability of the words with single blanks and the end.
     Null and empty texts are one end; repeated rows count and score each; with no
-    training text all bytes are equally likely; an empty table gives no rows.
+    training text all bytes are equally likely; an empty table gives no rows. Very
+    long texts are scored whole, a megabyte at a time.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), is_held_out(F.col(id_col), modulus, remainder).alias("held_out"), text.alias("text"))
@@ -261,7 +262,9 @@ def score_texts(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, block_
     trie = broadcast(0)
     scored = unigram_scores(rows, lambda texts: _sums(trie.value, texts), blocks > 1)
     for b in range(1, blocks):
-        scored, trie = written(scored, "ppm-scored"), broadcast(b)
+        scored = written(scored, "ppm-scored")
+        trie.destroy()  # what it scored is written
+        trie = broadcast(b)
 
         def add(batches: Iterator[pa.RecordBatch], trie=trie) -> Iterator[pa.RecordBatch]:
             for batch in batches:

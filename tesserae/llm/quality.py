@@ -146,7 +146,8 @@ def _loss(logits: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, *, hidden: int = 32, epochs: int = 60, decay: float = 1e-3, seed: int = 7) -> Network:
-    """Adam on the logistic loss over four fifths of the rows; the temperature minimises the loss on the rest.
+    """Adam on the logistic loss over four fifths of the rows; a tenth says when to stop, and on the last tenth, which
+    neither has seen, the temperature minimises the loss.
     ``weights`` say how many rows each row stands for (one each by default).
     With no rows, or one label only, the network gives that label's share (one half without rows)."""
     width = x.shape[1]
@@ -157,7 +158,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None,
         return net
     r = np.random.default_rng(seed)
     order = r.permutation(len(y))
-    check, train = order[: len(y) // 5], order[len(y) // 5 :]
+    check, unseen, train = np.split(order, [len(y) // 10, len(y) // 5])
     net.mean = np.average(x[train], axis=0, weights=c[train])
     net.scale = np.sqrt(np.average((x[train] - net.mean) ** 2, axis=0, weights=c[train])) + 1e-3
     net.w1, net.w2 = r.normal(0, width**-0.5, (width, hidden)), r.normal(0, hidden**-0.5, hidden)
@@ -182,7 +183,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None,
         if now < best:
             best, kept = now, [v.copy() for v in values]
     net.w1, net.b1, net.w2, net.b2 = kept[0], kept[1], kept[2], float(kept[3][0])
-    rows = check if len(check) else train
+    rows = unseen if len(unseen) else train
     logits = net.logits(x[rows])
     net.temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda t: _loss(logits / t, y[rows], c[rows])))
     return net

@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import keyed_columns, partitions, renamed, small_batches, squeezed, text_bytes, unsqueezed
+from tesserae.llm.common import keyed_columns, partitions, renamed, small_batches, squeezed, text_bytes, tidy, unsqueezed
 from tesserae.llm.wordhash import hash_words, text_chunks
 
 #: A text's key, and which 65,536 words of it are meant.
 TEXT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("part", "<u4")])
-BUCKET_BYTES, GROUP_BYTES, SEND_WORDS = 8 << 20, 8 << 20, 1_200_000
+BUCKET_BYTES, GROUP_BYTES, SEND_WORDS = 8 << 20, 8 << 20, 400_000
 
 _PACKED = "bucket int, hashes binary, places binary, texts binary, counts binary"
 _FOUND = "dest int, places binary, texts binary, counts binary"
@@ -192,6 +192,7 @@ def _repeated(keyed: DataFrame, small: DataFrame, window: int, buckets: int, des
                     size = 0
         if size:
             yield send()
+        tidy()
 
     def compare(docs: pa.Table, hits: pa.Table) -> pa.Table:
         keys, held = _keys(docs), []

@@ -53,6 +53,8 @@ TRIPLE = re.compile(r"(.)\1\1").search
 MAYBE_SPACED = re.compile(r"(?<!\S)\S[\s._\-*]{1,2}\S[\s._\-*]{1,2}\S").search
 SPACED = regex.compile(r"(?<![^\s])(?:\p{L}|[0-9@$!|+])(?:[\s._\-*]{1,2}(?:\p{L}|[0-9@$!|+])){2,40}(?![^\s.,;:!?])")
 BEGINNINGS = (4, 5, 6)
+#: Characters of a text counted at once.
+PART = 1 << 20
 
 
 def char_table(texts: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -69,12 +71,15 @@ def char_table(texts: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 if text := text.as_py():
-                    # Up to a million characters at once; a trigram cut in two is lost to the counts, one in a million.
-                    for at in range(0, len(text), 1 << 20):
-                        codes = np.frombuffer(text[at : at + (1 << 20)].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-                        x = np.concatenate([[0, 0], lookup[np.minimum(codes, 0xFFFF)], [0]])
+                    # Up to a million characters at once; the last two classes go on to the next part.
+                    before = np.zeros(2, np.int64)
+                    for at in range(0, len(text), PART):
+                        codes = np.frombuffer(text[at : at + PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+                        last = [0] * (at + PART >= len(text))
+                        x = np.concatenate([before, lookup[np.minimum(codes, 0xFFFF)], np.array(last, np.int64)])
                         # One edge between words, and a second where a word starts: its first letter has two edges before it.
                         total += np.bincount((np.where(x[1:-1] > 0, x[:-2], 0) * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=CLASSES**3)
+                        before = x[-2:]
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=schema.names)
 
