@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import remove, written
 
 
-def _lowest(links: DataFrame) -> DataFrame:
+#: Edges in a file of the rounds' tables: few edges go to few files and tasks, many stay where the shuffle has them.
+EDGES_A_FILE = 500_000
+
+
+def _lowest(links: DataFrame, parts: int) -> DataFrame:
     # Written, so that the joins below are of two plain tables: Spark can then split a hub's edges over tasks.
-    return written(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+    return written(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts), "lowest")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both)
-    out = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+    low = _lowest(both, parts)
+    out = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(parts), "edges")
     remove(low)
     return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _lowest(down)
+    low = _lowest(down, parts)
     linked = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = written(linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+    out = written(linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(parts), "edges")
     remove(low, edges)
     return out
 
@@ -38,11 +42,13 @@ def components(edges: DataFrame) -> DataFrame:
     those of the round before. The joins are on one node's edges and the node's
     minimum, one row for each node.
     """
-    edges = _small_star(written(edges.select("u", "v").where("u <> v"), "edges"))
+    edges = written(edges.select("u", "v").where("u <> v"), "edges")
+    parts = max(1, -(-edges.count() // EDGES_A_FILE))
+    edges = _small_star(edges, parts)
     while _paths(edges):
-        large = _large_star(edges)
+        large = _large_star(edges, parts)
         remove(edges)
-        edges = _small_star(large)
+        edges = _small_star(large, parts)
     return edges
 
 
