@@ -3,8 +3,8 @@
 The vocabulary lower-cases, drops white space, splits words, single digits and
 runs of other marks, and marks word ends. No piece crosses white space, so what
 one white-space-free chunk becomes does not depend on its neighbours; both
-classes below remember chunks and pieces they have met. The memory is cleared
-when full, which costs time but never changes a result.
+classes below remember chunks and pieces they have met. The memory is bounded;
+what it forgets costs time but never changes a result.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spa
 KEPT_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: str.split() also splits at these four; the vocabulary does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Marks that often end a word; the apostrophe is not one, as the pattern knows endings with it.
+END_MARKS = ".,;:!?"
 CHUNKS = regex.compile(r"\P{White_Space}+")
 
 
@@ -38,15 +40,22 @@ def chunks(text: str) -> list[str]:
 
 
 class _Remembering(dict):
+    """What ``make`` gave for up to ``limit`` keys of late, and for as many before them: of two generations the younger is
+    this dictionary; when it is full it becomes the elder, whose entries come back one by one as they are met. So frequent
+    keys stay, however many rare ones pass."""
+
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.elder = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        made = self.make(key)
+        made = self.elder.get(key)
+        if made is None:
+            made = self.make(key)
         if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.elder = dict(self)
+                self.clear()
             self[key] = made
         return made
 
@@ -54,8 +63,8 @@ class _Remembering(dict):
 class _Reader:
     """Splits chunks into pieces; subclasses say what a piece and a special token give."""
 
-    #: Entries in each memory: about 60 MB in a worker.
-    LIMIT = 250_000
+    #: Entries in a generation of each memory: about 80 MB in a worker.
+    LIMIT = 160_000
 
     def __init__(self, spec: bytes):
         self.spec = json.loads(spec)
@@ -83,6 +92,9 @@ class _Reader:
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         lowered = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
+        core = lowered.rstrip(END_MARKS)
+        if core.isalpha():  # a word, or a word and a run of marks: what the pattern finds, without its cost
+            return self.pieces[core] + self.pieces[lowered[len(core) :]] if len(core) < len(lowered) else self.pieces[core]
         return self.total(map(self.pieces.__getitem__, PIECES.findall(lowered)))
 
     def read(self, text: str | None):
