@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.running import running_sums
+
 #: Priorities of item kinds.
 PRIORITY = {"source": 100, "insight": 75, "note": 50}
 
@@ -22,9 +24,9 @@ def within_budget(items: DataFrame, budget: int, group: str) -> DataFrame:
     """Each group's items in order of priority, then place, as long as their tokens together stay within the budget.
 
     Tokens are not negative, so taking items off the end while the sum is over is the same as a running sum within it.
+    The sum goes over ranges of a group, so no task holds a whole one.
     """
-    w = Window.partitionBy(group).orderBy(F.desc("priority"), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("running", F.sum("tokens").over(w)).where(F.col("running") <= budget)
+    return running_sums(items, [group], [F.desc("priority"), F.asc("seq")], F.col("tokens")).where(F.col("running") <= budget)
 
 
 def build_context(items: DataFrame, budget: int, group: str = "grp") -> DataFrame:

@@ -197,7 +197,7 @@ def truncation(c):
     return c.source().select("id", t.truncated(F.col("title"), 6, "...").alias("short"), F.substring("full_text", 1, 100).alias("head"), F.regexp_replace("id", "^source:", "").alias("bare"))
 
 
-@query("size_based_routing", "SELECT id, CASE WHEN floor(len(list_filter(string_split_regex(full_text, '\\\\s+'), lambda x: x <> '')) * 1.3) > 5000 THEN 'large_context' WHEN topics[1] = 'en' THEN 'explicit' ELSE 'default' END AS route FROM source", "source")
+@query("size_based_routing", "SELECT id, CASE WHEN floor(len(list_filter(string_split_regex(full_text, '\\s+'), lambda x: x <> '')) * 1.3) > 5000 THEN 'large_context' WHEN topics[1] = 'en' THEN 'explicit' ELSE 'default' END AS route FROM source", "source")
 def routing(c):
     return c.source().select("id", F.when(t.token_estimate(F.col("full_text")) > 5000, "large_context").when(F.col("topics")[0] == "en", "explicit").otherwise("default").alias("route"))
 
