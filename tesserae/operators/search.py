@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,13 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import analyse
-
-#: The customary parameters of BM25.
-K1, B = 1.2, 0.75
+from tesserae.operators.postings import K1, B, TextIndex
 
 
 def bm25(rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """``rows`` with ``score``, those in which every term occurs. Statistics and scores come from two scans and no shuffle
+    """``rows`` with ``score``, those in which every term occurs, without an index: for texts searched once. Statistics and scores come from two scans and no shuffle
     but that of one row for each task: only the query's terms are counted, never all postings."""
     terms = list(dict.fromkeys(terms))
     tokens = lambda df: df.withColumn("_tokens", F.array_remove(analyse(F.coalesce(F.col(text), F.lit(""))), ""))
@@ -76,26 +75,43 @@ def vector_search(legs: list[tuple[DataFrame, Callable[[DataFrame], DataFrame]]]
 
 
 def highlighted(text: Column, terms: list[str], mark: str = "`") -> Column:
-    """The text with each whole word that is a term, in any case, between marks."""
-    return F.regexp_replace(text, rf"(?i)\b({'|'.join(terms)})\b", f"{mark}$1{mark}")
-
-
-def search(kind: str, keyword: str, text_legs: list, vector_legs: list, embed: Callable[[str], list[float]] | None = None, limit: int = 100, minimum: float = 0.2) -> DataFrame:
-    """Text or vector search for a keyword: a blank keyword, an unknown kind or a limit above 1000 is an error. ``embed``
-    gives the keyword's vector. The rows have final_score; the best come first."""
+    """The text with each whole word that is a term, in any case, between marks. A term is plain text, whatever its letters;
+    without a term the text stays as it is."""
+    plain = [re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(terms, key=len, reverse=True) if t]
+    if not plain:
+        return text
+    return F.regexp_replace(text, rf"(?iU)(?<!\w)({'|'.join(plain)})(?!\w)", f"{mark}$1{mark}")
+
+
+def search(
+    kind: str, keyword: str, texts: TextIndex | None = None, vector_legs: dict | None = None, embed: Callable[[str], list[float]] | None = None, limit: int = 100, minimum: float = 0.2,
+    sources: bool = True, notes: bool = True,
+) -> DataFrame:
+    """Text or vector search for a keyword: a blank keyword, an unknown kind or a limit above 1000 is an error. The keyword is
+    cut into terms like the texts; ``embed`` gives its vector. Legs whose names begin with "note" are searched if ``notes``,
+    all others if ``sources``. The rows have final_score; the best come first."""
     if not keyword.strip():
         raise ValueError("a search needs a keyword")
     if limit > 1000:
         raise ValueError("the limit is at most 1000")
+    if kind not in ("text", "vector"):
+        raise ValueError(f"search is text or vector, not {kind}")
+    wanted = [name for name in (texts.names if kind == "text" else vector_legs) if (notes if name.startswith("note") else sources)]
     if kind == "text":
-        found = text_search(text_legs, keyword.lower().split(), limit)
-    elif kind == "vector":
-        found = vector_search(vector_legs, embed(keyword), limit, minimum)
+        found = texts.search(keyword, limit, wanted) if wanted else texts.search([], limit)
+    elif wanted:
+        found = vector_search([vector_legs[name] for name in wanted], embed(keyword), limit, minimum)
     else:
-        raise ValueError(f"search is text or vector, not {kind}")
+        found = vector_search(list(vector_legs.values()), embed(keyword), limit, minimum).where("false")
     return reranked(found)
 
 
+def search_response(found: DataFrame, kind: str) -> DataFrame:
+    """The results of search() with total_count, which is of the results given (so of 1000 at most), not of all hits, and search_type."""
+    total = F.broadcast(found.agg(F.count("*").alias("total_count")))
+    return found.join(total).withColumn("search_type", F.lit(kind))
+
+
 def reranked(found: DataFrame) -> DataFrame:
     """final_score: the first of relevance, similarity and score that is there, else 0; the best first."""
     scores = [F.col(c).cast("double") for c in ("relevance", "similarity", "score") if c in found.columns]

@@ -8,7 +8,7 @@ from tesserae.functions import text as t
 from tesserae.functions.split import split_text
 from tesserae.operators import context, search
 from tesserae.plans.registry import query
-from tesserae.plans.search_queries import _COS, _LEGS, _SOURCE, _legs, _text_sql, _vector_legs, _vector_sql
+from tesserae.plans.search_queries import _COS, _LEGS, _SOURCE, _text_sql, _vector_legs, _vector_sql, text_index
 
 
 @query("output_names", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y%m%d_%H%M%S') || '_a.b.pdf' WHEN 1 THEN strftime(ts, '%Y-%m-%d') || '_a.b.pdf' WHEN 2 THEN 'a.b_' || strftime(ts, '%Y%m%d_%H%M%S') || '.pdf' ELSE 'a.b.pdf' END AS name, 'My_doc__1__' || strftime(ts, '%Y%m%d_%H%M%S') AS folder FROM events")
@@ -182,19 +182,18 @@ def highlight(c):
 
 @query("search_text_entry", f"SELECT id, parent_id, title, relevance, relevance AS final_score FROM ({_text_sql(_LEGS, ['label', 'is'], 100)})", "source", "source_embedding", "source_insight", "note")
 def text_entry(c):
-    return search.search("text", " Label is ", _legs(c), []).withColumns({"relevance": F.round("relevance", 6), "final_score": F.round("final_score", 6)})
+    return search.search("text", " Label is ", text_index(c)).withColumns({"relevance": F.round("relevance", 6), "final_score": F.round("final_score", 6)})
 
 
 @query("search_vector_entry", f"SELECT id, parent_id, title, similarity, matches, similarity AS final_score FROM ({_vector_sql(100, 0.2)})", "source", "source_embedding", "source_insight", "insight_vectors", "note", "note_vectors")
 def vector_entry(c):
     embed = lambda keyword: [float(x) for x in c.raw("embeddings").where("vec_id = 0").select("embedding").first()[0]]
-    return search.search("vector", "first vector", [], _vector_legs(c), embed).withColumns({"similarity": F.round("similarity", 6), "final_score": F.round("final_score", 6)})
+    return search.search("vector", "first vector", None, _vector_legs(c), embed).withColumns({"similarity": F.round("similarity", 6), "final_score": F.round("final_score", 6)})
 
 
 @query("picker_search", f"SELECT parent_id AS id, coalesce(title, 'Untitled') AS title FROM ({_text_sql([(_SOURCE, 'title'), (_SOURCE, 'full_text')], ['that'], 100)})", "source")
 def picker(c):
-    legs = _legs(c)
-    found = search.search("text", "that", [legs[0], legs[2]], [])
+    found = text_index(c).search("that", 100, ["source_title", "source_text"])
     return found.select(F.col("parent_id").alias("id"), F.coalesce("title", F.lit("Untitled")).alias("title"))
 
 

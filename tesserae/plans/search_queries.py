@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import graph, search
+from tesserae.operators.postings import TextIndex
 from tesserae.plans.registry import query
 
 _TOKENS = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '([\p{{Ll}}])([\p{{Lu}}])', '\1 \2', 'g'), '([\p{{L}}])([\p{{N}}])', '\1 \2', 'g'), '([\p{{N}}])([\p{{L}}])', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -33,32 +34,63 @@ _LEGS = [(_SOURCE, "title"), (_CHUNK, "content"), (_SOURCE, "full_text"), (_INSI
 
 
 def _legs(c):
+    """The six indexed texts: legs named note are searched for notes, the others for sources."""
     s = c.source().select("id", F.col("id").alias("parent_id"), "title", "full_text")
     titles = c.source().select(F.col("id").alias("source"), "title")
     chunk = c.source_embedding().select("source", "content").join(titles, "source", "left").select(F.when(F.col("title").isNotNull(), F.col("source")).alias("id"), "title", "content").withColumn("parent_id", F.col("id"))
     insight = c.source_insight().join(titles, "source", "left").select("id", F.col("id").alias("parent_id"), F.concat("insight_type", F.lit(" - "), F.coalesce("title", F.lit(""))).alias("title"), "content")
     note = c.note().select("id", F.col("id").alias("parent_id"), "title", "content")
-    return [(s, "title"), (chunk, "content"), (s, "full_text"), (insight, "content"), (note, "title"), (note, "content")]
+    return [("source_title", s, "title"), ("source_chunk", chunk, "content"), ("source_text", s, "full_text"), ("source_insight", insight, "content"), ("note_title", note, "title"), ("note_content", note, "content")]
 
 
-def _search(c, terms):
-    return search.text_search(_legs(c), terms).withColumn("relevance", F.round("relevance", 6))
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def text_index(c, stemmed: bool = False) -> TextIndex:
+    """The session's index of the catalog's texts. It is made by the first search, and again once the tables' files change."""
+    key = (c.spark.sparkContext.applicationId, c.sf_dir, stemmed, c.version("documents", "embeddings", "labels", "conversations"))
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex(_legs(c), stemmed=stemmed)
+    return _INDEXES[key]
+
+
+def _rounded(found):
+    return found.withColumn("relevance", F.round("relevance", 6))
 
 
 @query("text_search_common_words", _text_sql(_LEGS, ["the", "and"], None), "source", "source_embedding", "source_insight", "note")
 def common(c):
     # No limit: the whole ranking is given.
-    return _search(c, ["the", "and"])
+    return _rounded(text_index(c).search("the and"))
 
 
 @query("text_search_labels", _text_sql(_LEGS, ["label"], None), "source", "source_embedding", "source_insight", "note")
 def labels(c):
-    return _search(c, ["label"])
+    return _rounded(text_index(c).search("label"))
 
 
 @query("text_search_full_text_top", _text_sql([(_SOURCE, "full_text")], ["that", "with"], 25), "source")
 def top_texts(c):
-    return search.text_search([_legs(c)[2]], ["that", "with"], 25).withColumn("relevance", F.round("relevance", 6))
+    return _rounded(text_index(c).search("that with", 25, ["source_text"]))
+
+
+def _response_sql(flags: str, legs: list, n: int) -> str:
+    return f"SELECT '{flags}' AS flags, *, count(*) OVER () AS total_count FROM ({_text_sql(legs, ['the'], n)})"
+
+
+@query("search_response_by_flags", " UNION ALL ".join(f"({_response_sql(*x)})" for x in (("sources", _LEGS[:4], 40), ("notes", _LEGS[4:], 40), ("both", _LEGS, 1000))), "source", "source_embedding", "source_insight", "note")
+def by_flags(c):
+    """One keyword searched in sources, in notes, in both and in neither, with the number of results given."""
+    def asked(flags, sources, notes, limit):
+        found = search.search("text", " The?", text_index(c), limit=limit, sources=sources, notes=notes)
+        return search.search_response(found, "text").select(F.lit(flags).alias("flags"), "id", "parent_id", "title", F.round("relevance", 6).alias("relevance"), "total_count")
+    return asked("sources", True, False, 40).unionAll(asked("notes", False, True, 40)).unionAll(asked("both", True, True, 1000)).unionAll(asked("neither", False, False, 40))
+
+
+@query("text_search_inflections")
+def inflections(c):
+    """A search in the stemmed index: other forms of the words are found too."""
+    return _rounded(text_index(c, stemmed=True).search("Labelled"))
 
 
 _Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
@@ -78,7 +110,7 @@ def _vector_sql(n: int, minimum: float) -> str:
 @query("vector_search_three_legs", _vector_sql(40, 0.05), "source", "source_embedding", "source_insight", "insight_vectors", "note", "note_vectors")
 def vectors(c):
     q = [float(x) for x in c.raw("embeddings").where("vec_id = 0").select("embedding").first()[0]]
-    return search.vector_search(_vector_legs(c), q, 40, 0.05).withColumn("similarity", F.round("similarity", 6))
+    return search.vector_search(list(_vector_legs(c).values()), q, 40, 0.05).withColumn("similarity", F.round("similarity", 6))
 
 
 def _vector_legs(c):
@@ -89,7 +121,7 @@ def _vector_legs(c):
     insight = lambda top: titled(top).withColumns({"id": F.col("row_id"), "parent_id": known, "title": F.concat("insight_type", F.lit(" - "), F.coalesce("title", F.lit("")))})
     note = lambda top: top.withColumns({"id": F.col("row_id"), "parent_id": F.col("row_id")})
     row = lambda df, *columns: df.select(F.col("id").alias("row_id"), *columns, "content", "embedding")
-    return [(row(c.source_embedding(), "source"), chunk), (row(c.insight_vectors(), "source", "insight_type"), insight), (row(c.note_vectors(), "title"), note)]
+    return {"source_chunk": (row(c.source_embedding(), "source"), chunk), "source_insight": (row(c.insight_vectors(), "source", "insight_type"), insight), "note": (row(c.note_vectors(), "title"), note)}
 
 
 _ASK = f"""

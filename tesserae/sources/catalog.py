@@ -14,6 +14,15 @@ class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def version(self, *names: str) -> tuple:
+        """Sizes and times of the given tables' files, by which a kept index is known to be of them."""
+        conf, out = self.spark._jsc.hadoopConfiguration(), []
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            fs = path.getFileSystem(conf)
+            out.append((name, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
+        return tuple(out)
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

@@ -148,7 +148,7 @@ def test_conversations_keep_state_over_batches(spark, tmp_path):
 def test_search_entry_rules(spark):
     for bad in (("text", " ", 10), ("sound", "x", 10), ("text", "x", 1001)):
         with pytest.raises(ValueError):
-            search.search(bad[0], bad[1], [], [], limit=bad[2])
+            search.search(bad[0], bad[1], limit=bad[2])
     hits = spark.createDataFrame([("a", None, 0.5), ("b", 0.9, 0.1), ("c", None, None)], "id string, relevance double, similarity double")
     assert [tuple(r) for r in search.reranked(hits).select("id", "final_score").collect()] == [("b", 0.9), ("a", 0.5), ("c", 0.0)]
     assert one(spark, lambda c: search.highlighted(c, ["red", "fox"]), "Red foxes, red fox") == "`Red` foxes, `red` `fox`"
