@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.stem import stem
-from tesserae.functions.text import analyse
+from tesserae.functions.text import TOKEN_BOUNDS, analyse
 from tesserae.operators.lineage import stored
 
 #: The customary parameters of BM25.
@@ -66,13 +66,15 @@ class TextIndex:
     def __init__(self, legs: list[tuple[str, DataFrame, str]], *, stemmed: bool = False, buckets: int = BUCKETS):
         self.stemmed, self.buckets, self.names = stemmed, buckets, [name for name, _, _ in legs]
         self.spark = legs[0][1].sparkSession
-        each = [rows.select(F.lit(name).alias("leg"), F.col("id").cast("string"), F.col("parent_id").cast("string"), F.col("title").cast("string"), analysed(F.col(text)).alias("tokens")) for name, rows, text in legs]
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # Few large files would leave most cores without work.
+        dealt = lambda rows: rows if rows.rdd.getNumPartitions() > parts else rows.repartition(parts)
+        each = [dealt(rows.select("id", "parent_id", "title", F.col(text).alias("_text"))).select(F.lit(name).alias("leg"), F.col("id").cast("string"), F.col("parent_id").cast("string"), F.col("title").cast("string"), analysed(F.col("_text")).alias("tokens")) for name, rows, text in legs]
         united = reduce(DataFrame.unionByName, each).select("leg", F.monotonically_increasing_id().alias("row"), "id", "parent_id", "title", "tokens")
         texts = stored(united.mapInArrow(_counted(stemmed), "leg string, row long, id string, parent_id string, title string, len int, terms array<string>, tfs array<int>"), "texts")
         self.rows = texts.drop("terms", "tfs")
-        #: A row for each leg.
+        # A row for each leg.
         self.legs = {r["leg"]: (r["n"], r["mean"]) for r in self.rows.groupBy("leg").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).collect()}
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         each = texts.select("leg", "row", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select(self._bucket(F.col("t.terms")).alias("bucket"), F.col("t.terms").alias("term"), "leg", "row", F.col("t.tfs").alias("tf"), "len")
         # By ranges, so a term of very many texts is in several files.
         self.postings = stored(each.repartitionByRange(parts, "bucket", "term", "leg", "row").sortWithinPartitions("bucket", "term", "leg", "row"), "postings", ("bucket",))
@@ -133,3 +135,30 @@ class TextIndex:
         terms = self.terms(words if isinstance(words, str) else " ".join(words))
         ranked = self._results(self.scored(terms, [x for x in legs or self.names if x in self.legs], n)).orderBy(F.desc("relevance"), "id")
         return ranked if n is None else ranked.limit(n)
+
+    def create_function(self, name: str = "text_search") -> None:
+        """Makes the search a table function of the session, to be called in FROM: name(words, match_count, sources, notes). Legs
+        whose names begin with "note" are searched for notes, the others for sources. Only for an index without stems."""
+        if self.stemmed:
+            raise ValueError("SQL has no stems; use an index without them")
+        for view, table in (("rows", self.rows), ("postings", self.postings), ("blocks", self.blocks)):
+            table.createOrReplaceTempView(f"{name}_{view}")
+        legs = [(leg, n, float(mean or 1.0)) for leg, (n, mean) in self.legs.items()]
+        self.spark.createDataFrame(legs, "leg string, n long, mean double").createOrReplaceTempView(f"{name}_legs")
+        terms = f"array_distinct(array_remove(transform(split(words, r'{TOKEN_BOUNDS}'), x -> lower(x)), ''))"
+        near = f"array_contains(transform({terms}, x -> cast(crc32(cast(x AS binary)) % {self.buckets} AS int)), bucket)"
+        asked = "if(leg LIKE 'note%', notes, sources)"
+        self.spark.sql(f"""
+            CREATE OR REPLACE TEMPORARY FUNCTION {name}(words STRING, match_count INT, sources BOOLEAN, notes BOOLEAN)
+            RETURNS TABLE(id STRING, parent_id STRING, title STRING, relevance DOUBLE) RETURN
+            SELECT id, parent_id, title, relevance FROM (
+              SELECT id, parent_id, title, max(score) AS relevance, row_number() OVER (ORDER BY max(score) DESC, id) AS place FROM (
+                SELECT p.leg, p.row, count(*) AS k, sum(ln(1 + (l.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * {K1 + 1} / (p.tf + {K1} * ({1 - B} + {B} * p.len / l.mean))) AS score
+                FROM {name}_postings AS p
+                JOIN (SELECT leg, term, sum(df) AS df FROM {name}_blocks WHERE {near} AND array_contains({terms}, term) AND {asked} GROUP BY leg, term) AS d ON d.leg = p.leg AND d.term = p.term
+                JOIN {name}_legs AS l ON l.leg = p.leg
+                WHERE {near} AND array_contains({terms}, p.term) GROUP BY p.leg, p.row
+              ) AS s JOIN {name}_rows AS r ON r.leg = s.leg AND r.row = s.row
+              WHERE k = size({terms}) AND id IS NOT NULL GROUP BY id, parent_id, title
+            ) WHERE place <= match_count
+        """)

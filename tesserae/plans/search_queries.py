@@ -87,6 +87,16 @@ def by_flags(c):
     return asked("sources", True, False, 40).unionAll(asked("notes", False, True, 40)).unionAll(asked("both", True, True, 1000)).unionAll(asked("neither", False, False, 40))
 
 
+_BY_SQL = f"SELECT 'found' AS asked, * FROM ({_text_sql(_LEGS, ['the', 'and'], 30)}) UNION ALL SELECT 'notes', * FROM ({_text_sql(_LEGS[4:], ['that'], 1000000)})"
+
+
+@query("stored_search_function", _BY_SQL, "source", "source_embedding", "source_insight", "note")
+def stored_function(c):
+    """The search as a table function that SQL calls in FROM."""
+    text_index(c).create_function("text_search")
+    return _rounded(c.spark.sql("SELECT 'found' AS asked, * FROM text_search('the and', 30, true, true) UNION ALL SELECT 'notes', * FROM text_search('That', 1000000, false, true)"))
+
+
 @query("text_search_inflections")
 def inflections(c):
     """A search in the stemmed index: other forms of the words are found too."""

@@ -91,6 +91,15 @@ def test_search_flags_and_counts(spark, legs):
     assert {x.total_count for x in sources} == {len(sources)} and {(x.total_count, x.search_type) for x in both} == {(7, "text")} and none == []
 
 
+def test_function_in_sql(spark, legs):
+    index = TextIndex(frames(spark, legs), buckets=7)
+    index.create_function("find_texts")
+    for words, n, sources, notes in [("FoxRuns", 5, True, True), ("state-of-the-art", 1000, True, False), ("the", 1000, False, True), ("nowhere", 5, True, True), ("", 5, True, True)]:
+        kept = {k: v for k, v in legs.items() if (notes if k.startswith("note") else sources)}
+        got = spark.sql(f"SELECT * FROM find_texts('{words}', {n}, {sources}, {notes}) ORDER BY relevance DESC, id").collect()
+        assert [x.relevance for x in got] == pytest.approx([-x[0] for x in brute(kept, words, n=n)], abs=1e-8)
+
+
 def test_index_of_nothing(spark):
     index = TextIndex(frames(spark, {"source_text": []}))
     assert index.search("word").collect() == [] and index.search("", 5).collect() == []
