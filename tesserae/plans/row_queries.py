@@ -202,10 +202,11 @@ def routing(c):
     return c.source().select("id", F.when(t.token_estimate(F.col("full_text")) > 5000, "large_context").when(F.col("topics")[0] == "en", "explicit").otherwise("default").alias("route"))
 
 
-@query("two_hop_neighbours", "SELECT DISTINCT a.\"in\" AS start, b.out AS id FROM (SELECT DISTINCT \"in\", out FROM refers_to) AS a JOIN (SELECT out AS x, \"in\" AS out FROM artifact) AS b ON b.x = a.out", "chat_session", "note", "refers_to", "artifact")
+@query("two_hop_neighbours", "SELECT s.id AS start, count(b.out) AS walks FROM chat_session AS s LEFT JOIN (SELECT DISTINCT \"in\", out FROM refers_to) AS a ON a.\"in\" = s.id LEFT JOIN (SELECT DISTINCT out AS x, \"in\" AS out FROM artifact) AS b ON b.x = a.out GROUP BY s.id", "chat_session", "note", "refers_to", "artifact")
 def two_hops(c):
+    """How many notes each chat session reaches through what it refers to: counts, as the pairs are sessions times notes."""
     edges = c.refers_to().unionByName(c.artifact().select(F.col("out").alias("in"), F.col("in").alias("out")))
-    return graph.hops(edges, c.chat_session().select("id"), 2).where("hop = 2").select("start", "id")
+    return graph.walk_counts(edges, c.chat_session().select("id"), 2).select(F.col("id").alias("start"), "walks")
 
 
 @query("co_linked_sources", "SELECT r.\"in\" AS id, count(*) AS shared FROM (SELECT DISTINCT \"in\", out FROM reference) AS r WHERE r.out IN (SELECT out FROM reference WHERE \"in\" = 'source:3') AND r.\"in\" <> 'source:3' GROUP BY 1 ORDER BY shared DESC, id LIMIT 20", "reference")

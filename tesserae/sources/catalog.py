@@ -113,6 +113,11 @@ class Catalog:
         s = self.chat_session()
         return s.select(F.col("id").alias("in"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("notebook:src"), (F.col("conv_id") % 20).cast("string"))).otherwise(record_id("source", F.col("conv_id"))).alias("out"))
 
+    def links(self) -> DataFrame:
+        """All edges together: sources and notes to notebooks, chat sessions to what they refer to, sources to their topic."""
+        topics = self.source().select(F.col("id").alias("in"), F.concat(F.lit("topic:"), F.col("topics")[0]).alias("out")).where("out IS NOT NULL")
+        return self.reference().unionAll(self.artifact()).unionAll(self.refers_to()).unionAll(topics)
+
     def job_event(self) -> DataFrame:
         """Status changes of jobs: one job for each user."""
         status = F.create_map(*(F.lit(x) for pair in STATUS_OF_EVENT.items() for x in pair))[F.col("event_type")]
@@ -153,11 +158,12 @@ CATALOG_SQL = {
     "artifact": "SELECT id AS \"in\", 'notebook:src' || (conv_id % 20) AS out FROM note",
     "chat_session": "SELECT 'chat_session:' || conv_id AS id, 'Chat ' || conv_id AS title, count(*) AS messages, conv_id * 5 % 97 AS created, conv_id FROM conversations GROUP BY conv_id",
     "refers_to": "SELECT id AS \"in\", CASE WHEN conv_id % 2 = 0 THEN 'notebook:src' || (conv_id % 20) ELSE 'source:' || conv_id END AS out FROM chat_session",
+    "links": "SELECT * FROM reference UNION ALL SELECT * FROM artifact UNION ALL SELECT * FROM refers_to UNION ALL SELECT id, 'topic:' || topics[1] FROM source WHERE topics[1] IS NOT NULL",
     "job_event": "SELECT event_id, ts, 'command:' || (user_id % 50) AS command, user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'running' WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'new' END AS status, value, (props->>'$.k')::BIGINT AS k FROM events",
     "command": "SELECT command, max_by(status, (ts, event_id)) AS status, max(event_id) AS last_event FROM job_event GROUP BY command",
     "elements": "SELECT source, idx, ['section_header', 'paragraph', 'text', 'paragraph', 'table', 'picture'][idx % 6 + 1] AS element_type, text, idx // 4 + 1 AS page, {'l': (idx * 10 % 600)::DOUBLE, 'r': (idx * 10 % 600 + 100)::DOUBLE, 't': (idx * 20 % 850)::DOUBLE, 'b': (idx * 20 % 850 + 15)::DOUBLE, 'bottom_left': idx % 2 = 0} AS box FROM (SELECT 'source:' || doc_id AS source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents)",
 }
-_NEEDS = {"insight_vectors": ["source_insight"], "note_vectors": ["note"], "artifact": ["note"], "refers_to": ["chat_session"], "command": ["job_event"]}
+_NEEDS = {"insight_vectors": ["source_insight"], "note_vectors": ["note"], "artifact": ["note"], "refers_to": ["chat_session"], "links": ["source", "reference", "note", "artifact", "chat_session", "refers_to"], "command": ["job_event"]}
 
 
 def with_tables(sql: str, *tables: str) -> str:
@@ -166,4 +172,5 @@ def with_tables(sql: str, *tables: str) -> str:
     for t in tables:
         wanted += [x for x in [*_NEEDS.get(t, []), t] if x not in wanted]
     head = ", ".join(f"{t} AS ({CATALOG_SQL[t]})" for t in wanted)
-    return f"WITH {head} {sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {head}, {sql.lstrip()[5:]}"
+    start = next((x for x in ("WITH RECURSIVE ", "WITH ") if sql.lstrip().upper().startswith(x)), None)
+    return f"{start}{head}, {sql.lstrip()[len(start):]}" if start else f"WITH {head} {sql}"
