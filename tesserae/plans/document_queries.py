@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
+from tesserae.functions.markdown import to_markdown
 from tesserae.functions.split import split_text
 from tesserae.operators import context, search
+from tesserae.operators.parsed import parsed_chunks
 from tesserae.plans.registry import query
 from tesserae.plans.search_queries import _COS, _LEGS, _SOURCE, _text_sql, _vector_legs, _vector_sql, text_index
 
@@ -68,7 +70,7 @@ def process(c):
 
 
 _MERGED = """
-SELECT source, idx // 4 AS "order", min(page) AS physical_page, min(page) + 1 AS printed_page, max(page) AS last_page, min(text) FILTER (WHERE element_type = 'section_header') AS chapter, 'chunk' AS element_type,
+SELECT source, idx // 4 AS "order", min(page) AS physical_page, min(page) + 1 AS printed_page, max(page) AS last_page, min_by(text, idx) FILTER (WHERE element_type = 'section_header') AS chapter, 'chunk' AS element_type,
   count(*) FILTER (WHERE box IS NOT NULL) AS num_locations, list_sort(list(DISTINCT round(least(greatest(box.l / 595, 0), 1), 6))) AS lefts FROM elements GROUP BY source, idx // 4
 """
 
@@ -79,7 +81,7 @@ def merged(c):
     e = c.elements().withColumn("order", F.floor(F.col("idx") / 4))
     left = F.round(F.least(F.greatest(F.col("box.l") / 595, F.lit(0.0)), F.lit(1.0)), 6)
     return e.groupBy("source", "order").agg(
-        F.min("page").alias("physical_page"), (F.min("page") + 1).alias("printed_page"), F.max("page").alias("last_page"), F.min(F.when(F.col("element_type") == "section_header", F.col("text"))).alias("chapter"),
+        F.min("page").alias("physical_page"), (F.min("page") + 1).alias("printed_page"), F.max("page").alias("last_page"), F.min_by("text", F.when(F.col("element_type") == "section_header", F.col("idx"))).alias("chapter"),
         F.lit("chunk").alias("element_type"), F.count("box").alias("num_locations"), F.sort_array(F.collect_set(left)).alias("lefts"),
     )
 
@@ -165,14 +167,20 @@ def new_notes(c):
     return c.note().select("id", made.alias("title"), "note_type", F.concat(F.lit("notebook:src"), (F.col("conv_id") % 20).cast("string")).alias("out"))
 
 
-@query("ask_event_stream", "SELECT conv_id, place, event FROM (SELECT conv_id, 0 AS place, 'strategy' AS event FROM chat_session UNION ALL SELECT conv_id, turn + 1, 'answer' FROM note WHERE note_type = 'ai' UNION ALL SELECT conv_id, 1000000, 'final_answer' FROM chat_session WHERE messages > 1 UNION ALL SELECT conv_id, 1000001, CASE WHEN messages > 1 THEN 'complete' ELSE 'error' END FROM chat_session)", "chat_session", "note")
+_EVENTS = """
+SELECT conv_id, place, event FROM (SELECT conv_id, 0 AS place, 'strategy' AS event FROM chat_session UNION ALL SELECT conv_id, turn + 1, 'answer' FROM note WHERE note_type = 'ai'
+UNION ALL SELECT conv_id, max(turn) + 2, 'final_answer' FROM note GROUP BY conv_id HAVING count(*) > 1 UNION ALL SELECT conv_id, max(turn) + 3, CASE WHEN count(*) > 1 THEN 'complete' ELSE 'error' END FROM note GROUP BY conv_id)
+"""
+
+
+@query("ask_event_stream", _EVENTS, "chat_session", "note")
 def ask_events(c):
     """Each question's events in order: the strategy, its answers, the final answer, and completion or an error."""
-    s = c.chat_session()
-    ok = F.col("messages") > 1
+    ends = c.note().groupBy("conv_id").agg(F.max("turn").alias("last"), F.count("*").alias("n"))
+    ok = F.col("n") > 1
     event = lambda df, place, name: df.select("conv_id", place.cast("long").alias("place"), name.alias("event"))
-    rows = event(s, F.lit(0), F.lit("strategy")).unionAll(event(c.note().where("note_type = 'ai'"), F.col("turn") + 1, F.lit("answer")))
-    return rows.unionAll(event(s.where(ok), F.lit(1_000_000), F.lit("final_answer"))).unionAll(event(s, F.lit(1_000_001), F.when(ok, "complete").otherwise("error")))
+    rows = event(ends, F.lit(0), F.lit("strategy")).unionAll(event(c.note().where("note_type = 'ai'"), F.col("turn") + 1, F.lit("answer")))
+    return rows.unionAll(event(ends.where(ok), F.col("last") + 2, F.lit("final_answer"))).unionAll(event(ends, F.col("last") + 3, F.when(ok, "complete").otherwise("error")))
 
 
 @query("highlighted_titles", "SELECT id, regexp_replace(content, '(?i)\\b(label|the)\\b', '`\\1`', 'g') AS shown FROM source_insight", "source_insight")
@@ -224,3 +232,35 @@ def answers(c):
     for leg in legs[1:]:
         out = out.unionAll(leg)
     return out
+
+
+_ITEM = """
+SELECT 'source:' || doc_id AS id, i, text, i // 4 + 1 + (i % 5 = 0)::INT AS last_page, CASE WHEN i % 10 = 9 THEN 'table' WHEN i % 10 = 7 THEN 'picture' WHEN i % 10 = 6 THEN 'formula' ELSE ['section_header', 'paragraph', 'text', 'title', 'paragraph', 'caption'][i % 6 + 1] END AS kind,
+  CASE WHEN i % 10 IN (6, 7, 9) THEN NULL WHEN i % 6 IN (0, 3) THEN text END AS heading,
+  CASE WHEN i % 10 = 9 THEN '| line | text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' | ' || text || ' |' WHEN i % 10 = 7 AND i % 4 <> 3 THEN '[Picture ' || i || ']' ELSE text END AS said
+FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents)
+"""
+_PARSED = f"""
+WITH x AS (SELECT id, i, said, kind, CASE WHEN i % 7 = 3 THEN 0 ELSE last_page END AS page, last_value(heading IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS chapter FROM ({_ITEM})),
+y AS (SELECT *, CASE WHEN kind IN ('paragraph', 'text') THEN count(*) FILTER (WHERE kind IN ('paragraph', 'text')) OVER (PARTITION BY id, page ORDER BY i ROWS UNBOUNDED PRECEDING) END AS paragraph_number FROM x WHERE trim(said, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+p AS (SELECT id, i, unnest(CASE WHEN i % 7 = 3 THEN [] WHEN i % 5 = 0 THEN [i // 4 + 1, i // 4 + 2] ELSE [i // 4 + 1] END) AS page FROM y),
+q AS (SELECT id, i, page, CASE WHEN page % 2 = 1 AND page < 100 THEN page + 600 ELSE 595 END AS w, CASE WHEN page % 2 = 1 AND page < 100 THEN 800 ELSE 842 END AS h FROM p),
+s AS (SELECT id, i, sum(round(page + least(i * 10 % 600 / w, 1) + 3 * least((i * 10 % 600 + 100) / w, 1) + 5 * greatest(0, least(1, CASE WHEN i % 2 = 0 OR i % 3 <> 0 THEN h - i * 20 % 850 - 15 ELSE i * 20 % 850 END / h)) + 7 * greatest(0, least(1, CASE WHEN i % 2 = 0 OR i % 3 <> 0 THEN h - i * 20 % 850 ELSE i * 20 % 850 + 15 END / h)), 6)) AS places, count(*) AS n FROM q GROUP BY id, i)
+SELECT y.id, y.i AS "order", y.said AS text, y.kind AS element_type, y.chapter, y.page AS physical_page, y.page AS printed_page, y.paragraph_number, coalesce(s.n, 0) AS num_locations, round(coalesce(s.places, 0), 5) AS places FROM y LEFT JOIN s USING (id, i)
+"""
+
+
+@query("parsed_document_chunks", _PARSED)
+def parsed_documents(c):
+    """Chunks of nested items; the five numbers of their places are compared as one weighted sum of each item."""
+    weighted = F.aggregate("positions", F.lit(0.0), lambda s, p: s + F.round(p[0] + p[1] + 3 * p[2] + 5 * p[3] + 7 * p[4], 6))
+    return parsed_chunks(c.parsed()).select(
+        "id", F.col("order").cast("long").alias("order"), "text", "element_type", "chapter", F.col("physical_page").cast("long").alias("physical_page"), F.col("printed_page").cast("long").alias("printed_page"),
+        "paragraph_number", F.size("positions").cast("long").alias("num_locations"), F.round(weighted, 5).alias("places"),
+    )
+
+
+@query("pages_to_markdown")
+def pages(c):
+    """Whole pages as markdown; see the tests, SQL has no reader of tags."""
+    return c.raw("pages").select("page_id", "url", to_markdown(F.col("html")).alias("markdown"))

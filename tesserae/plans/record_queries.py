@@ -198,10 +198,11 @@ def newest(c):
     return i.groupBy("source").agg(F.max_by("id", F.struct("updated", "id")).alias("id"))
 
 
-@query("numbered_lines", "SELECT source, idx, rank() OVER (PARTITION BY source, page ORDER BY idx)::INT AS place FROM elements WHERE trim(text) <> ''", "elements")
+@query("numbered_lines", "SELECT source, idx, place FROM (SELECT source, idx, text, rank() OVER (PARTITION BY source, page ORDER BY idx)::INT AS place FROM elements) WHERE trim(text) <> ''", "elements")
 def numbered(c):
     place = F.rank().over(Window.partitionBy("source", "page").orderBy("idx"))
-    return c.elements().where(F.trim("text") != "").select("source", "idx", place.alias("place"))
+    # Numbered before blank lines are left out: the numbers have gaps.
+    return c.elements().withColumn("place", place).where(F.trim("text") != "").select("source", "idx", "place")
 
 
 @query("three_heading_kinds", "SELECT source, idx, last_value(CASE WHEN kind IN ('section_header', 'title', 'heading') THEN text END IGNORE NULLS) OVER (PARTITION BY source ORDER BY idx ROWS UNBOUNDED PRECEDING) AS chapter FROM (SELECT source, idx, text, CASE WHEN idx % 12 = 4 THEN 'title' WHEN idx % 12 = 9 THEN 'heading' ELSE element_type END AS kind FROM elements)", "elements")

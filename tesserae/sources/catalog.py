@@ -137,6 +137,26 @@ class Catalog:
         )
 
 
+    def parsed(self) -> DataFrame:
+        """(id, parsed): each document as JSON of nested items, made of its lines; odd pages have a size, every seventh item no
+        place, every fifth two, every tenth line is a table."""
+        box = lambda i: F.struct((i * 10 % 600).cast("double").alias("l"), (i * 10 % 600 + 100).cast("double").alias("r"), (i * 20 % 850).cast("double").alias("t"), (i * 20 % 850 + 15).cast("double").alias("b"), F.when(i % 2 == 0, "CoordOrigin.BOTTOMLEFT").when(i % 3 == 0, "TOPLEFT").alias("coord_origin"))
+        place = lambda i, more: F.struct((F.floor(i / 4) + 1 + more).cast("int").alias("page_no"), box(i).alias("bbox"))
+        prov = lambda i: F.when(i % 7 != 3, F.when(i % 5 == 0, F.array(place(i, 0), place(i, 1))).otherwise(F.array(place(i, 0))))
+        label = lambda i: F.element_at(F.array(*map(F.lit, ("section_header", "paragraph", "text", "title", "paragraph", "caption"))), (i % 6 + 1).cast("int"))
+
+        def item(line: Column, i: Column) -> Column:
+            kind = F.when(i % 10 == 9, "table").when(i % 10 == 7, "picture").when(i % 10 == 6, "formula").otherwise("text")
+            return F.struct(
+                kind.alias("kind"), F.when(kind == "text", label(i)).alias("label"), F.when(kind.isin("text", "formula"), line).alias("text"), F.when((kind == "picture") & (i % 4 == 3), line).alias("caption"),
+                F.when(kind == "table", F.array(F.array(F.lit("line"), F.lit("text")), F.array(i.cast("string"), line))).alias("rows"), prov(i).alias("prov"),
+            )
+
+        lines = F.split(F.coalesce("text", F.lit("")), "\n")
+        pages = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(99), F.lit(2)), lambda p: p.cast("string")), F.transform(F.sequence(F.lit(1), F.lit(99), F.lit(2)), lambda p: F.struct((p + 600).cast("double").alias("width"), F.lit(800.0).alias("height"))))
+        return self.raw("documents").select(record_id("source", F.col("doc_id")).alias("id"), F.to_json(F.struct(pages.alias("pages"), F.transform(lines, item).alias("items"))).alias("parsed"))
+
+
 #: The job status that an event stands for.
 STATUS_OF_EVENT = {"error": "failed", "purchase": "completed", "click": "running", "view": "queued", "signup": "new"}
 
