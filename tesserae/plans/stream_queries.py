@@ -6,9 +6,11 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tesserae.operators.lineage import shared_folder, stored
 from tesserae.plans.registry import query
 from tesserae.sources.catalog import STATUS_OF_EVENT
 from tesserae.streaming import jobs
+from tesserae.streaming.memory import remembered, rocks_db
 
 
 def _checkpoints(spark) -> str:
@@ -50,3 +52,14 @@ def state(c):
     like = c.raw("conversations")
     rows = jobs.read_table_stream(c.spark, f"{c.sf_dir}/conversations.parquet*", like).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role")
     return jobs.run_to_end(jobs.conversation_state(rows), _checkpoints(c.spark), ["conv_id"])
+
+
+@query("stream_conversation_memory", "SELECT conv_id::VARCHAR AS thread, count(*) AS n, max(turn)::BIGINT AS last_turn, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS history FROM conversations GROUP BY conv_id")
+def memory(c):
+    """All messages of each conversation, kept as state over four batches."""
+    rows = c.raw("conversations").select(F.col("conv_id").cast("string").alias("thread"), F.col("turn").cast("long").alias("turn"), "role", "text", F.lit(None).cast("timestamp").alias("at"))
+    # Four files, so that most conversations are in several batches.
+    parts = stored(rows.repartition(4, "turn"), "messages")
+    with rocks_db(c.spark):
+        out = jobs.run_to_end(remembered(jobs.read_table_stream(c.spark, parts._stored_at, parts, files=1)), shared_folder(c.spark), ["thread"])
+    return out.drop("expired")
