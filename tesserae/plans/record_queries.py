@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
 from tesserae.operators import graph, rows
+from tesserae.operators.keyed import KeyedTable
+from tesserae.operators.lineage import shared_folder
 from tesserae.plans.registry import query
 
 #: The table that an id's prefix names, and the kind of record in it.
@@ -211,3 +215,23 @@ def headings(c):
     before = Window.partitionBy("source").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     chapter = F.last(F.when(kind.isin("section_header", "title", "heading"), F.col("text")), ignorenulls=True).over(before)
     return c.elements().select("source", "idx", chapter.alias("chapter"))
+
+
+_WRITES = """
+SELECT id, CASE WHEN updated % 3 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN updated % 5 = 0 THEN updated + 1000 ELSE updated END AS updated FROM source WHERE updated % 7 <> 0
+UNION ALL SELECT id || '_copy', title || ' - Copy', NULL FROM source WHERE updated % 11 = 0
+"""
+
+
+@query("keyed_writes_with_a_repeated_batch", _WRITES, "source")
+def keyed_writes(c):
+    """Inserts, merges, a change that depends on old values and is sent twice, and deletes, as writes to a table by key."""
+    s = c.source().select("id", "title", "updated")
+    table = KeyedTable(c.spark, f"{shared_folder(c.spark)}/keyed-{uuid.uuid4().hex}", s.schema, buckets=8)
+    table.insert("load", s)
+    table.upsert("titles", s.where("updated % 3 = 0").select("id", F.upper("title").alias("title")))
+    for _ in range(2):
+        table.change("later", s.where("updated % 5 = 0").select("id"), updated=F.col("updated") + 1000)
+    table.delete("gone", s.where("updated % 7 = 0").select("id"))
+    table.insert("copies", s.where("updated % 11 = 0").select(F.concat("id", F.lit("_copy")).alias("id"), F.concat("title", F.lit(" - Copy")).alias("title"), F.lit(None).cast("long").alias("updated")))
+    return table.read()
