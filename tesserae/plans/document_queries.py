@@ -9,6 +9,7 @@ from tesserae.functions.markdown import to_markdown
 from tesserae.functions.split import split_text
 from tesserae.operators import context, search
 from tesserae.operators.parsed import parsed_chunks
+from tesserae.operators.running import ranked
 from tesserae.plans.registry import query
 from tesserae.plans.search_queries import _COS, _LEGS, _SOURCE, _text_sql, _vector_legs, _vector_sql, text_index
 
@@ -20,27 +21,35 @@ def names(c):
     return c.raw("events").select("event_id", t.output_name(F.lit("a.b.pdf"), scheme, at).alias("name"), F.concat(t.safe_name(F.lit("My doc (1)")), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss")).alias("folder"))
 
 
-_FOLDER = r"""
-SELECT out AS folder, '# ' || upper(left(replace(out, 'notebook:', ''), 1)) || substr(replace(out, 'notebook:', ''), 2) || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || '*Source: ' || title || '.md*' || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY title, id) AS document
-FROM (SELECT DISTINCT r.out, s.id, s.title, left(s.full_text, 40) AS body FROM reference AS r JOIN source AS s ON s.id = r."in" WHERE s.updated < 60 AND s.title <> 'index') GROUP BY out
+#: Fixed value: the line that a consolidated document begins with, after its title.
+_INTRO = "This document consolidates all content from the {} documentation folder."
+_TITLED = "upper(left({x}, 1)) || substr({x}, 2)"
+_FOLDER = f"""
+WITH f AS (SELECT DISTINCT r.out, replace(r.out, 'notebook:', '') AS folder, s.id, replace(s.title, '-', ' ') AS stem, s.title, s.full_text FROM reference AS r JOIN source AS s ON s.id = r."in" WHERE lower(s.title) <> 'index')
+SELECT folder, 0 AS place, '# ' || {_TITLED.format(x="replace(folder, '-', ' ')")} || chr(10) || chr(10) || '{_INTRO.replace("{}", "' || folder || '")}' || chr(10) || chr(10) || '---' AS section FROM (SELECT DISTINCT folder FROM f)
+UNION ALL SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY title, id), '## ' || {_TITLED.format(x="stem")} || chr(10) || chr(10) || '*Source: ' || title || '.md*' || chr(10) || chr(10) || coalesce(full_text, '') || chr(10) || chr(10) || '---' FROM f
 """
 
 
 @query("consolidated_folders", _FOLDER, "reference", "source")
 def folders(c):
-    s = c.source().where("updated < 60 AND title <> 'index'").select(F.col("id").alias("in"), "title", F.substring("full_text", 1, 40).alias("body"))
-    section = F.concat(F.lit("## "), "title", F.lit("\n\n*Source: "), "title", F.lit(".md*\n\n"), "body")
-    parts = c.reference().distinct().join(s, "in").groupBy("out").agg(F.sort_array(F.collect_list(F.struct("title", "in", section.alias("section")))).alias("parts"))
-    name = F.regexp_replace("out", "notebook:", "")
-    title = F.concat(F.lit("# "), F.upper(F.substring(name, 1, 1)), F.expr("substring(regexp_replace(out, 'notebook:', ''), 2)"), F.lit("\n\n"))
-    return parts.select(F.col("out").alias("folder"), F.concat(title, F.array_join(F.transform("parts", lambda p: p["section"]), "\n\n---\n\n")).alias("document"))
-
-
-@query("event_lines_read_back", "SELECT event_id, event_type AS type, user_id AS user FROM events WHERE event_id % 2 = 0")
+    """Each notebook's document as its sections in order, whole texts: a title with an introduction, then a section for each source."""
+    titled = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+    spaced = lambda x: F.regexp_replace(x, "-", " ")
+    s = c.source().where(F.lower("title") != "index").select(F.col("id").alias("in"), "title")
+    files = c.reference().distinct().join(s, "in").select(F.regexp_replace("out", "notebook:", "").alias("folder"), "title", "in")
+    placed = ranked(files, ["folder"], [F.asc("title"), F.asc("in")], "place").join(c.source().select(F.col("id").alias("in"), "full_text"), "in")
+    section = F.concat(F.lit("## "), titled(spaced(F.col("title"))), F.lit("\n\n*Source: "), "title", F.lit(".md*\n\n"), F.coalesce("full_text", F.lit("")), F.lit("\n\n---"))
+    before, after = _INTRO.split("{}")
+    heads = files.select("folder").distinct().select("folder", F.lit(0).cast("long").alias("place"), F.concat(F.lit("# "), titled(spaced(F.col("folder"))), F.lit("\n\n" + before), "folder", F.lit(after + "\n\n---")).alias("section"))
+    return placed.select("folder", F.col("place").cast("long").alias("place"), section.alias("section")).unionByName(heads)
+
+
+@query("event_lines_read_back", "SELECT event_id, event_type AS type, user_id AS user FROM events")
 def read_back(c):
     """Lines of two events each, the second cut short: the whole one is read, the partial last line waits."""
     one = t.event_line(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")))
-    sent = c.raw("events").where("event_id % 2 = 0").select("event_id", F.concat(one, F.lit('data: {"type":"cu')).alias("buffer"))
+    sent = c.raw("events").select("event_id", F.concat(one, F.lit('data: {"type":"cu')).alias("buffer"))
     lines = sent.select("event_id", F.split("buffer", "\n\n").alias("l"))
     whole = lines.select("event_id", F.explode(F.slice("l", F.lit(1), F.size("l") - 1)).alias("line")).where(F.col("line").startswith("data: "))
     return whole.select("event_id", F.from_json(F.substring("line", 7, 1 << 30), "type string, user bigint").alias("e")).select("event_id", "e.type", "e.user")
@@ -89,7 +98,7 @@ def merged(c):
 _TOKENS_OF = "floor(len(list_filter(string_split_regex(coalesce({c}, ''), '\\s+'), lambda x: x <> '')) * 1.3)::BIGINT"
 _ITEMS = f"""
 SELECT out AS grp, id, type, tokens, row_number() OVER (PARTITION BY out ORDER BY k, id) AS seq FROM (
-  SELECT DISTINCT r.out, s.id, 'source' AS type, 1 AS k, {_TOKENS_OF.format(c='s.full_text')} AS tokens FROM reference AS r JOIN source AS s ON s.id = r."in" WHERE s.updated < 100
+  SELECT DISTINCT r.out, s.id, 'source' AS type, 1 AS k, {_TOKENS_OF.format(c='s.full_text')} AS tokens FROM reference AS r JOIN source AS s ON s.id = r."in"
   UNION ALL SELECT DISTINCT r.out, i.id, 'insight', 2, {_TOKENS_OF.format(c='i.content')} FROM reference AS r JOIN source_insight AS i ON i.source = r."in"
   UNION ALL SELECT a.out, n.id, 'note', 3, {_TOKENS_OF.format(c='n.content')} FROM artifact AS a JOIN note AS n ON n.id = a."in")
 """
@@ -101,7 +110,7 @@ def whole_context(c):
     """Sources, their insights and notes of each notebook by priority, with the tokens of their contents, within a budget."""
     tokens = lambda df, col: df.withColumn("tokens", t.token_estimate(F.col(col))).drop(col)
     links = c.reference().distinct()
-    s = tokens(c.source().where("updated < 100").select(F.col("id").alias("in"), "full_text"), "full_text")
+    s = tokens(c.source().select(F.col("id").alias("in"), "full_text"), "full_text")
     i = tokens(c.source_insight().select(F.col("source").alias("in"), "id", "content"), "content")
     n = tokens(c.note().select(F.col("id").alias("in"), "content"), "content")
     kind = lambda df, k, name, key: df.select(F.col("out").alias("grp"), F.lit(k).alias("k"), F.col(key).alias("id"), F.lit(name).alias("type"), "tokens")
@@ -215,12 +224,12 @@ def list_page(c):
     return page.join(insights, "id", "left").join(embedded, "id", "left").select("id", "title", "updated", F.coalesce("k", F.lit(0)).alias("insights_count"), F.col("e").isNotNull().alias("embedded"))
 
 
-@query("notebook_content_text", "SELECT out AS notebook, string_agg(to_json({'id': id, 'title': title}), chr(10) ORDER BY id) AS content, count(*) AS n FROM (SELECT DISTINCT r.out, s.id, s.title FROM reference AS r JOIN source AS s ON s.id = r.\"in\" WHERE s.updated < 200) GROUP BY out", "reference", "source")
+@query("notebook_content_text", "SELECT out AS notebook, row_number() OVER (PARTITION BY out ORDER BY id) AS place, to_json({'id': id, 'title': title}) AS content FROM (SELECT DISTINCT r.out, s.id, s.title FROM reference AS r JOIN source AS s ON s.id = r.\"in\")", "reference", "source")
 def content_text(c):
-    s = c.source().where("updated < 200").select(F.col("id").alias("in"), "title")
-    each = c.reference().distinct().join(s, "in").select("out", F.col("in").alias("id"), F.to_json(F.struct(F.col("in").alias("id"), "title")).alias("j"))
-    lists = each.groupBy("out").agg(F.sort_array(F.collect_list(F.struct("id", "j"))).alias("l"), F.count("*").alias("n"))
-    return lists.select(F.col("out").alias("notebook"), F.array_join(F.transform("l", lambda x: x["j"]), "\n").alias("content"), "n")
+    """Each notebook's content line by line: a notebook may hold too much for one row."""
+    s = c.source().select(F.col("id").alias("in"), "title")
+    each = c.reference().distinct().join(s, "in").select(F.col("out").alias("notebook"), F.col("in").alias("id"), F.to_json(F.struct(F.col("in").alias("id"), "title")).alias("content"))
+    return ranked(each, ["notebook"], [F.asc("id")], "place").select("notebook", F.col("place").cast("long").alias("place"), "content")
 
 
 @query("answers_of_search_terms", f"SELECT q.vec_id AS term, e.id, {_COS.replace('embedding', 'e.embedding').replace('q::', 'q.embedding::')} AS similarity FROM source_embedding AS e, (SELECT * FROM embeddings WHERE vec_id < 5) AS q WHERE {_COS.replace('embedding', 'e.embedding').replace('q::', 'q.embedding::')} >= 0.2 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.id) <= 10", "source_embedding")

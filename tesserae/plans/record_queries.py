@@ -42,14 +42,21 @@ def save(c):
     return rows.saved(n, known.unionAll(new), F.lit(77).cast("long"))
 
 
-@query("child_rows_seeds_and_typed_edges", "SELECT 'insight' AS what, count(*) AS n FROM (SELECT id FROM source_insight UNION ALL SELECT 'source_insight:new_' || id FROM source WHERE updated < 100) UNION ALL SELECT 'seed', count(*) FROM (SELECT id FROM notebook UNION SELECT 'notebook:start') UNION ALL SELECT 'artifact', (SELECT count(*) FROM artifact) + (SELECT count(*) FROM note WHERE turn = 0)", "source", "source_insight", "notebook", "note", "artifact")
+_CHILDREN = """
+SELECT 'insight' AS what, id, source AS linked FROM source_insight UNION ALL SELECT 'insight', 'source_insight:new_' || id, id FROM source
+UNION ALL SELECT 'seed', id, NULL FROM (SELECT id FROM notebook UNION SELECT 'notebook:start') UNION ALL SELECT 'artifact', "in", out FROM artifact UNION ALL SELECT 'artifact', id, 'notebook:start' FROM note
+"""
+
+
+@query("child_rows_seeds_and_typed_edges", _CHILDREN, "source", "source_insight", "notebook", "note", "artifact")
 def children(c):
-    fresh = c.source().where("updated < 100").select(F.concat(F.lit("source_insight:new_"), "id").alias("id"), F.col("id").alias("source"))
+    """The rows after an insight is added to each source, two seeds of which one is known, and an edge of each note."""
+    fresh = c.source().select(F.concat(F.lit("source_insight:new_"), "id").alias("id"), F.col("id").alias("source"))
     insights = rows.insert(c.source_insight().select("id", "source"), fresh)
     seeds = rows.seed_if_absent(c.notebook().select("id"), c.spark.createDataFrame([("notebook:start",), ("notebook:src0",)], "id string"))
-    edges = rows.relate(c.artifact(), c.note().where("turn = 0").select(F.col("id").alias("in"), F.lit("notebook:start").alias("out")))
-    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return count(insights, "insight").unionAll(count(seeds, "seed")).unionAll(count(edges, "artifact"))
+    edges = rows.relate(c.artifact(), c.note().select(F.col("id").alias("in"), F.lit("notebook:start").alias("out")))
+    named = lambda df, what, key, linked: df.select(F.lit(what).alias("what"), F.col(key).alias("id"), linked.alias("linked"))
+    return named(insights, "insight", "id", F.col("source")).unionAll(named(seeds, "seed", "id", F.lit(None).cast("string"))).unionAll(named(edges, "artifact", "in", F.col("out")))
 
 
 @query("session_belongs_to_source", "SELECT \"in\", out FROM refers_to WHERE \"in\" = 'chat_session:7' AND out = 'source:7'", "chat_session", "refers_to")
@@ -108,10 +115,10 @@ def real_messages(c):
 TRANSFORMATIONS = [("summary", True), ("questions", False), ("outline", True)]
 
 
-@query("default_transformations", "SELECT s.id, t.name FROM source AS s CROSS JOIN (VALUES ('summary', true), ('questions', false), ('outline', true)) AS t(name, apply_default) WHERE t.apply_default AND s.updated > 900", "source")
+@query("default_transformations", "SELECT s.id, t.name FROM source AS s CROSS JOIN (VALUES ('summary', true), ('questions', false), ('outline', true)) AS t(name, apply_default) WHERE t.apply_default", "source")
 def defaults(c):
     names = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(d).alias("apply_default")) for n, d in TRANSFORMATIONS))
-    return c.source().where("updated > 900").select("id", F.explode(names).alias("e")).where("e.apply_default").select("id", "e.name")
+    return c.source().select("id", F.explode(names).alias("e")).where("e.apply_default").select("id", "e.name")
 
 
 _RESULT = "SELECT event_id, to_json({'status': status, 'execution_metadata': {'started_at': event_id, 'completed_at': event_id + 5}, 'error_message': CASE WHEN status = 'failed' THEN 'no ' || command END}) AS result FROM job_event"
@@ -133,14 +140,15 @@ def profiles(c):
     return n.withColumn("speaker", wanted).join(speaker, "speaker").select("id", "name", "speaker_archived")
 
 
-_STATS = "SELECT command, list(value ORDER BY event_id) FILTER (WHERE event_id % 40 = 0) AS v FROM job_event GROUP BY command"
+_STATS = "SELECT user_id, list(value) FILTER (WHERE status = 'completed') AS v FROM job_event GROUP BY user_id"
 
 
-@query("statistics_or_error", f"SELECT command, coalesce(len(v), 0)::INT AS n, round(list_sum(v), 4) AS total, round(list_avg(v), 6) AS mean, list_min(v) AS low, list_max(v) AS high, CASE WHEN v IS NULL THEN 'no numbers' END AS error FROM ({_STATS})", "job_event")
+@query("statistics_or_error", f"SELECT user_id, coalesce(len(v), 0)::INT AS n, round(list_sum(v), 4) AS total, round(list_avg(v), 6) AS mean, list_min(v) AS low, list_max(v) AS high, CASE WHEN v IS NULL THEN 'no numbers' END AS error FROM ({_STATS})", "job_event")
 def numbers(c):
-    value = F.when(F.col("event_id") % 40 == 0, F.col("value"))
-    s = c.job_event().groupBy("command").agg(F.count(value).cast("int").alias("n"), F.sum(value).alias("s"), F.avg(value).alias("a"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return s.select("command", "n", F.round("s", 4).alias("total"), F.round("a", 6).alias("mean"), "low", "high", F.when(F.col("n") == 0, "no numbers").alias("error"))
+    """Of each user's completed events; a user without any has an error."""
+    value = F.when(F.col("status") == "completed", F.col("value"))
+    s = c.job_event().groupBy("user_id").agg(F.count(value).cast("int").alias("n"), F.sum(value).alias("s"), F.avg(value).alias("a"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return s.select("user_id", "n", F.round("s", 4).alias("total"), F.round("a", 6).alias("mean"), "low", "high", F.when(F.col("n") == 0, "no numbers").alias("error"))
 
 
 @query("has_spatial_data", "SELECT source, bool_or(box IS NOT NULL AND element_type <> 'table') AS has_spatial_data, count(*) AS chunks FROM elements GROUP BY source", "elements")

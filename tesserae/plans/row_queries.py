@@ -172,11 +172,11 @@ def missing(c):
     return c.source_insight().select("source").distinct().join(c.source().select(F.col("id").alias("source")), "source", "left_anti")
 
 
-@query("sources_by_transformations", "SELECT s.id, t.name FROM source AS s CROSS JOIN (VALUES ('summary'), ('questions')) AS t(name) WHERE s.updated > 900", "source")
+@query("sources_by_transformations", "SELECT s.id, t.name FROM source AS s CROSS JOIN (VALUES ('summary'), ('questions')) AS t(name)", "source")
 def fan_out(c):
     # A stated, fixed list of transformations.
     names = F.explode(F.array(F.lit("summary"), F.lit("questions")))
-    return c.source().where("updated > 900").select("id", names.alias("name"))
+    return c.source().select("id", names.alias("name"))
 
 
 @query("usage_counts_with_zeros", "SELECT n.id, count(s.id) AS sessions FROM notebook AS n LEFT JOIN refers_to AS r ON r.out = n.id LEFT JOIN chat_session AS s ON s.id = r.\"in\" GROUP BY n.id", "notebook", "chat_session", "refers_to")
