@@ -13,7 +13,8 @@ MISS a pair; all others that a second class has are listed. A passage that many
 unlike texts share then brings no candidates together, as long as it is less than
 about half of them. With ``exact`` the sketch is the set's complete prefix (similar
 sets share one of their first n - ceil(num n / den) + 1 values in any one order) and
-SPARE more, and nothing is left to chance, at two to three times the cost.
+SPARE more, no pair is dropped by an estimate, and nothing is left to chance, at
+several times the cost.
 
 The lists are worked off in two steps. First only a few values of each class, the
 rarest, are listed; that links nearly all that is to be linked. Then all others
@@ -128,8 +129,12 @@ def _sides(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     return dealt.join(side("a"), "a").join(centres, ["b", "salt"])
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, salts) that may be similar by the sketch of the union; sets held whole in their sketches are decided."""
+def _estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """Pairs (a, b, salts) that may be similar by the sketch of the union; sets held whole in their sketches are decided. If
+    ``exact``, sizes and whole sets alone decide."""
+    if exact:
+        sizes = _sides(pairs, nodes.select("id", "n"), ["n"])
+        return sizes.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "salts")
     few = nodes.select("id", "n", F.slice("least", 1, ESTIMATED).alias("s"))
     common = F.array_intersect("sa", "sb")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, ESTIMATED)
@@ -191,7 +196,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: in
     real = made.where("n > 0 AND id IS NOT NULL")
     classes = written(real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "class-ids")
     nodes = written(made.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "classes")
-    edges = _links(nodes, texts, shingle, num, den)
+    edges = _links(nodes, texts, shingle, num, den, exact)
     # Rows of one id in several classes join these.
     same = real.join(classes, ["f1", "f2", "n"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     repeated = same.join(nodes.select(F.col("id").alias("u")).distinct(), "u", "left_semi")
@@ -203,16 +208,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: in
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows, all columns, of one document of each component (the least id); of a repeated id one row. Rows without an id stay."""
+    """The rows, all columns, of one document of each component (the least id). Rows of one id are one document: of these the one
+    with the least text stays (null last), of equal texts the least in its other columns. Rows without an id stay."""
     key = F.col(id_col)
     kept = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("kept") & key.isNotNull()).select(id_col).distinct(), "kept")
     chosen = only(docs, kept, id_col)
     if docs.where(key.isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
-        chosen = chosen.dropDuplicates([id_col])
+        others = [c for c in docs.columns if c not in (id_col, text_col)]
+        whole = F.struct(F.col(text_col).isNull(), F.col(text_col), *(F.col(f"`{c}`") for c in others), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+        chosen = chosen.groupBy(id_col).agg(F.min(whole)["_row"].alias("_row")).select("_row.*")
     return chosen.unionByName(docs.where(key.isNull()))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, exact: bool) -> DataFrame:
     """The components of the classes, as in components()."""
     values = nodes.select("id", "f1", "f2", F.explode("least").alias("value"))
     held = written(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "held")
@@ -241,7 +249,7 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int)
         return members.join(written(centre, "centres"), "value").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.max("salts").alias("salts"))
 
     def test(pairs: DataFrame) -> DataFrame:
-        close = written(_estimated(pairs, nodes, num, den), "pairs")
+        close = written(_estimated(pairs, nodes, num, den, exact), "pairs")
         found = confirmed(close, texts, shingle=shingle, num=num, den=den) if close.limit(1).count() else close.select(F.col("a").alias("u"), F.col("b").alias("v"))
         return written(found, "links")
 

@@ -114,7 +114,7 @@ def pack(
     max_docs: int | None = None,
     max_attention: float | None = None,
     rule: str = "norm",
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     group_pieces: int = 8192,
     end_id: int = 1,
     id_col: str = "doc_id",

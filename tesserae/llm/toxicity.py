@@ -51,7 +51,7 @@ DISGUISE = regex.compile(r"[0-9@$!|+(<€£*#._\-]|(.)\1\1")
 TRIPLE = re.compile(r"(.)\1\1").search
 #: What no word set apart is without; quick to look for.
 MAYBE_SPACED = re.compile(r"(?<!\S)\S[\s._\-*]{1,2}\S[\s._\-*]{1,2}\S").search
-SPACED = regex.compile(r"(?<![^\s])(?:\p{L}|[0-9@$!|+])(?:[\s._\-*]{1,2}(?:\p{L}|[0-9@$!|+])){2,40}(?![^\s.,;:!?])")
+SPACED = regex.compile(r"(?<![^\s])(?:\p{L}|[0-9@$!|+])(?:[\s._\-*]{1,2}(?:\p{L}|[0-9@$!|+])){2,}(?![^\s.,;:!?])")
 BEGINNINGS = (4, 5, 6)
 #: Characters of a text counted at once.
 PART = 1 << 20

@@ -117,6 +117,7 @@ def test_repeated_letters_and_mixed_separators_are_joined():
     for text, word in [("you a s s there", "ass"), ("p o o p", "poop"), ("f.u c.k", "fuck"), ("so s-t.u p_i d!", "stupid")]:
         assert word in toxicity.spaced_words(text)
     assert toxicity.spaced_words("nothing of the kind a b here") == []
+    assert "abcdefghijklmnopqrstuvwxyz" * 2 in toxicity.spaced_words("so " + " ".join("abcdefghijklmnopqrstuvwxyz" * 2) + " it ends")
 
 
 def test_long_tokens_are_decoded(spark, tables):

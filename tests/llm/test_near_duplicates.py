@@ -4,7 +4,7 @@ import pytest
 
 from tesserae.llm import common
 from tesserae.llm.components import components
-from tesserae.llm.near_duplicates import near_duplicates, prefix, retained, tail
+from tesserae.llm.near_duplicates import near_duplicates, prefix, retained, tail, without_near_duplicates
 
 
 def shingles(text, k=4):
@@ -90,3 +90,10 @@ def test_components_of_paths_and_hubs(spark):
 def test_empty_tables(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect() == [(1, 0, 1, True)]
+
+
+def test_of_a_repeated_id_one_stated_row_stays(spark):
+    rows = [(1, "b b b b b", "x"), (1, "a a a a a", "z"), (1, "a a a a a", "y"), (1, None, "n"), (2, "a a a a a", "w"), (3, "other words are here", "v"), (None, "a a a a a", "u")]
+    for parts in (1, 5):
+        kept = without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts))
+        assert sorted((tuple(r) for r in kept.collect()), key=str) == [(1, "a a a a a", "y"), (3, "other words are here", "v"), (None, "a a a a a", "u")]
