@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as t
 from tesserae.functions.markdown import to_markdown
 from tesserae.functions.split import split_text
-from tesserae.operators import context, search
+from tesserae.operators import context, ingest, search
 from tesserae.operators.parsed import parsed_chunks
 from tesserae.operators.running import ranked
 from tesserae.plans.registry import query
@@ -273,3 +273,13 @@ def parsed_documents(c):
 def pages(c):
     """Whole pages as markdown; see the tests, SQL has no reader of tags."""
     return c.raw("pages").select("page_id", "url", to_markdown(F.col("html")).alias("markdown"))
+
+
+@query("ingested_pages")
+def ingest_pages(c):
+    """All pages to sources, chunks with vectors and insights, by stated stand-ins of the models; see the tests."""
+    embed = lambda text: F.array(F.length(text).cast("double"), t.word_count(text).cast("double"))
+    made = ingest.ingested(c.raw("pages").select(F.col("page_id").cast("string").alias("id"), "html"), {"opening": lambda text: F.substring(text, 1, 200), "shouted": F.upper}, embed)
+    row = lambda df, kind, owner, place, text: df.select(F.lit(kind).alias("kind"), F.col(owner).alias("source"), place.alias("place"), F.col(text).alias("text"))
+    sources = row(made["sources"], "source", "id", F.lit(0).cast("long"), "full_text")
+    return sources.unionAll(row(made["chunks"], "chunk", "source", F.col("order"), "content")).unionAll(row(made["insights"], "insight", "source", F.lit(0).cast("long"), "content"))

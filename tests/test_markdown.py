@@ -31,8 +31,9 @@ def test_pages(html, want):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<a href=x>", "</a>", "<pre>", "</pre>", "<h2>", "</h2>", "<br>", "word ", "x", "<", "&amp;"]), max_size=25))
 def test_any_nesting_keeps_the_words(parts):
-    said = markdown("".join(parts))
-    assert said.count("word") == sum(p == "word " for p in parts) or "<" in parts
+    said = markdown("".join(p for p in parts if p != "<"))
+    assert said.count("word") == sum(p == "word " for p in parts)
+    assert isinstance(markdown("".join(parts)), str)
 
 
 def test_all_pages_keep_their_words(spark):
