@@ -1,61 +1,87 @@
-"""Recursive text splitting into overlapping chunks of a bounded number of tokens, as a pandas UDF."""
+"""Recursive text splitting into overlapping chunks of a bounded number of tokens, as a pandas UDF.
+
+A text is cut at the coarsest separator that it has, each separator staying at the
+head of what follows it. A part that is as long as a chunk is cut again, at finer
+separators; runs of shorter ones are put together as far as the sum of their own
+lengths allows, and a chunk begins with the last parts of the one before it.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Separators, from the coarsest to single characters.
-SEPARATORS = ["\n\n", "\n", ".", ",", " ", "\u200b", "\uff0c", "\u3001", "\uff0e", "\u3002", ""]
+SEPARATORS = ("\n\n", "\n", ".", ",", " ", "\u200b", "\uff0c", "\u3001", "\uff0e", "\u3002", "")
 SIZE, OVERLAP_SHARE = 500, 0.15
 
 
 def tokens(text: str) -> int:
+    """Tokens by the rule of thumb: words by 1.3, rounded down."""
     return int(len(text.split()) * 1.3)
 
 
-def _parts(text: str, separators: list[str]) -> tuple[list[str], list[str]]:
+def _parts(text: str, separators: tuple[str, ...]) -> tuple[list[str], tuple[str, ...]]:
     """The text cut before each occurrence of the first separator in it, and the finer separators left."""
     for i, s in enumerate(separators):
         if not s:
-            return list(text), []
+            return list(text), ()
         if s in text:
             head, *tail = text.split(s)
             return [x for x in [head, *(s + t for t in tail)] if x], separators[i + 1 :]
-    return [text], []
+    return [text], ()
+
+
+def _together(run: list[tuple[str, int]], size: int, overlap: int) -> Iterator[str]:
+    """Chunks of neighbouring (part, length), as many as ``size`` holds; the next begins with up to ``overlap`` of the last parts."""
+    held: deque[tuple[str, int]] = deque()
+    total = 0
+    for part, n in run:
+        if held and total + n > size:
+            yield "".join(p for p, _ in held)
+            while total > overlap or (total and total + n > size):
+                total -= held.popleft()[1]
+        held.append((part, n))
+        total += n
+    yield "".join(p for p, _ in held)
 
 
-def split(text: str | None, size: int = SIZE, overlap: int | None = None, separators: list[str] | None = None) -> list[str]:
-    """Chunks of at most ``size`` tokens where a separator allows, neighbours sharing up to ``overlap`` tokens."""
-    if not text:
-        return []
+def split(
+    text: str | None, size: int = SIZE, overlap: int | None = None, length: Callable[[str], int] = tokens, separators: tuple[str, ...] = SEPARATORS
+) -> list[str]:
+    """Chunks in order, without white space at their ends; blank ones are left out, and a null text has none. ``length`` measures parts:
+    a chunk's parts sum up to ``size`` at most, neighbours share parts of up to ``overlap`` (0.15 of the size, if not given)."""
     overlap = int(size * OVERLAP_SHARE) if overlap is None else overlap
-    if tokens(text) <= size:
-        return [text.strip()] if text.strip() else []
-    parts, finer = _parts(text, SEPARATORS if separators is None else separators)
+    parts, finer = _parts(text or "", separators)
     out: list[str] = []
-    held: list[str] = []
+    run: list[tuple[str, int]] = []
 
     def close() -> None:
-        if chunk := "".join(held).strip():
-            out.append(chunk)
+        out.extend(chunk for c in _together(run, size, overlap) if (chunk := c.strip()))
+        run.clear()
 
     for part in parts:
-        if tokens(part) > size and finer:
-            close()
-            held.clear()
-            out += split(part, size, overlap, finer)
+        if (n := length(part)) < size:
+            run.append((part, n))
             continue
-        if held and tokens("".join(held) + part) > size:
-            close()
-            while held and (tokens("".join(held)) > overlap or tokens("".join(held) + part) > size):
-                held.pop(0)
-        held.append(part)
+        close()
+        out += split(part, size, overlap, length, finer) if finer else [part]
     close()
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: split(t))
+def splitter(length: Callable[[str], int] = tokens, size: int = SIZE):
+    """A function of a text column that gives its chunks, measured by ``length``."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def chunks(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: split(t, size, length=length))
+
+    return chunks
+
+
+split_text = splitter()

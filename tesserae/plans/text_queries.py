@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
-from tesserae.functions.split import split_text
+from tesserae.functions.split import split_text, splitter
+from tesserae.functions.tokens import ModelTokens
 from tesserae.functions.versions import compare_versions
 from tesserae.plans.registry import query
 
@@ -81,10 +82,30 @@ def page_text(c):
 
 @query("recursive_chunks")
 def chunks(c):
-    """Chunks of at most 500 tokens with their order; no SQL, see the tests."""
+    """Chunks of at most 500 tokens with their order; no SQL, the tests hold them to an independent splitter."""
     return c.source().select("id", F.posexplode(split_text("full_text")).alias("order", "chunk"))
 
 
+def _model(c) -> ModelTokens:
+    import public_tokenizers
+
+    return ModelTokens(c.spark, f"file://{public_tokenizers.path('byte_bpe_50k.tiktoken')}", public_tokenizers.PATTERN)
+
+
+@query("model_token_counts")
+def model_tokens(c):
+    """Tokens of each source's text by a byte-pair vocabulary, and what they cost; no SQL, see the tests."""
+    counted = c.source().select("id", _model(c).column(F.col("full_text")).alias("tokens"))
+    return counted.select("id", "tokens", t.token_cost(F.col("tokens")).alias("cost"))
+
+
+@query("chunks_by_model_tokens")
+def model_chunks(c):
+    """Chunks of at most 500 of the vocabulary's tokens with their order; no SQL, see the tests."""
+    chunks = splitter(_model(c).count)
+    return c.source().select("id", F.posexplode(chunks("full_text")).alias("order", "chunk"))
+
+
 @query("compare_versions", "SELECT id, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS compared FROM (SELECT id, [created % 7, updated % 5] AS a, [created % 3, updated % 11] AS b FROM source)", "source")
 def versions(c):
     v = lambda a, b: F.concat((F.col("created") % a).cast("string"), F.lit("."), (F.col("updated") % b).cast("string"))

@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
-from tesserae.functions.split import split, tokens
 from tesserae.functions.versions import compare_versions
 from tesserae.operators import context, graph, rows, search
 from tesserae.streaming import jobs
@@ -49,20 +48,6 @@ def test_compare_versions(spark, a, b, sign):
     assert one(spark, compare_versions, a, b) == sign
 
 
-def test_split_of_short_texts():
-    assert split("") == [] and split(None) == [] and split("short") == ["short"]
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["word", "a", "b.", "c,\n", "\n\n", "、", "long" * 5]), max_size=120))
-def test_split_is_bounded_and_covers(parts):
-    text = " ".join(parts)
-    out = split(text, size=20)
-    assert all(tokens(c) <= 20 for c in out)
-    assert "".join(sorted(set(text.split()))) == "" or out
-    assert all("".join(c.split()) in "".join(text.split()) for c in out)
-
-
 @pytest.mark.parametrize(("url", "path"), [("file:///a/b%20c+d", "/a/b c+d"), ("/plain+x", "/plain+x"), (None, None)])
 def test_file_path(spark, url, path):
     assert one(spark, t.file_path, url) == path
