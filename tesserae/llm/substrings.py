@@ -7,12 +7,14 @@ index; windows around a hit are then compared by 96 bits of two hashes (of 10^13
 windows not one pair is expected to agree by chance), and runs of neighbouring
 repeated windows are the maximal exact repeats.
 
-Index and probes meet by hash bucket, each a shuffle partition of its own. A task
-sends one packed row for each bucket (hashes, places, text keys as binary columns)
-and SEND_WORDS instead of one row for each word; runs that a task itself holds
+Texts are dealt to groups and ordered by key there, so a word is named by its
+group and its place among the group's words, and rows between stages carry no text
+keys. Index and probes meet by hash bucket, each a shuffle partition of its own. A
+group sends one packed row for each bucket (hashes, steps from place to place) and
+SEND_WORDS instead of one row for each word; runs that a group itself holds
 twice are known to repeat and one of them stands for all, so a passage found
 everywhere costs a bucket one entry for each such row, not for each occurrence.
-The number of buckets follows the input's size.
+The numbers of groups and buckets follow the input's size.
 """
 
 from __future__ import annotations
@@ -26,46 +28,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import keyed_columns, partitions, renamed, small_batches, squeezed, text_bytes, tidy, unsqueezed
-from tesserae.llm.wordhash import hash_words, text_chunks
+from tesserae.llm.common import keyed_columns, partitions, renamed, small_batches, squeezed, text_bytes, unsqueezed
+from tesserae.llm.wordhash import Words, hash_words, text_chunks
 
-#: A text's key, and which 65,536 words of it are meant.
-TEXT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("part", "<u4")])
 BUCKET_BYTES, GROUP_BYTES, SEND_WORDS = 8 << 20, 8 << 20, 400_000
+#: A step of this length goes on with the next one.
+FAR = 0xFFFF
 
-_PACKED = "bucket int, hashes binary, places binary, texts binary, counts binary"
-_FOUND = "dest int, places binary, texts binary, counts binary"
+_PACKED = "bucket int, dest int, first long, hashes binary, steps binary"
+_FOUND = "dest int, first long, steps binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The low bytes, then the high bytes (which then compress to almost nothing)."""
-    return x.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+def _steps(places: np.ndarray) -> tuple[int, bytes]:
+    """Rising places as the first one and 16-bit steps: their low bytes, then their high bytes (which compress well)."""
+    step = np.diff(places, prepend=places[0])
+    out = np.full(len(step) + int((step // FAR).sum()), FAR, "<u2")
+    out[(step // FAR + 1).cumsum() - 1] = step % FAR
+    return int(places[0]), out.view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+def _places(first: int, steps: bytes) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+    return (first + step.cumsum(dtype=np.int64))[step != FAR]
 
 
-def _pack_places(k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Places as 16 bits, with one record for each run of the same text and part."""
-    part = (place >> 16).astype(np.uint32)
-    new = np.ones(len(place), bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (part[1:] != part[:-1])
-    at = np.flatnonzero(new)
-    texts = np.empty(len(at), TEXT)
-    texts["k1"], texts["k2"], texts["part"] = k1[at], k2[at], part[at]
-    return _planes(place & 0xFFFF), texts.tobytes(), np.diff(at, append=len(place)).astype("<u4").tobytes()
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *arrays])
 
 
-def _unpack_places(places: list[bytes], texts: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(texts' records, the record of each place, each place in its text)."""
-    records = np.frombuffer(b"".join(texts), TEXT)
-    of = np.repeat(np.arange(len(records)), np.frombuffer(b"".join(counts), "<u4"))
-    place = np.concatenate([_unplanes(x) for x in places]) if places else np.zeros(0, np.uint16)
-    return records, of, place.astype(np.int64) + (records["part"][of].astype(np.int64) << 16)
-
-
-def _send(grams: np.ndarray, k1: np.ndarray, k2: np.ndarray, place: np.ndarray, extra: np.ndarray, anchored: bool, buckets: int, turn: int) -> Iterator[tuple]:
+def _send(grams: np.ndarray, places: np.ndarray, extra: np.ndarray, anchored: bool, dest: int, buckets: int, turn: int) -> Iterator[tuple]:
     """Rows of _PACKED. Grams found twice here go, as known, without hashes; one of each kind of gram goes to its bucket.
 
     ``extra`` marks anchors (31 bits of the hash and the mark are sent), or is the second hash (both are sent, 96 bits).
@@ -78,8 +69,8 @@ def _send(grams: np.ndarray, k1: np.ndarray, k2: np.ndarray, place: np.ndarray,
     first = np.flatnonzero(new)
     many = np.diff(first, append=len(grams)) > 1
     if many.any():
-        known = np.sort(order[np.repeat(many, np.diff(first, append=len(grams)))])
-        yield turn % buckets, b"", *_pack_places(k1[known], k2[known], place[known])
+        at, steps = _steps(places[np.sort(order[np.repeat(many, np.diff(first, append=len(grams)))])])
+        yield turn % buckets, dest, at, b"", steps
     one = order[first]
     marked = np.logical_or.reduceat(extra[order], first) if anchored else None
     by_place = np.argsort(one)
@@ -92,26 +83,30 @@ def _send(grams: np.ndarray, k1: np.ndarray, k2: np.ndarray, place: np.ndarray,
     for b in np.flatnonzero(np.diff(cuts)):
         mine = by[cuts[b] : cuts[b + 1]]
         i = one[mine]
-        yield int(b), short[mine].tobytes() if anchored else grams[i].tobytes() + extra[i].astype("<u4").tobytes(), *_pack_places(k1[i], k2[i], place[i])
+        at, steps = _steps(places[i])
+        yield int(b), dest, at, short[mine].tobytes() if anchored else grams[i].tobytes() + extra[i].astype("<u4").tobytes(), steps
 
 
-def _meet(anchored: bool, dests: int, names: list[str]):
+def _meet(anchored: bool, names: list[str]):
     """Within a bucket: the places whose hash another entry shares (with an anchor among them, if anchored)."""
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        known = [i for i, h in enumerate(rows["hashes"]) if not h]
-        sent = [i for i, h in enumerate(rows["hashes"]) if h]
-        take = lambda which: _unpack_places(*([rows[c][i] for i in which] for c in ("places", "texts", "counts")))
-        records, of, place = take(sent)
+        rows = table.select(["dest", "first", "hashes", "steps"]).to_pylist()
+        known, sent = [r for r in rows if not r["hashes"]], [r for r in rows if r["hashes"]]
+
+        def taken(which: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+            places = [_places(r["first"], r["steps"]) for r in which]
+            return np.repeat(np.array([r["dest"] for r in which], np.int64), [len(p) for p in places]), _joined(places)
+
+        dest, place = taken(sent)
         if anchored:
-            hashes = np.frombuffer(b"".join(rows["hashes"][i] for i in sent), "<u4")
+            hashes = np.frombuffer(b"".join(r["hashes"] for r in sent), "<u4")
             order = np.argsort(hashes >> np.uint32(1), kind="stable")
             new = np.concatenate([[True], np.diff(hashes[order] >> np.uint32(1)) != 0])[: len(order)]
         else:
-            size = [len(rows["hashes"][i]) // 12 for i in sent]
-            hashes = np.frombuffer(b"".join(rows["hashes"][i][: 8 * n] for i, n in zip(sent, size, strict=True)), "<u8")
-            second = np.frombuffer(b"".join(rows["hashes"][i][8 * n :] for i, n in zip(sent, size, strict=True)), "<u4")
+            n = [len(r["hashes"]) // 12 for r in sent]
+            hashes = np.frombuffer(b"".join(r["hashes"][: 8 * k] for r, k in zip(sent, n, strict=True)), "<u8")
+            second = np.frombuffer(b"".join(r["hashes"][8 * k :] for r, k in zip(sent, n, strict=True)), "<u4")
             order = np.lexsort([second, hashes])
             new = np.concatenate([[True], (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)])[: len(order)]
         first = np.flatnonzero(new)
@@ -119,107 +114,91 @@ def _meet(anchored: bool, dests: int, names: list[str]):
         good = size > 1
         if anchored and len(first):
             good &= np.logical_or.reduceat((hashes[order] & 1).astype(bool), first)
-        hit = np.sort(order[np.repeat(good, size)])
-        out = []
-        for recs, o, p in ((records, of[hit], place[hit]), take(known)):
-            if len(p):
-                k1, k2 = recs["k1"][o], recs["k2"][o]
-                dest = _dest(k1, k2, dests)
-                by = np.argsort(dest, kind="stable")
-                cuts = np.searchsorted(dest[by], np.arange(dests + 1))
-                for d in np.flatnonzero(np.diff(cuts)):
-                    i = by[cuts[d] : cuts[d + 1]]
-                    out.append((int(d), *_pack_places(k1[i], k2[i], p[i])))
-        return pa.table([pa.array([r[c] for r in out], pa.int32() if not c else pa.binary()) for c in range(4)], names=names)
+        hit = order[np.repeat(good, size)]
+        dest, place = (np.concatenate([x[hit], more]) for x, more in zip((dest, place), taken(known), strict=True))
+        by = np.lexsort([place, dest])
+        dest, place = dest[by], place[by]
+        cuts = np.flatnonzero(np.diff(dest, prepend=-1, append=-1))
+        out = [(int(dest[a]), *_steps(place[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=names)
 
     return meet
 
 
-def _dest(k1, k2, dests: int):
-    return ((k1 ^ k2) & 0x7FFFFFFF) % dests
-
-
-def _marked(found: pa.Table, keys: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text among ``keys``, place) of all found places, ordered by text."""
-    rows = found.select(["places", "texts", "counts"]).to_pydict()
-    records, of, place = _unpack_places(rows["places"], rows["texts"], rows["counts"])
-    index: dict[tuple[int, int], int] = {}
-    for i, k in enumerate(keys):
-        index.setdefault(k, i)
-    text = np.array([index.get(k, -1) for k in zip(records["k1"].tolist(), records["k2"].tolist(), strict=True)], np.int64)[of] if len(records) else np.zeros(0, np.int64)
-    order = np.argsort(text, kind="stable")
-    return text[order], place[order]
+def _ordered(docs: pa.Table) -> pa.Table:
+    """A group's texts by key. Texts of equal keys are equal, so a place means the same word whenever this is done again."""
+    return docs.take(np.lexsort([docs["k2"].to_numpy(), docs["k1"].to_numpy()]))
 
 
-def _copies(keys: list[tuple[int, int]]) -> np.ndarray:
-    """For each text the first one of the same key (a repeated row)."""
-    index: dict[tuple[int, int], int] = {}
-    return np.array([index.setdefault(k, i) for i, k in enumerate(keys)], np.int64)
+def _hashed(docs: pa.Table) -> Iterator[tuple[int, Words]]:
+    """(place in the group of the first of the words, the words) of runs of a group's texts."""
+    at = 0
+    for _, _, data, offsets in text_chunks(unsqueezed(_ordered(docs)["text"])):
+        words = hash_words(data, offsets)
+        yield at, words
+        at += len(words.hashes)
 
 
-def _keys(table: pa.Table) -> list[tuple[int, int]]:
-    return list(zip(table["k1"].to_pylist(), table["k2"].to_pylist(), strict=True))
+def _found(hits: pa.Table) -> np.ndarray:
+    """All found places of a group, rising."""
+    rows = hits.select(["first", "steps"]).to_pydict()
+    return np.unique(_joined([_places(f, s) for f, s in zip(rows["first"], rows["steps"], strict=True)]))
 
 
-def _repeated(keyed: DataFrame, small: DataFrame, window: int, buckets: int, dests: int) -> DataFrame:
-    """Rows of _FOUND: where windows start whose words also start elsewhere. ``small`` is ``keyed`` with squeezed texts."""
+def _repeated(small: DataFrame, window: int, buckets: int, dests: int) -> DataFrame:
+    """Rows of _FOUND: where windows start whose words also start elsewhere. ``small``: k1, k2, dest and squeezed texts."""
     block = (window + 1) // 2
     packed, found = T._parse_datatype_string(_PACKED), T._parse_datatype_string(_FOUND)
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
-    def columns(rows: list[tuple]) -> list[pa.Array]:
-        return [pa.array([r[c] for r in rows], pa.int32() if not c else pa.binary()) for c in range(5)]
+    def rows(sent: list[tuple]) -> pa.Table:
+        return pa.table([pa.array([r[c] for r in sent], t) for c, t in enumerate(kinds)], names=packed.names)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, turn = [], 0, 0
+    def probe(docs: pa.Table) -> pa.Table:
+        dest, held, out, size, packs = docs["dest"][0].as_py(), [], [], 0, 0
 
-        def send() -> pa.RecordBatch:
-            grams, k1, k2, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        def send() -> None:
+            grams, places = (np.concatenate(x) for x in zip(*((g, p) for g, p, _ in held), strict=True))
+            anchors = np.concatenate([x for _, _, x in held])
             held.clear()
-            return pa.RecordBatch.from_arrays(columns(list(_send(grams, k1, k2, place, place % block == 0, True, buckets, turn))), names=packed.names)
-
-        for batch in batches:
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            for a, b, data, offsets in text_chunks(batch.column(2)):
-                words = hash_words(data, offsets)
-                at, grams = words.ngrams(block)
-                text = words.text_of()[at]
-                long_enough = words.counts[text] >= window
-                at, grams, text = at[long_enough], grams[long_enough], text[long_enough]
-                held.append((grams, keys[0][a:b][text], keys[1][a:b][text], at - words.bounds[text]))
-                size, turn = size + len(at), turn + 1
-                if size >= SEND_WORDS:
-                    yield send()
-                    size = 0
+            out.extend(_send(grams, places, anchors, True, dest, buckets, dest + packs))
+
+        for first, words in _hashed(docs):
+            at, grams = words.ngrams(block)
+            text = words.text_of()[at]
+            long_enough = words.counts[text] >= window
+            at, grams, text = at[long_enough], grams[long_enough], text[long_enough]
+            held.append((grams, first + at, (at - words.bounds[text]) % block == 0))
+            size += len(at)
+            if size >= SEND_WORDS:
+                send()
+                size, packs = 0, packs + 1
         if size:
-            yield send()
-        tidy()
+            send()
+        return rows(out)
 
     def compare(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        keys, held = _keys(docs), []
-        text_hit, place_hit = _marked(hits, keys)
-        k1, k2 = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
-        first = _copies(keys)
-        for a, b, data, offsets in text_chunks(unsqueezed(docs["text"])):
-            words = hash_words(data, offsets)
+        hit, held = _found(hits), []
+        for first, words in _hashed(docs):
+            lo, hi = np.searchsorted(hit, [first, first + len(words.hashes)])
+            if hi == lo:
+                continue
             mark = np.zeros(len(words.hashes) + 1, np.int64)
-            los, his = (np.searchsorted(text_hit, first[a:b] + i) for i in (0, 1))
-            for j in np.flatnonzero(his > los):
-                mark[1 + words.bounds[j] + place_hit[los[j] : his[j]]] = 1
+            mark[1 + hit[lo:hi] - first] = 1
             seen = mark.cumsum()
             at, grams = words.ngrams(window)
             near = seen[at + window - block + 1] > seen[at]
             if near.any():
-                text = words.text_of()[at[near]]
-                check = (words.checks(window)[near] >> np.uint64(32)).astype(np.uint32)
-                held.append((grams[near], k1[a:b][text], k2[a:b][text], at[near] - words.bounds[text], check))
+                held.append((grams[near], first + at[near], (words.checks(window)[near] >> np.uint64(32)).astype(np.uint32)))
         if not held:
-            return pa.table(columns([]), names=packed.names)
-        return pa.table(columns(list(_send(*(np.concatenate(x) for x in zip(*held, strict=True)), False, buckets, len(keys)))), names=packed.names)
+            return rows([])
+        dest = docs["dest"][0].as_py()
+        return rows(list(_send(*(np.concatenate(x) for x in zip(*held, strict=True)), False, dest, buckets, dest)))
 
     by = lambda df, n, c: df.repartitionById(n, F.col(c)).groupBy(c)
-    hits = by(keyed.select("k1", "k2", "text").mapInArrow(probe, packed), buckets, "bucket").applyInArrow(_meet(True, dests, found.names), found)
+    hits = by(by(small, dests, "dest").applyInArrow(probe, packed), buckets, "bucket").applyInArrow(_meet(True, found.names), found)
     windows = by(small, dests, "dest").cogroup(by(hits, dests, "dest")).applyInArrow(compare, packed)
-    return by(windows, buckets, "bucket").applyInArrow(_meet(False, dests, found.names), found)
+    return by(windows, buckets, "bucket").applyInArrow(_meet(False, found.names), found)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:
@@ -246,18 +225,16 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False
     schema = T.StructType([keyed.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")).fields])
 
     def remove(texts: pa.Table, found: pa.Table) -> pa.Table:
-        keys = _keys(texts)
-        text_hit, place_hit = _marked(found, keys)
-        first = _copies(keys)
+        texts, hit, first = _ordered(texts), _found(found), 0
         n_words, n_removed, sha, kept = [], [], [], []
-        for i, data in enumerate(unsqueezed(texts["text"]).to_pylist()):
+        for data in unsqueezed(texts["text"]).to_pylist():
             words = (data or b"").split()
             n_words.append(len(words))
-            lo, hi = np.searchsorted(text_hit, [first[i], first[i] + 1])
-            removed = 0
+            lo, hi = np.searchsorted(hit, [first, first + len(words)])
+            starts, removed = hit[lo:hi] - first, 0
+            first += len(words)
             if hi > lo:
                 edge = np.zeros(len(words) + 1, np.int64)
-                starts = np.unique(place_hit[lo:hi])
                 edge[starts] += 1
                 edge[starts + window] -= 1
                 keep = edge.cumsum()[:-1] == 0
@@ -271,7 +248,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, with_text: bool = False
         out = [texts["row"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
         return pa.table(out + [pa.array(kept, pa.string())] * with_text, names=schema.names)
 
-    found = _repeated(keyed, small, window, buckets, dests)
+    found = _repeated(small, window, buckets, dests)
     dealt = [x.repartitionById(dests, F.col("dest")).groupBy("dest") for x in (small, found)]
     out = dealt[0].cogroup(dealt[1]).applyInArrow(remove, schema)
     return out.select("row.*", *schema.names[1:])

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tesserae.llm import substrings
@@ -49,3 +50,17 @@ def test_very_long_texts(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("gaps", [[1], [1, 65_534, 65_535, 65_536, 1, 131_070, 200_000, 3]])
+def test_steps_come_back(gaps):
+    places = 70_000 + np.cumsum(gaps)
+    assert substrings._places(*substrings._steps(places)).tolist() == places.tolist()
+
+
+def test_small_packs(spark, monkeypatch):
+    rows = random_rows(9, 7)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1 << 10)
+    monkeypatch.setattr(substrings, "SEND_WORDS", 50)
+    got = sorted((tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=7).collect()), key=str)
+    assert got == brute(rows, 7)
