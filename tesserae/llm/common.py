@@ -56,9 +56,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a file of a table of few columns holds at least, where a bound of its rows is known.
+ROWS_A_FILE = 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, with column pruning and a known size,
-    for what several later jobs read or what a loop goes on with."""
+    for what several later jobs read or what a loop goes on with. ``rows``: a bound of its rows, if known and if its last
+    stage is light; a small table then has few files and tasks, whatever the number of shuffle partitions."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -45,15 +45,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v").where("u <> v"), "edges")
     parts = max(1, -(-edges.count() // EDGES_A_FILE))
     edges = _small_star(edges, parts)
-    while _paths(edges):
+    while _paths(edges, parts):
         large = _large_star(edges, parts)
         remove(edges)
         edges = _small_star(large, parts)
     return edges
 
 
-def _paths(edges: DataFrame) -> bool:
+def _paths(edges: DataFrame, parts: int) -> bool:
     """Whether some node has two edges that lead down, or edges both up and down. Without any, the edges are stars."""
-    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("v", F.lit(0), F.lit(1)).distinct())
-    sums = roles.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    sums = roles.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).coalesce(parts)
     return sums.where("down > 1 OR down = 1 AND up = 1").limit(1).count() > 0

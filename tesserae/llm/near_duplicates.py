@@ -146,12 +146,12 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, num: int, den: int, exact: bo
     return _sides(pairs, few, ["n", "s"]).where(size_ok & (whole | rough)).select("a", "b", "salts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle: int, num: int, den: int, rows: int | None = None) -> DataFrame:
     """(u, v) of the pairs (a, b, salts) whose full sets have ``den * intersection >= num * union``; docs: (id, text).
 
-    The texts of both travel squeezed. Pairs of one centre come one after the other, and its set is made once.
+    ``rows``: a bound of the different ids. The texts of both travel squeezed. Pairs of one centre come one after the other, and its set is made once.
     """
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct(), "ids")
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct(), "ids", rows)
     texts = written(squeezed(only(docs, ids, "id")), "near-texts")
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
@@ -192,11 +192,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 80, den: in
     """
     small_batches(docs.sparkSession)
     made = written(sketches(docs, shingle=shingle, num=num, den=den, exact=exact, id_col=id_col, text_col=text_col), "sketches")
+    n_docs = made.count()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     real = made.where("n > 0 AND id IS NOT NULL")
-    classes = written(real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "class-ids")
-    nodes = written(made.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "classes")
-    edges = _links(nodes, texts, shingle, num, den, exact)
+    classes = written(real.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "class-ids", n_docs)
+    nodes = written(made.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "classes", n_docs)
+    edges = _links(nodes, texts, shingle, num, den, exact, n_docs)
     # Rows of one id in several classes join these.
     same = real.join(classes, ["f1", "f2", "n"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     repeated = same.join(nodes.select(F.col("id").alias("u")).distinct(), "u", "left_semi")
@@ -220,8 +221,8 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     return chosen.unionByName(docs.where(key.isNull()))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, exact: bool) -> DataFrame:
-    """The components of the classes, as in components()."""
+def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, exact: bool, n_docs: int) -> DataFrame:
+    """The components of the classes (``n_docs`` at most), as in components()."""
     values = nodes.select("id", "f1", "f2", F.explode("least").alias("value"))
     held = written(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "held")
     shared = values.join(held, "value").groupBy("id", "f1", "f2").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("shared"))
@@ -236,6 +237,7 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int,
     is_hot = F.col("e.held") > HOT
     early = F.when(is_hot, F.col("at") - F.col("cold") < FIRST_HOT).otherwise(F.col("at") < FIRST_COLD)
     lists = written(lists.select("id", "n", "apart", F.col("e.value").alias("value"), is_hot.alias("is_hot"), early.alias("early")), "lists")
+    n_listed = lists.count()
 
     def all_pairs(short: DataFrame) -> DataFrame:
         """The pairs within short lists."""
@@ -246,51 +248,54 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, num: int, den: int,
     def centred(members: DataFrame) -> DataFrame:
         """Every member of a list with the list's member that is least apart; of equal ones that of the least hash."""
         centre = members.groupBy("value").agg(F.min_by("id", F.struct("apart", F.xxhash64("id"))).alias("b"), F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-        return members.join(written(centre, "centres"), "value").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.max("salts").alias("salts"))
+        return members.join(written(centre, "centres", n_listed), "value").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.max("salts").alias("salts"))
 
     def test(pairs: DataFrame) -> DataFrame:
         close = written(_estimated(pairs, nodes, num, den, exact), "pairs")
-        found = confirmed(close, texts, shingle=shingle, num=num, den=den) if close.limit(1).count() else close.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        found = confirmed(close, texts, shingle=shingle, num=num, den=den, rows=n_docs) if close.limit(1).count() else close.select(F.col("a").alias("u"), F.col("b").alias("v"))
         return written(found, "links")
 
     def several(members: DataFrame, labels: DataFrame) -> DataFrame:
         """The members of lists that hold several labels, with theirs (c)."""
         named = members.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        mixed = written(named.groupBy("value").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("value"), "mixed")
-        return written(named.join(mixed, "value"), "open")
-
-    def linked(pairs: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Edges and labels after the pairs of different labels are tested."""
+        mixed = written(named.groupBy("value").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("value"), "mixed", n_listed)
+        return written(named.join(mixed, "value"), "open", n_listed)
+
+    def linked(short: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges and labels after the pairs of different labels within short lists are tested."""
+        if short.isEmpty():
+            return edges, labels
+        pairs = all_pairs(short)
         by = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
         more = test(pairs.join(by[0], "a", "left").join(by[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "salts"))
         if more.limit(1).count():
             edges = components(edges.unionByName(more))
-            labels = _labels(edges)
+            labels = _labels(edges, n_docs)
         return edges, labels
 
     first = lists.where("early")
     edges = components(test(all_pairs(first.where("NOT is_hot")).unionByName(centred(first.where("is_hot")))))
-    labels = _labels(edges)
+    labels = _labels(edges, n_docs)
     open_ = several(lists, labels)
-    edges, labels = linked(all_pairs(open_.where("NOT is_hot")), edges, labels)
+    edges, labels = linked(open_.where("NOT is_hot"), edges, labels)
     open_ = several(open_.where("is_hot").select("id", "n", "value"), labels)
     if not open_.limit(1).count():
         return edges
-    own = written(_own(written(open_.select("id").distinct(), "ids"), texts, shingle), "own")
+    own = written(_own(written(open_.select("id").distinct(), "ids", n_docs), texts, shingle), "own")
     members = open_.select("id", "n", "value").join(own, "id", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * den >= F.col("n") * num)
     open_ = several(members.select("id", "value"), labels)
-    size = written(open_.groupBy("value").agg(F.count("*").alias("k")), "sizes")
+    size = written(open_.groupBy("value").agg(F.count("*").alias("k")), "sizes", n_listed)
     short = open_.join(size.where(F.col("k") <= SHORT).select("value"), "value", "left_semi")
-    edges, labels = linked(all_pairs(short), edges, labels)
+    edges, labels = linked(short, edges, labels)
     open_ = several(open_.join(size.where(F.col("k") > SHORT).select("value"), "value", "left_semi").select("id", "value"), labels)
     if not open_.limit(1).count():
         return edges
     return components(edges.unionByName(_within_families(open_, texts, shingle, num, den)))
 
 
-def _labels(edges: DataFrame) -> DataFrame:
+def _labels(edges: DataFrame, rows: int) -> DataFrame:
     """(id, c): the component of each class that is linked with another."""
-    return written(edges.select(F.col("u").alias("id"), F.col("v").alias("c")).union(edges.select("v", "v").distinct()), "labels")
+    return written(edges.select(F.col("u").alias("id"), F.col("v").alias("c")).union(edges.select("v", "v").distinct()), "labels", rows)
 
 
 def _within_families(open_: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
