@@ -163,22 +163,43 @@ def personalised_page_rank(edges: DataFrame, seeds: DataFrame, *, damping: float
     return state.where("rank > 0").join(left, "seed").select("seed", "id", "rank", "left")
 
 
+def _digest(key: str) -> list[Column]:
+    """Sums that tell multisets of keys apart: two hashes of 64 bits, each in halves, so sums of 2^31 keys fit."""
+    hashes = [F.xxhash64(F.col(key)), F.xxhash64(F.lit(1), F.col(key))]
+    halves = [x for h in hashes for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return [F.sum(x).alias(f"_d{i}") for i, x in enumerate(halves)]
+
+
 def harmonic_centrality(edges: DataFrame, *, furthest: int = 16, bits: int = 12) -> DataFrame:
     """(id, reached, harmonic): about how many nodes a node reaches, and the sum of 1 / distance over them.
 
-    Each node has a HyperLogLog sketch of 2^``bits`` registers of what it reaches; a round joins those of its neighbours to it, and
+    Each node has a HyperLogLog sketch of 2^``bits`` registers of what it reaches; a round unites those of its neighbours, and
     what the estimate grows by is at that distance. The sketches have one size however many nodes they stand for, with a relative
     error of about 1.04 / 2^(bits / 2). It ends when no estimate grows, or at ``furthest``. Edges count in both directions.
+
+    Nodes hold their sketch's key. Those whose neighbours have the same sketches are a class, for which the next one is made
+    once, at its least node. Sketches take far less room in files than in memory, so the joins state that they sort: Spark
+    would take the tables for small and broadcast them through the driver.
     """
-    e = stored(both_ways(edges), "edges")
-    state = stored(e.select(F.col("in").alias("id")).distinct().groupBy("id").agg(F.hll_sketch_agg("id", bits).alias("sketch")).select("id", "sketch", F.lit(1.0).alias("reached"), F.lit(0.0).alias("harmonic"), F.lit(True).alias("grew")), "sketches")
+    e = stored(both_ways(edges).select(F.col("in").alias("id"), F.col("out").alias("near")), "edges")
+    nodes = stored(e.select("id").distinct(), "nodes")
+    sketches = stored(nodes.groupBy("id").agg(F.hll_sketch_agg("id", bits).alias("sketch")).select(F.md5("id").alias("key"), "sketch"), "sketches")
+    state = stored(nodes.select("id", F.md5("id").alias("key"), F.lit(1.0).alias("reached"), F.lit(0.0).alias("harmonic"), F.lit(True).alias("grew")), "states")
+    by = [f"_d{i}" for i in range(4)]
     for distance in range(1, furthest + 1):
-        near = e.join(state.select(F.col("id").alias("out"), "sketch"), "out").select(F.col("in").alias("id"), "sketch")
-        union = near.unionByName(state.select("id", "sketch")).groupBy("id").agg(F.hll_union_agg("sketch").alias("new"))
-        estimate = F.greatest(F.hll_sketch_estimate("new").cast("double"), F.col("reached"))
-        after = stored(state.join(union, "id").select("id", F.col("new").alias("sketch"), estimate.alias("reached"), (F.col("harmonic") + (estimate - F.col("reached")) / distance).alias("harmonic"), (estimate > F.col("reached")).alias("grew")), "sketches")
-        discard(state)
-        state = after
+        # After the first round a node's own sketch is part of its neighbours'.
+        step = e.unionByName(nodes.withColumn("near", F.col("id"))) if distance == 1 else e
+        heard = stored(step.join(state.select(F.col("id").alias("near"), "key").hint("merge"), "near").select("id", "key"), "heard")
+        of = stored(heard.groupBy("id").agg(*_digest("key")), "classes")
+        least = of.groupBy(*by).agg(F.min("id").alias("id"))
+        united = heard.join(least.hint("merge"), "id").select(*by, "key").distinct().join(sketches.hint("merge"), "key").groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+        made = stored(united.withColumns({"key": F.md5("sketch"), "estimate": F.hll_sketch_estimate("sketch").cast("double")}), "sketches")
+        estimate = F.greatest("estimate", "reached")
+        new = state.drop("key", "grew").join(of.hint("merge"), "id").join(made.drop("sketch").hint("merge"), by)
+        after = stored(new.select("id", "key", estimate.alias("reached"), (F.col("harmonic") + (estimate - F.col("reached")) / distance).alias("harmonic"), (estimate > F.col("reached")).alias("grew")), "states")
+        once = stored(made.groupBy("key").agg(F.first("sketch").alias("sketch")), "sketches")
+        discard(state, heard, of, made, sketches)
+        state, sketches = after, once
         if not state.where("grew").limit(1).count():
             break
     return state.select("id", (F.col("reached") - 1).alias("reached"), "harmonic")

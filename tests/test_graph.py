@@ -127,6 +127,25 @@ def test_centrality_estimates(spark):
         assert got[x].harmonic == pytest.approx(sum(1 / d for d in exact.values() if d), rel=0.06)
 
 
+def test_sketches_are_made_once_a_class_and_never_broadcast(spark, monkeypatch):
+    plans, kept = [], graph.stored
+
+    def noted(df, name, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = kept(df, name, *more)
+        if name == "sketches":
+            sizes.append(out.count())
+        return out
+
+    sizes = []
+    monkeypatch.setattr(graph, "stored", noted)
+    rows = [(f"v{i}", f"hub{i % 3}") for i in range(900)]
+    assert graph.harmonic_centrality(spark.createDataFrame(rows, "in string, out string")).count() == 903
+    assert not any("BroadcastHashJoin" in p and "sketch" in p for p in plans)
+    # Of 903 nodes, those of a hub are one class after the first round.
+    assert sizes[0] == 903 and max(sizes[3:]) <= 6
+
+
 def test_graphs_of_nothing(spark):
     none = spark.createDataFrame([], "in string, out string")
     nodes = spark.createDataFrame([], "id string")
