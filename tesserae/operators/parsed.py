@@ -43,17 +43,20 @@ def parsed_chunks(docs: DataFrame, id_col: str = "id", json_col: str = "parsed")
     """
     v = F.try_parse_json(F.col(json_col))
     pages = F.variant_get(v, "$.pages", "map<string,struct<width:double,height:double>>")
-    items = docs.select(F.col(id_col).alias("id"), pages.alias("pages"), F.posexplode(F.variant_get(v, "$.items", "array<variant>")).alias("order", "item"))
+    # Two steps: next to an explode in one select, the pages would be read from the whole JSON again for each item.
+    whole = docs.select(F.col(id_col).alias("id"), pages.alias("pages"), F.variant_get(v, "$.items", "array<variant>").alias("items"))
+    items = whole.select("id", "pages", F.posexplode("items").alias("order", "item"))
     at = lambda path, kind: F.try_variant_get("item", path, kind)
     kind, said = at("$.kind", "string"), at("$.text", "string")
     text = F.when(kind == "table", _table(at("$.rows", "array<array<string>>"))).when(kind == "picture", F.coalesce(at("$.caption", "string"), F.concat(F.lit("[Picture "), F.col("order").cast("string"), F.lit("]")))).otherwise(said)
     label = F.when(kind == "text", F.coalesce(at("$.label", "string"), F.lit("text"))).otherwise(kind)
     prov = F.filter(F.coalesce(at("$.prov", _PROV), F.array().cast(_PROV)), lambda p: p["page_no"].isNotNull() & p["bbox"].isNotNull())
+    page = F.coalesce(F.try_element_at("prov", F.lit(-1))["page_no"], F.lit(0))
     one = items.select("id", "order", "pages", text.alias("text"), label.alias("element_type"), (kind == "text").alias("plain"), prov.alias("prov"))
+    one = one.select("id", "order", "text", "element_type", "plain", page.alias("physical_page"), _positions(F.col("prov"), F.col("pages")).alias("positions"))
     before = Window.partitionBy("id").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     chapter = F.last(F.when(F.col("plain") & F.col("element_type").isin(*HEADINGS), F.col("text")), ignorenulls=True).over(before)
-    page = F.coalesce(F.try_element_at("prov", F.lit(-1))["page_no"], F.lit(0))
-    kept = one.select("id", "order", "text", "element_type", chapter.alias("chapter"), page.alias("physical_page"), page.alias("printed_page"), _positions(F.col("prov"), F.col("pages")).alias("positions"))
+    kept = one.select("id", "order", "text", "element_type", chapter.alias("chapter"), "physical_page", F.col("physical_page").alias("printed_page"), "positions")
     kept = kept.where(F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " "))) > 0)
     numbered = F.col("element_type").isin(*NUMBERED)
     count = F.count_if(numbered).over(Window.partitionBy("id", "physical_page").orderBy("order").rowsBetween(Window.unboundedPreceding, 0))

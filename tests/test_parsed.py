@@ -51,3 +51,10 @@ def test_rules(spark):
     assert at[4][0][3:] == [pytest.approx(780 / 842), pytest.approx(800 / 842)]
     assert at[5] == [[3.0, 1.0, 1.0, 0.0, 0.0]]  # clamped
     assert at[7] == []
+
+
+def test_json_is_read_once_a_document(spark):
+    docs = spark.createDataFrame([("a", json.dumps(DOCUMENT))], "id string, parsed string")
+    plan = parsed_chunks(docs)._jdf.queryExecution().optimizedPlan().toString()
+    before, after = plan.split("Generate ")
+    assert "$.pages" in after and "$.pages" not in before
