@@ -100,6 +100,13 @@ def test_function_in_sql(spark, legs):
         assert [x.relevance for x in got] == pytest.approx([-x[0] for x in brute(kept, words, n=n)], abs=1e-8)
 
 
+def test_postings_are_packed_by_block(spark):
+    rows = [(f"s:{i}", "p", "t", f"word word{i % 2}") for i in range(1000)]
+    index = TextIndex([("source_text", spark.createDataFrame(rows, "id string, parent_id string, title string, body string").repartition(1), "body")])
+    found = index.postings.where("term = 'word'").collect()
+    assert len(found) == 8 and sum(x.df for x in found) == 1000 and all(len(x.ats) == len(x.tfs) == len(x.lens) == x.df for x in found)
+
+
 def test_index_of_nothing(spark):
     index = TextIndex(frames(spark, {"source_text": []}))
     assert index.search("word").collect() == [] and index.search("", 5).collect() == []
