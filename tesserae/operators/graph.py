@@ -55,6 +55,21 @@ def walk_counts(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     return starts.select("id").join(ends, "id", "left").select("id", F.coalesce("walks", F.lit(0)).alias("walks"))
 
 
+def two_hops(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, class, id, walks): all that two different edges' steps lead to from each start, as classes. Starts with the same
+    edges are a class, named by the least of them. A start's own row has no id and counts all of its walks; the class has
+    a row for each node that it reaches. So a start's pairs are its class's, and equal starts are not paired with the same nodes again."""
+    e = edges.select("in", "out").distinct()
+    by = [f"_d{i}" for i in range(4)]
+    sums = starts.select("id").distinct().join(e.withColumnRenamed("in", "id"), "id", "left").groupBy("id").agg(*_digest("out"))
+    known = stored(sums.select("id", *(F.coalesce(x, F.lit(0)).alias(x) for x in by)), "starts")
+    of = stored(known.join(known.groupBy(*by).agg(F.min("id").alias("class")), by).select("id", "class"), "classes")
+    first = of.where("id = class").join(e.withColumnRenamed("in", "class"), "class").select("class", F.col("out").alias("via"))
+    reached = first.join(e.select(F.col("in").alias("via"), F.col("out").alias("id")), "via").groupBy("class", "id").agg(F.count("*").alias("walks"))
+    walks = walk_counts(edges, of, 2).join(of, "id")
+    return walks.select(F.col("id").alias("start"), "class", F.lit(None).cast("string").alias("id"), "walks").unionByName(reached.select(F.col("class").alias("start"), "class", "id", "walks"))
+
+
 def _front(front: DataFrame, step: DataFrame, seen: list[DataFrame]) -> DataFrame:
     """What is next to ``front`` and in no layer so far."""
     near = front.join(step, "id").select(F.col("next").alias("id")).distinct()

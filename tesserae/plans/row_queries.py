@@ -202,11 +202,20 @@ def routing(c):
     return c.source().select("id", F.when(t.token_estimate(F.col("full_text")) > 5000, "large_context").when(F.col("topics")[0] == "en", "explicit").otherwise("default").alias("route"))
 
 
-@query("two_hop_neighbours", "SELECT s.id AS start, count(b.out) AS walks FROM chat_session AS s LEFT JOIN (SELECT DISTINCT \"in\", out FROM refers_to) AS a ON a.\"in\" = s.id LEFT JOIN (SELECT DISTINCT out AS x, \"in\" AS out FROM artifact) AS b ON b.x = a.out GROUP BY s.id", "chat_session", "note", "refers_to", "artifact")
+_TWO_HOPS = """
+WITH a AS (SELECT DISTINCT "in", out FROM refers_to), b AS (SELECT DISTINCT out AS x, "in" AS id FROM artifact),
+o AS (SELECT s.id, list_sort(list(a.out)) AS outs FROM chat_session AS s LEFT JOIN a ON a."in" = s.id GROUP BY s.id),
+c AS (SELECT id AS start, min(id) OVER (PARTITION BY outs) AS class FROM o)
+SELECT c.start, c.class, NULL::VARCHAR AS id, count(b.id) AS walks FROM c LEFT JOIN a ON a."in" = c.start LEFT JOIN b ON b.x = a.out GROUP BY c.start, c.class
+UNION ALL SELECT c.start, c.class, b.id, count(*) FROM c JOIN a ON a."in" = c.start JOIN b ON b.x = a.out WHERE c.start = c.class GROUP BY c.start, c.class, b.id
+"""
+
+
+@query("two_hop_neighbours", _TWO_HOPS, "chat_session", "note", "refers_to", "artifact")
 def two_hops(c):
-    """How many notes each chat session reaches through what it refers to: counts, as the pairs are sessions times notes."""
+    """Every note that each chat session reaches through what it refers to: sessions with their class, and each class's notes."""
     edges = c.refers_to().unionByName(c.artifact().select(F.col("out").alias("in"), F.col("in").alias("out")))
-    return graph.walk_counts(edges, c.chat_session().select("id"), 2).select(F.col("id").alias("start"), "walks")
+    return graph.two_hops(edges, c.chat_session().select("id"))
 
 
 @query("co_linked_sources", "SELECT r.\"in\" AS id, count(*) AS shared FROM (SELECT DISTINCT \"in\", out FROM reference) AS r WHERE r.out IN (SELECT out FROM reference WHERE \"in\" = 'source:3') AND r.\"in\" <> 'source:3' GROUP BY 1 ORDER BY shared DESC, id LIMIT 20", "reference")

@@ -146,6 +146,15 @@ def test_sketches_are_made_once_a_class_and_never_broadcast(spark, monkeypatch):
     assert sizes[0] == 903 and max(sizes[3:]) <= 6
 
 
+def test_two_hops_lose_no_pair(spark):
+    rows = [("a", "x"), ("b", "x"), ("a", "x"), ("c", "x"), ("c", "y"), ("d", "z"), ("x", "n1"), ("x", "n2"), ("y", "n2"), ("y", "n3")]
+    got = graph.two_hops(spark.createDataFrame(rows, "in string, out string"), spark.createDataFrame([(x,) for x in "abcde"], "id string")).collect()
+    of = {r.start: r["class"] for r in got if r.id is None}
+    assert of == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"} and {r.start: r.walks for r in got if r.id is None} == {"a": 2, "b": 2, "c": 4, "d": 0, "e": 0}
+    pairs = {(s, r.id) for s in of for r in got if r.id is not None and r.start == of[s]}
+    assert pairs == {(a, d) for a, b in rows for c, d in rows if b == c and a in of}
+
+
 def test_graphs_of_nothing(spark):
     none = spark.createDataFrame([], "in string, out string")
     nodes = spark.createDataFrame([], "id string")
