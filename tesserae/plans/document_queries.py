@@ -138,10 +138,28 @@ def vectorised(c, sources, old):
     return kept.unionByName(fresh.select("source", F.col("order").cast("long").alias("order"), "content"))
 
 
-_SHORT = "SELECT id, trim(full_text, ' ' || chr(9) || chr(10) || chr(13)) AS full_text FROM source WHERE updated % 2 = 0 AND floor(len(list_filter(string_split_regex(full_text, '\\s+'), lambda x: x <> '')) * 1.3) <= 500"
+_SHORT = "SELECT id, full_text FROM source WHERE updated % 2 = 0 AND floor(len(list_filter(string_split_regex(full_text, '\\s+'), lambda x: x <> '')) * 1.3) <= 500"
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The splitter's rules: parts are measured with the separators at their heads, so a text of at most 500 tokens may have several chunks.
+_VECTORISED = rf"""
+WITH RECURSIVE short AS MATERIALIZED ({_SHORT}), marks AS (SELECT [chr(10) || chr(10), chr(10), '.', ',', ' ', chr(8203), chr(65292), chr(12289), chr(65294), chr(12290), ''] AS m),
+w AS (SELECT id, []::BIGINT[] AS path, full_text AS part, 1::BIGINT AS level, 500::BIGINT AS n FROM short
+  UNION ALL SELECT id, list_append(path, i), x, k + 1, floor(len(list_filter(string_split_regex(x, '{_WHITE}+'), lambda y: y <> '')) * 1.3)::BIGINT FROM (
+    SELECT id, path, k, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM (
+      SELECT id, path, k, list_filter(CASE WHEN m[k] = '' THEN string_split(part, '') ELSE list_prepend(string_split(part, m[k])[1], list_transform(string_split(part, m[k])[2:], lambda y: m[k] || y)) END, lambda y: y <> '') AS parts
+      FROM (SELECT w.*, m, list_min(list_filter(range(level, 12), lambda j: m[j] = '' OR contains(part, m[j]))) AS k FROM w, marks WHERE n >= 500 AND level <= 11)))),
+r AS (SELECT id, path[:-2] AS parent, path, part, n, n >= 500 AND level <= 11 AS cut, count(*) FILTER (WHERE n >= 500 AND level <= 11) OVER (PARTITION BY id, path[:-2] ORDER BY path) AS run FROM w WHERE len(path) > 0),
+l AS MATERIALIZED (SELECT id, min(path) AS path, list(part ORDER BY path) AS parts, list_prepend(0::BIGINT, list(total ORDER BY path)) AS p FROM (SELECT *, (sum(n) OVER (PARTITION BY id, parent, run ORDER BY path))::BIGINT AS total FROM r WHERE NOT cut) GROUP BY id, parent, run),
+g AS (SELECT *, 1::BIGINT AS s, coalesce(list_min(list_filter(range(2, len(parts) + 1), lambda e: p[e + 1] > 500)), len(parts) + 1) AS e FROM l
+  UNION ALL SELECT id, path, parts, p, f, coalesce(list_min(list_filter(range(f + 1, len(parts) + 1), lambda j: p[j + 1] - p[f] > 500)), len(parts) + 1) FROM (
+    SELECT id, path, parts, p, list_min(list_filter(range(s, e + 1), lambda f: p[e] - p[f] <= 75 AND (p[e] = p[f] OR p[e + 1] - p[f] <= 500))) AS f FROM g WHERE e <= len(parts))),
+c AS (SELECT id, path, s, regexp_replace(array_to_string(parts[s:e - 1], ''), '^{_WHITE}+|{_WHITE}+$', '', 'g') AS content FROM g)
+SELECT e.source, e."order", e.content FROM source_embedding AS e WHERE e.source NOT IN (SELECT id FROM short)
+UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY path, s) - 1, content FROM c WHERE content <> ''
+"""
 
 
-@query("vectorise_short_sources", f"SELECT e.source, e.\"order\", e.content FROM source_embedding AS e WHERE e.source NOT IN (SELECT id FROM ({_SHORT})) UNION ALL SELECT id, 0, full_text FROM ({_SHORT}) WHERE full_text <> ''", "source", "source_embedding")
+@query("vectorise_short_sources", _VECTORISED, "source", "source_embedding")
 def vectorise(c):
     short = c.source().where((F.col("updated") % 2 == 0) & (t.token_estimate(F.col("full_text")) <= 500)).select("id", "full_text")
     return vectorised(c, short, c.source_embedding().select("source", "order", "content"))
