@@ -58,8 +58,10 @@ def state(c):
 def memory(c):
     """All messages of each conversation, kept as state over four batches."""
     rows = c.raw("conversations").select(F.col("conv_id").cast("string").alias("thread"), F.col("turn").cast("long").alias("turn"), "role", "text", F.lit(None).cast("timestamp").alias("at"))
-    # Four files, so that most conversations are in several batches.
-    parts = stored(rows.repartition(4, "turn"), "messages")
+    # Each conversation's turns are dealt to many files, a fourth of which make a batch, so most conversations are in several batches.
+    files = max(4, int(c.spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = stored(rows.repartition(files, "thread", "turn"), "messages")
+    a_batch = -(-len(parts.inputFiles()) // 4)
     with rocks_db(c.spark):
-        out = jobs.run_to_end(remembered(jobs.read_table_stream(c.spark, parts._stored_at, parts, files=1)), shared_folder(c.spark), ["thread"])
+        out = jobs.run_to_end(remembered(jobs.read_table_stream(c.spark, parts._stored_at, parts, files=a_batch)), shared_folder(c.spark), ["thread"])
     return out.drop("expired")

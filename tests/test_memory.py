@@ -45,3 +45,20 @@ def test_quiet_threads_are_forgotten(spark, tmp_path):
     out = [r for rows in run(spark, tmp_path, batches, live_ms=24 * hour) for r in rows]
     assert [r for r in out if r[0] == "a"] == [("a", 1, 0, history([(0, "user", "hi")]), False), ("a", 0, -1, history([]), True), ("a", 1, 5, history([(5, "user", "new")]), False)]
     assert [r[1] for r in out if r[0] == "b"] == [1, 2, 3]
+
+
+def test_without_a_time_to_live_no_thread_goes_to_python(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in", "part", [("a", 0, "user", "hi", 0)])
+    stream = read_table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")))
+    plans = [remembered(stream, live_ms=ms)._jdf.queryExecution().analyzed().toString() for ms in (None, 1000)]
+    assert ["PySpark" in p for p in plans] == [False, True]
+
+
+def test_many_turns_and_repeats_within_and_over_batches(spark, tmp_path):
+    messages = [(f"t{i % 7}", i // 7, "user", f"text {i}") for i in range(300)]
+    batches = [[(*m, 0) for m in messages[k::3] * 2] for k in range(3)] + [[(t, n, "ai", "later", 1) for t, n, _, _ in messages]]
+    last = {r[0]: r for rows in run(spark, tmp_path, batches) for r in rows}
+    for t in {m[0] for m in messages}:
+        own = [m[1:] for m in messages if m[0] == t]
+        assert last[t] == (t, len(own), max(m[0] for m in own), history(own), False)
