@@ -63,8 +63,8 @@ class _Remembering(dict):
 class _Reader:
     """Splits chunks into pieces; subclasses say what a piece and a special token give."""
 
-    #: Entries in a generation of each memory: about 80 MB in a worker.
-    LIMIT = 160_000
+    #: Entries in a generation of each memory: about 190 MB in a worker, as words are in one of them only.
+    LIMIT = 480_000
 
     def __init__(self, spec: bytes):
         self.spec = json.loads(spec)
@@ -80,6 +80,7 @@ class _Reader:
         return piece.encode().decode("latin-1").translate(self.to_symbols)
 
     def chunk(self, chunk: str):
+        met = chunk
         if "<" in chunk and (parts := self.special_pattern.split(chunk))[1:]:
             found = [*self.special_pattern.findall(chunk), None]
             out = [self.zero]
@@ -94,9 +95,15 @@ class _Reader:
         lowered = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
         core = lowered.rstrip(END_MARKS)
         if core.isalpha():  # a word, or a word and a run of marks: what the pattern finds, without its cost
-            return self.pieces[core] + self.pieces[lowered[len(core) :]] if len(core) < len(lowered) else self.pieces[core]
+            word = self.piece(core) if core == met else self.word(core)
+            return word + self.pieces[lowered[len(core) :]] if len(core) < len(lowered) else word
         return self.total(map(self.pieces.__getitem__, PIECES.findall(lowered)))
 
+    def word(self, word: str):
+        """A lower-case word. It is remembered once, as the chunk that it is by itself; only where that chunk would be composed
+        first it is another word, which is a piece."""
+        return self.chunks[word] if word.isascii() or unicodedata.is_normalized("NFC", word) else self.pieces[word]
+
     def read(self, text: str | None):
         return self.total(map(self.chunks.__getitem__, chunks(text))) if text else self.zero
 
@@ -154,15 +161,14 @@ class IdReader(_Reader):
         from tokenizers import Tokenizer
 
         super().__init__(spec)
-        self.tokenizer = Tokenizer.from_str(spec.decode())
+        self.merged = Tokenizer.from_str(spec.decode()).model.tokenize
         self.spec = None
 
     def special(self, token: str) -> bytes:
         return self.specials[token].to_bytes(4, "little")
 
     def piece(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(self.symbols(piece))])
-        return ids.tobytes()
+        return array("I", [t.id for t in self.merged(self.symbols(piece))]).tobytes()
 
 
 _READERS: dict[tuple, _Reader] = {}

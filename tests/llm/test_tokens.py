@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from random import Random
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 from tesserae.llm.packing import best_fit, pack, token_pieces
 from tesserae.llm.token_counts import count_tokens, load_vocabulary
+from tesserae.llm.wordbpe import IdReader, MergeCounter, _Reader
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -97,3 +99,21 @@ def test_every_capacity_holds(rule):
         assert mine.sum() <= 100 and len(mine) <= 5 and ((mine.astype(float) ** 2).sum() <= 4000 or len(mine) == 1)
         o = np.sort(offset[sequence == s])
         assert o[0] == 0 and len(set(o)) == len(o)
+
+
+def test_a_word_is_remembered_once(vocabulary, library):
+    of = IdReader(vocabulary)
+    for text in ["word", "Word, WORD. word", "été", "Été! été"]:
+        assert np.frombuffer(of.read(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert {"word", "été"} <= set(of.chunks) and not {"word", "été"} & set(of.pieces)
+
+
+@pytest.mark.parametrize("limit", [20, 1000])
+def test_ids_and_counts_whatever_is_remembered(vocabulary, library, limit, monkeypatch):
+    monkeypatch.setattr(_Reader, "LIMIT", limit)
+    ids, count, random = IdReader(vocabulary), MergeCounter(vocabulary), Random(3)
+    letters = [*"abcABÉéßΣσςİıK.,;!?'-<|> \t\n\x1c 1", "́", "̇", "é", "É", "ᄀ", "ᅡ", "Ω", "日", "<|endoftext|>"]
+    for _ in range(4000):
+        text = "".join(random.choices(letters, k=random.randint(0, 12)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert (np.frombuffer(ids.read(text), np.uint32).tolist(), count.read(text)) == (want, len(want)), text
